@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ctw import op9_lm_score
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .exact_topk import OP1_SQL, op1_exact_topk
 from .mixing import op10_mix_sources
@@ -11,5 +12,5 @@ from .secrets import op3_secrets
 from .simhash import op8_simhash
 from .url_filter import OP6_SQL, op6_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_pii, op3_secrets, op4_exact_dedup, op5_quality, op6_url_filter, op8_simhash, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_pii, op3_secrets, op4_exact_dedup, op5_quality, op6_url_filter, op8_simhash, op9_lm_score, op10_mix_sources)}
 ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_url_filter": OP6_SQL}
