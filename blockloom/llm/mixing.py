@@ -144,7 +144,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), block: int = 64
     tasks = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     drawn = spark.range(0, shards if len(totals) else 0, 1, tasks).mapInPandas(draw, "sid int, block long")
     times = drawn.groupBy("sid", "block").agg(F.count("*").alias("times"))
-    taken = spans.join(times, ["sid", "block"]).groupBy("row_no").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    # the drawn table grows with the input, though Spark takes its size from the range it starts with
+    taken = spans.join(times.hint("merge"), ["sid", "block"]).groupBy("row_no").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     out = rows.join(taken, "row_no", "left")
     return out.select("doc_id", "row_no", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
