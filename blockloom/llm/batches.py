@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Bytes of text in a batch (a longer text is a batch of its own).
-BATCH = 24 << 20
+BATCH = 32 << 20
 PACKED = "batch long, doc_id array<long>, flag array<boolean>, size array<long>, data binary"
 
 

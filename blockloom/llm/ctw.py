@@ -19,8 +19,9 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import pack, unpack
@@ -42,11 +43,15 @@ def grams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             last += 1
         data = np.frombuffer(b"".join(MARK * DEPTH + t + MARK for t in texts[k:last]), np.uint8)
         n = np.array([len(t) + 1 for t in texts[k:last]], np.int64)
-        at = np.arange(int(n.sum())) + np.repeat(DEPTH * np.arange(1, len(n) + 1), n)
-        key = np.zeros(len(at), np.int64)
+        key = np.zeros(len(data) - DEPTH, np.int64)
         for back in range(DEPTH, -1, -1):
-            key = (key << 8) | data[at - back]
-        yield key, n
+            key <<= 8
+            key |= data[DEPTH - back : len(data) - back]
+        inside = np.ones(len(key), bool)  # not the marks before a text but the first
+        starts = np.cumsum(n + DEPTH)[:-1] - DEPTH
+        for e in range(DEPTH):
+            inside[starts + e] = False
+        yield key[inside], n
         k = last
 
 
@@ -60,7 +65,10 @@ def _counted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keys(packed: DataFrame) -> DataFrame:
-    """(batch, word or null, gram or null, n): distinct words and n-grams of each batch; n counts training texts only."""
+    """(batch, word or null, gram, n): distinct words and n-grams of each batch; n counts training texts only.
+
+    For a word, gram is its place among the batch's sorted words, which the scoring pass finds again by itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -73,16 +81,18 @@ def keys(packed: DataFrame) -> DataFrame:
                 for t in train:
                     words.update(t.split())
                 for t in rest:
-                    words.update(dict.fromkeys(set(t.split()) - words.keys(), 0))
+                    for w in t.split():
+                        words.setdefault(w, 0)
+                named = sorted(words)
                 (g, n), (more, _) = _counted(train), _counted(rest)
                 more = np.setdiff1d(more, g, assume_unique=True)
-                n_words, n_grams = len(words), len(g) + len(more)
+                n_words = len(named)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(n_words + n_grams, batch)),
-                        pa.array([*words.keys(), *[None] * n_grams], pa.binary()),
-                        pa.array([*[None] * n_words, *g.tolist(), *more.tolist()], pa.int64()),
-                        pa.array(np.concatenate((np.fromiter(words.values(), np.int64, n_words), n, np.zeros(len(more), np.int64)))),
+                        pa.array(np.full(n_words + len(g) + len(more), batch)),
+                        pa.concat_arrays([pa.array(named, pa.binary()), pa.nulls(len(g) + len(more), pa.binary())]),
+                        pa.array(np.concatenate((np.arange(n_words), g, more))),
+                        pa.array(np.concatenate((np.fromiter(map(words.__getitem__, named), np.int64, n_words), n, np.zeros(len(more), np.int64)))),
                     ],
                     names=["batch", "word", "gram", "n"],
                 )
@@ -171,42 +181,48 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
     """RESULT per row of docs (doc_id, text)."""
     packed = pack(docs, held_out("doc_id", folds))
     found = written(keys(packed))
-    words = found.where("word is not null").select("batch", "word", "n")
-    counts = keep(words.groupBy("word").agg(F.sum("n").alias("c")))
-    n_words, v_words = counts.select(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    # a word has one row per batch at most, so summing over its rows needs one shuffle and no join
+    same = Window.partitionBy("word")
+    words = found.where("word is not null").withColumn("c", F.sum("n").over(same)).withColumn("first", F.col("batch") == F.min("batch").over(same))
+    by_word = written(words.select("batch", F.lit(True).alias("is_word"), "gram", F.col("c").cast("double").alias("value"), "first"))
+    n_words = found.where("word is not null").select(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    v_words = by_word.select(F.count_if(F.col("first") & (F.col("value") > 0))).first()[0]
     n_end = packed.select(F.coalesce(F.sum(F.size(F.filter("flag", lambda f: ~f))), F.lit(0))).first()[0]
     total, distinct = n_words + n_end, v_words + (n_end > 0)
     below = total + 0.1 * (distinct + 1)
-    seen = found.where("gram is not null").select("batch", "gram", "n")
+    seen = found.where("word is null").select("batch", "gram", "n")
     all_grams = keep(seen.groupBy("gram").agg(F.sum("n").alias("n")))
     values = keep(gram_scores(all_grams.select("gram"), tree(all_grams.where("n > 0"))))
-    by_word = words.select("batch", "word").join(counts, "word").select("batch", "word", F.lit(None).cast("long").alias("gram"), F.col("c").cast("double").alias("value"))
-    by_gram = seen.select("batch", "gram").join(values, "gram").select("batch", F.lit(None).cast("binary").alias("word"), "gram", "value")
-    looked_up = by_word.unionByName(by_gram)
+    by_gram = seen.select("batch", "gram").join(values.hint("merge"), "gram").select("batch", F.lit(False).alias("is_word"), "gram", "value")
+    looked_up = by_word.drop("first").unionByName(by_gram)
 
     def run(one: pa.Table, other: pa.Table) -> pa.Table:
-        is_word = other["word"].is_valid().to_numpy()
-        value = other["value"].to_numpy()
-        count = dict(zip(other["word"].filter(pa.array(is_word)).to_pylist(), value[is_word].tolist()))
-        cost = {w: math.log10((c + 0.1) / below) for w, c in count.items()}
+        is_word = other["is_word"].to_numpy()
+        gram, value = other["gram"].to_numpy(), other["value"].to_numpy()
+        count = np.zeros(int(is_word.sum()))
+        count[gram[is_word]] = value[is_word]
+        cost, known = np.log10((count + 0.1) / below), count > 0
         end = math.log10((n_end + 0.1) / below)
-        gram = other["gram"].filter(pa.array(~is_word)).to_numpy().astype(np.int64)
-        order = np.argsort(gram)
-        gram, value = gram[order], value[~is_word][order]
+        index, value = pd.Index(gram[~is_word]), value[~is_word]
         out: dict[str, list] = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes")}
         for k in range(one.num_rows):
             _, ids, held, texts = unpack(one, k)
             texts = [t.translate(LOWER) for t in texts]
             out["doc_id"] += ids
             out["held_out"] += held.tolist()
+            named: set[bytes] = set()
+            for t in texts:
+                named.update(t.split())
+            place = {w: i for i, w in enumerate(sorted(named))}
             for t in texts:
                 tokens = t.split()
+                at = np.fromiter(map(place.__getitem__, tokens), np.int64, len(tokens))
                 out["n_tokens"].append(len(tokens) + 1)
-                out["n_known"].append(sum(map(bool, map(count.__getitem__, tokens))) + (n_end > 0))
-                out["base_score"].append(math.fsum(map(cost.__getitem__, tokens)) + end)
+                out["n_known"].append(int(known[at].sum()) + (n_end > 0))
+                out["base_score"].append(float(cost[at].sum()) + end)
                 out["n_bytes"].append(len(t))
             for key, n in grams(texts):
-                out["score"] += np.add.reduceat(value[np.searchsorted(gram, key)], np.cumsum(n) - n).tolist()
+                out["score"] += np.add.reduceat(value[index.get_indexer(key)], np.cumsum(n) - n).tolist()
         out["train_tokens"] = [total] * len(out["doc_id"])
         kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "n_bytes": pa.int64()}
         return pa.table({k: pa.array(out[k], kind) for k, kind in kinds.items()})
