@@ -47,6 +47,44 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Buckets of a fixed filter; each is a bitmap of 4 KB, so that a filter is 4 MB at any size of input.
+FILTER_BUCKETS = 1024
+
+
+def _slot(key: Column) -> tuple[Column, Column]:
+    """Bucket and bit of a key in a fixed filter."""
+    h = F.xxhash64(key)
+    return F.pmod(h, F.lit(FILTER_BUCKETS)), F.pmod(F.shiftright(h, 20), F.lit(32768))
+
+
+def fixed_filter(keys: DataFrame, key: Column) -> DataFrame:
+    """Membership filter of a column: (bucket, bits), FILTER_BUCKETS rows at most. It may only err by letting keys pass."""
+    bucket, bit = _slot(key)
+    return keys.select(bucket.alias("bucket"), bit.alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg(F.col("bit")).alias("bits"))
+
+
+def marked(rows: DataFrame, key: Column, table: DataFrame, name: str) -> DataFrame:
+    """Add `name`: whether the filter lets the row's key pass. The filter is broadcast: 4 MB at most, by construction."""
+    bucket, bit = _slot(key)
+    rows = rows.withColumn("_bucket", bucket).withColumn("_bit", bit)
+    rows = rows.join(F.broadcast(table), F.col("_bucket") == F.col("bucket"), "left")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.pow(F.lit(2), F.col("_bit") % 8).cast("int")) != 0
+    return rows.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_bucket", "_bit", "bucket", "bits")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose (doc_id, xxhash64(text)) is in gone (doc_id, text_key).
+
+    Only rows that a fixed filter lets pass are shuffled for the exact anti-join; all others stay where they are.
+    """
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("text_key"))
+    rows = marked(docs.withColumn("text_key", F.xxhash64("text")), key, fixed_filter(gone, F.struct("doc_id", "text_key")), "_hit")
+    gone = gone.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"))
+    hits = rows.where("_hit").join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")), "left_anti")
+    return rows.where(~F.col("_hit")).select(*docs.columns).unionByName(hits.select(*docs.columns))
+
+
 def held_out(doc_id: str, folds: int) -> Column:
     """True where crc32(doc_id as text) mod folds is 0; a null id counts as the empty text, so it is held out."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == 0

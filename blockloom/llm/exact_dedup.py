@@ -18,22 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, written
-
-#: Buckets of the membership filter; each is a bitmap of 4 KB, so that the filter is 4 MB at any size of input.
-FILTER_BUCKETS = 1024
-
+from .common import fixed_filter, keep, marked, written
 
 def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def _slot(digest: Column) -> tuple[Column, Column]:
-    """Bucket and bit of a digest in the filter."""
-    h = F.xxhash64(digest)
-    return F.pmod(h, F.lit(FILTER_BUCKETS)), F.pmod(F.shiftright(h, 20), F.lit(32768))
-
-
 def flush(docs: DataFrame, digest=sha256) -> DataFrame:
     """Sorted digest runs (digest, doc_id, row_no), one per task, in the shared folder."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -48,25 +38,15 @@ def compact(runs: DataFrame, keep_largest: bool = True) -> DataFrame:
 
 
 def membership(index: DataFrame) -> DataFrame:
-    """Filter of the digests that occur more than once: (bucket, bits), FILTER_BUCKETS rows at most."""
-    bucket, bit = _slot(F.col("digest"))
-    some = index.where("group_size > 1").select(bucket.alias("bucket"), bit.alias("bit"))
-    return some.groupBy("bucket").agg(F.bitmap_construct_agg(F.col("bit")).alias("bits"))
-
-
-def _hit(bits: Column, bit: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bits, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0
+    """Filter of the digests that occur more than once."""
+    return fixed_filter(index.where("group_size > 1"), F.col("digest"))
 
 
 def verify(docs: DataFrame, index: DataFrame, digest=sha256) -> DataFrame:
     """Digests that more than one text shares, found by comparing the bytes of every hit of the filter."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(text.alias("text"), digest(text).alias("digest"))
-    bucket, bit = _slot(F.col("digest"))
-    rows = rows.withColumn("b", bucket).withColumn("bit", bit)
-    table = F.broadcast(membership(index))  # 4 MB at most, by construction
-    hits = rows.join(table, rows.b == table.bucket).where(_hit(F.col("bits"), F.col("bit")))
+    hits = marked(rows, F.col("digest"), membership(index), "hit").where("hit")
     texts = hits.groupBy("digest", "text").agg(F.count("*").alias("n"))
     return texts.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
 
@@ -90,6 +70,23 @@ def deduplicate(docs: DataFrame, keep_largest: bool = True, digest=sha256) -> Da
     return rows.join(by, "key").select("doc_id", F.col("keeper.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "digest")
 
 
+def distinct_documents(docs: DataFrame, keep_largest: bool = True, digest=sha256) -> DataFrame:
+    """docs with one row of each group of equal texts (null counts as empty), all columns kept.
+
+    Rows that the index's filter stops are alone and pass where they are. The others are grouped by their whole text, and
+    combined on the map side, so a hot text is one row per task before anything is shuffled.
+    """
+    index = keep(compact(flush(docs, digest), keep_largest))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = marked(docs, digest(text), membership(index), "_hit")
+    best = F.max if keep_largest else F.min
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct("doc_id", F.col("text").isNull().alias("_null"), *rest)
+    hits = rows.where("_hit").groupBy(text.alias("_text")).agg(best(row).alias("_row"))
+    hits = hits.select("_row.*", F.when(~F.col("_row._null"), F.col("_text")).alias("text"))
+    return rows.where(~F.col("_hit")).select(*docs.columns).unionByName(hits.select(*docs.columns))
+
+
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """Contract query: doc_id, keep_id, group_size, kept, text_sha256; the largest doc_id of equal texts stays."""
     out = deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"))

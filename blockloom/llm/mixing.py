@@ -96,10 +96,10 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), block: int = 64, shard: int = 4096, most: float = 3.0, seed: int = 42) -> DataFrame:
-    """doc_id, row_no, source, size, source_size, target, taken per row. Weights repeat over the sources in code-point order, null last."""
+    """doc_id, row_no, text_key, source, size, source_size, target, taken per row. Weights repeat over the sources in code-point order, null last."""
     spark = docs.sparkSession
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    rows = keep(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), words.alias("size"), F.monotonically_increasing_id().alias("row_no")))
+    rows = keep(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), words.alias("size"), F.xxhash64("text").alias("text_key"), F.monotonically_increasing_id().alias("row_no")))
     totals = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"over {MAX_SOURCES} sources: give weights to groups of sources instead")
@@ -147,7 +147,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), block: int = 64
     # the drawn table grows with the input, though Spark takes its size from the range it starts with
     taken = spans.join(times.hint("merge"), ["sid", "block"]).groupBy("row_no").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     out = rows.join(taken, "row_no", "left")
-    return out.select("doc_id", "row_no", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "row_no", "text_key", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, seed: int = 42, **options) -> DataFrame:
+    """docs as the mix takes them, all columns kept: each whole document as often as its words are taken on average.
+
+    What is left of a whole number of times is decided by a hash of the document, so that sources keep their totals.
+    Documents without words are kept once.
+    """
+    taken = mix(docs, seed=seed, **options)
+    chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_key"), F.lit(1 << 20)) / (1 << 20)
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + chance)).otherwise(1)
+    times = taken.groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(F.round(F.avg(times)).cast("int").alias("_times"))
+    rows = docs.join(times.where("_times > 0").hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_k")))
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
 
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:

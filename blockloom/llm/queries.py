@@ -9,8 +9,9 @@ from .mixing import op10_mix_sources
 from .pii import op2_pii
 from .quality import op5_quality
 from .secrets import op3_secrets
+from .sentencepiece import op7_sentencepiece
 from .simhash import op8_simhash
 from .url_filter import OP6_SQL, op6_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_pii, op3_secrets, op4_exact_dedup, op5_quality, op6_url_filter, op8_simhash, op9_lm_score, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_pii, op3_secrets, op4_exact_dedup, op5_quality, op6_url_filter, op7_sentencepiece, op8_simhash, op9_lm_score, op10_mix_sources)}
 ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_url_filter": OP6_SQL}

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, components, keep
+from .common import LOWER, components, keep, without
 
 #: Rows of one side of a comparison tile; a key with more rows is dealt over several tiles.
 TILE = 2048
@@ -43,15 +43,15 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the 64-bit fingerprint as a signed long."""
+    """(doc_id, text_key, fp) of every row; fp is the 64-bit fingerprint as a signed long, text_key tells texts of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_buffer().to_pybytes(), words, seed) if t.is_valid else 0 for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view(np.int64))], names=["doc_id", "text_key", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_key"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def _blocks(n: int) -> list[tuple[int, int]]:
@@ -138,14 +138,21 @@ def links(nodes: DataFrame, bits: int = 4, blocks: int = 7) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, seed: int = 42, blocks: int = 7) -> DataFrame:
-    """(doc_id, fp, component_id) per row. component_id: least doc_id reachable over links, null only if all its ids are null."""
+    """(doc_id, text_key, fp, component_id) per row. component_id: least doc_id reachable over links, null only if all its ids are null."""
     fps = keep(fingerprints(docs, words, seed))
     nodes = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = components(links(nodes, bits, blocks))
     nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = nodes.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = nodes.join(least, "root").select(F.col("fp").alias("of"), "component_id")
-    return fps.join(named, fps.fp == named.of).select("doc_id", "fp", "component_id")
+    return fps.join(named, fps.fp == named.of).select("doc_id", "text_key", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs with the least doc_id of each component, all columns kept."""
+    named = near_duplicates(docs, **options)
+    gone = keep(named.where("doc_id is null and component_id is not null or doc_id <> component_id").select("doc_id", "text_key").distinct())
+    return without(docs, gone)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
