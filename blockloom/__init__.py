@@ -1,0 +1 @@
+"""Files in, typed block tables out: a document-structuring engine of DataFrame transforms."""
