@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def documents(blocks: DataFrame, meta: DataFrame | None = None) -> DataFrame:
     """One row per document with its blocks in order. Only for writing: a document's blocks are gathered here."""
     body = F.struct(*[c for c in blocks.columns if c != "doc_id"])
-    out = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").alias("_p"), body.alias("_b")))).alias("_s"), F.count("*").alias("block_count"))
+    out = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").alias("_p"), body.alias("_b"))), lambda a, b: a["_p"] - b["_p"]).alias("_s"), F.count("*").alias("block_count"))
     out = out.select("doc_id", F.transform("_s", lambda x: x["_b"]).alias("blocks"), "block_count")
     return out.join(meta, "doc_id", "left") if meta is not None else out
 
