@@ -68,8 +68,9 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, vec: str = "embeddi
     """
     n = queries.count()
     if n > most_queries:
-        tagged = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(-(-n // (most_queries // 2)))))
-        blocks = [tagged.where(F.col("_b") == b).drop("_b") for b in range(-(-n // (most_queries // 2)))]
+        count = -(-2 * n // most_queries)
+        tagged = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(count)))
+        blocks = [tagged.where(F.col("_b") == b).drop("_b") for b in range(count)]
         out = search(index, blocks[0], k, vec, n)
         for b in blocks[1:]:
             out = out.unionByName(search(index, b, k, vec, n))

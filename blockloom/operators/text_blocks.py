@@ -45,9 +45,15 @@ def refine_pieces(pieces: DataFrame) -> DataFrame:
     return rows.select("doc_id", (F.row_number().over(order) - 1).alias("pos"), "type", "text", "attrs", "source", "confidence", "page", "parse_error")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows in as many partitions as there are cores, if the input has fewer (one small file); else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.isStreaming or rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def text_blocks(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Blocks of plain texts that are already in a table (key, text)."""
-    pieces = docs.select(
+    pieces = spread(docs.select(key, text)).select(
         F.col(key).cast("bigint").alias("doc_id"),
         F.lit(None).cast("string").alias("source"),
         F.lit(0).alias("piece"),
