@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features, language, normalize, segment
 from ..operators import control, embedding, escalation, layout, recipes, refine
-from ..operators.text_blocks import text_blocks
+from ..operators.text_blocks import spread, text_blocks
 from ..schema import block_id, violations
 from ..sources import files, payloads, sinks, structured, tables
 from .convert import convert_texts
@@ -35,7 +35,8 @@ def query(sql: str | None = None):
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages", "orders") else rows  # expensive expressions per row follow
 
 
 def _blocks(df: DataFrame, key: str, text, kind: str = "paragraph", level=0.5) -> DataFrame:
