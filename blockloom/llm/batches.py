@@ -24,6 +24,17 @@ BATCH = 32 << 20
 PACKED = "batch long, doc_id array<long>, flag array<boolean>, size array<long>, data binary"
 
 
+def trim() -> None:
+    """Give freed memory back to the system, as a worker lives on after a batch."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def pack(docs: DataFrame, flag, batch_bytes: int = BATCH) -> DataFrame:
     """Pack (doc_id, text) into rows of PACKED, kept in the shared folder. Null texts are empty."""
 
@@ -34,7 +45,7 @@ def pack(docs: DataFrame, flag, batch_bytes: int = BATCH) -> DataFrame:
         part, count, held = TaskContext.get().partitionId(), 0, 0
 
         def out() -> pa.RecordBatch:
-            data = zstandard.compress(b"".join(texts), 3)
+            data = zstandard.compress(b"".join(texts), 6)
             cols = [[(part << 32) + count], [ids], [flags], [[len(t) for t in texts]], [data]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["batch", "doc_id", "flag", "size", "data"])

@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import pack, unpack
+from .batches import pack, trim, unpack
 from .common import written
 
 SPACE = "▁"
-#: Longest segment that the fold takes.
-FOLDED = 40
+#: Longest segment that the fold takes, and bytes of text in a batch.
+FOLDED, BATCH = 40, 14 << 20
 
 
 class Pieces:
@@ -46,6 +46,12 @@ class Pieces:
         self.names = [p.piece for p in model.pieces]
         self.normal = {p.piece: (p.score, i) for i, p in enumerate(model.pieces) if p.type == 1}
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
+        self.of_byte = {i: bytes([b]) for b, i in self.bytes.items()}
+        self.encoded = [p.encode() for p in self.names]
+        ranks = {x: k for k, x in enumerate(sorted({-s for s, _ in self.normal.values()}))}
+        #: Equal scores share a rank; 0 is the best.
+        self.rank = {p: ranks[-s] for p, (s, _) in self.normal.items()}
+        self.pairs = {p[k : k + 2] for p in self.normal for k in range(len(p) - 1)}
         self.control = {i for i, p in enumerate(model.pieces) if p.type in (2, 3)}
         self.merges = model.trainer_spec.model_type == 2
         self.longest = max(map(len, self.normal), default=1)
@@ -60,6 +66,12 @@ class Pieces:
         b = re.escape(self.breaks)
         return re.findall(f" *[^ {b}]+| +|[{b}]" if b else " *[^ ]+| +", " " + text.replace(SPACE, " "))
 
+    def parts(self, segment: str) -> list[str]:
+        """Cut a segment further, between characters that stand side by side in no piece."""
+        s = segment.replace(" ", SPACE)
+        cuts = [0, *[k for k in range(1, len(s)) if s[k - 1 : k + 1] not in self.pairs], len(s)]
+        return [segment] if len(cuts) == 2 else [segment[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def merged(self, segment: str) -> list[int]:
         """Ids of one segment by merging with a heap: for segments that are too long to fold."""
         s = segment.replace(" ", SPACE)
@@ -96,28 +108,55 @@ class Pieces:
 
     def decoded(self, ids: list[int]) -> str:
         """The text of a list of ids: pieces joined, byte pieces as UTF-8, the space put before the text taken off."""
-        of_byte = {i: b for b, i in self.bytes.items()}
-        data = b"".join(bytes([of_byte[i]]) if i in of_byte else b"" if i in self.control else self.names[i].encode() for i in ids)
-        text = data.decode("utf-8", "replace").replace(SPACE, " ")
+        text = b"".join(self.of_byte.get(i) or (b"" if i in self.control else self.encoded[i]) for i in ids).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
+    def best_path(self, segment: str) -> list[int]:
+        """Ids of one segment by Viterbi: for segments of a unigram model that are too long to fold."""
+        s = segment.replace(" ", SPACE)
+        unknown = self.unknown
+        cost, back = [0.0] + [float("inf")] * len(s), [0] * (len(s) + 1)
+        for to in range(1, len(s) + 1):
+            for frm in range(max(0, to - self.longest), to):
+                found = self.normal.get(s[frm:to])
+                c = cost[frm] + (-found[0] if found else unknown if to == frm + 1 else float("inf"))
+                if c < cost[to]:
+                    cost[to], back[to] = c, frm
+        cuts, at = [], len(s)
+        while at:
+            cuts.append((back[at], at))
+            at = back[at]
+        out: list[int] = []
+        for a, b in reversed(cuts):
+            out += [self.normal[s[a:b]][1]] if s[a:b] in self.normal else [self.bytes.get(x, 0) for x in s[a:b].encode()]
+        return out
+
+    @property
+    def unknown(self) -> float:
+        return max((-s for s, _ in self.normal.values()), default=0.0) + 10.0
+
 
 def _span(start: Column, end: Column) -> Column:
-    """One key for an edge's ends."""
-    return start.cast("long") * (1 << 32) + end
+    """One key for an edge's ends; positions are below 64."""
+    return start * 64 + end
 
 
 def _edges(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(seg, n, edges): the lattice of each segment; an edge has from, to, cost (low is good) and id."""
+    """(seg, n, at): the lattice of each segment, a map from an edge's ends to rank * 2**20 + id of its piece.
+
+    An edge is one long while it is grouped. words are partitioned by segment already, so grouping needs no shuffle.
+    """
     spark = words.sparkSession
-    rows = [(p, -s, i) for p, (s, i) in pieces.normal.items()]
-    table = F.broadcast(spark.createDataFrame(rows, "piece string, cost double, id int"))  # as many rows as the vocabulary file
+    rows = [(p, pieces.rank[p] << 20 | i) for p, (_, i) in pieces.normal.items()]
+    table = F.broadcast(spark.createDataFrame(rows, "piece string, value long"))  # as many rows as the vocabulary file
     n = F.length("seg")
-    cut = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - i)), lambda k: F.struct(i.alias("from"), (i + k).alias("to"), F.substring(F.col("s"), i + 1, k).alias("sub")))
+    cut = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - i)), lambda k: F.struct(_span(i, i + k).alias("span"), F.substring(F.col("s"), i + 1, k).alias("sub")))
     subs = words.withColumn("s", F.translate("seg", " ", SPACE)).select("seg", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), cut))).alias("x"))
-    met = subs.select("seg", "x.*").join(table, F.col("sub") == F.col("piece"), "left").where("id is not null or to = from + 1")
-    edge = F.when(F.col("id").isNotNull(), F.struct((_span(F.col("from"), F.col("to"))).alias("span"), F.struct("cost", "id").alias("of")))
-    return met.groupBy("seg").agg(F.max("to").alias("n"), F.collect_list(edge).alias("edges"))
+    met = subs.select("seg", "x.*").join(table, F.col("sub") == F.col("piece"), "left").where("value is not null or span = 1")
+    edge = F.when(F.col("value").isNotNull(), F.shiftleft(F.col("span").cast("long"), 42).bitwiseOR(F.col("value")))
+    found = met.groupBy("seg").agg(F.collect_list(edge).alias("edges"))
+    at = F.transform("edges", lambda e: F.struct(F.shiftright(e, 42).cast("int").alias("span"), e.bitwiseAND(F.lit((1 << 42) - 1)).alias("value")))
+    return found.select("seg", F.length("seg").alias("n"), F.map_from_entries(at).alias("at"))
 
 
 def _byte_ids(char: Column, pieces: Pieces) -> Column:
@@ -131,33 +170,35 @@ def _ids(bounds: Column, pieces: Pieces) -> Column:
 
     def one(k: Column) -> Column:
         a, b = F.element_at(bounds, k), F.element_at(bounds, k + 1)
-        found = F.try_element_at("at", _span(a, b))["id"]
+        found = F.try_element_at("at", _span(a, b)).bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
         return F.when(found.isNotNull(), F.array(found)).otherwise(_byte_ids(F.substring(F.translate("seg", " ", SPACE), a + 1, b - a), pieces))
 
     return F.flatten(F.transform(F.sequence(F.lit(1), F.size(bounds) - 1), one))
 
 
 def _merge_fold() -> Column:
-    """Bounds of the symbols after all merges: each step drops the inner bound of the best pair."""
-    inf = F.lit(float("inf"))
+    """Bounds of the symbols after all merges: each step drops the inner bound of the best pair, until there is none."""
+    none = F.lit(1 << 40)
 
-    def step(b: Column, _: Column) -> Column:
-        cost = lambda k: F.coalesce(F.try_element_at("at", _span(F.element_at(b, k), F.element_at(b, k + 2)))["cost"], inf)
-        best = F.array_min(F.transform(F.sequence(F.lit(1), F.size(b) - 2), lambda k: F.struct(cost(k).alias("cost"), k.alias("k"))))
-        drop = F.transform(F.array(best), lambda m: F.when(m["cost"] < inf, F.concat(F.slice(b, F.lit(1), m["k"]), F.slice(b, m["k"] + 2, F.size(b)))).otherwise(b))
-        return F.when(F.size(b) > 2, F.element_at(drop, 1)).otherwise(b)
+    def step(s: Column, _: Column) -> Column:
+        b = s["b"]
+        rank = lambda k: F.coalesce(F.shiftright(F.try_element_at("at", _span(F.element_at(b, k), F.element_at(b, k + 2))), 20), none)
+        best = F.array_min(F.transform(F.sequence(F.lit(1), F.size(b) - 2), lambda k: F.struct(rank(k).alias("rank"), k.alias("k"))))
+        drop = lambda m: F.when(m["rank"] < none, F.struct(F.concat(F.slice(b, F.lit(1), m["k"]), F.slice(b, m["k"] + 2, F.size(b))).alias("b"), F.lit(False).alias("done"))).otherwise(F.struct(b.alias("b"), F.lit(True).alias("done")))
+        return F.when(s["done"] | (F.size(b) <= 2), s).otherwise(F.element_at(F.transform(F.array(best), drop), 1))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n") - 1)), F.sequence(F.lit(0), F.col("n")), step)
+    start = F.struct(F.sequence(F.lit(0), F.col("n")).alias("b"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n") - 1)), start, step)["b"]
 
 
-def _viterbi_fold(unknown: float) -> Column:
+def _viterbi_fold(costs: Column, unknown: float) -> Column:
     """Bounds of the best path of a unigram lattice: a table of (cost, path) per position, filled from left to right."""
     start = F.array(F.struct(F.lit(0.0).alias("cost"), F.array(F.lit(0)).alias("path")))
 
     def step(best: Column, to: Column) -> Column:
         def through(frm: Column) -> Column:
-            edge = F.try_element_at("at", _span(frm, to))["cost"]
-            cost = F.coalesce(edge, F.when(to == frm + 1, F.lit(unknown)))
+            rank = F.shiftright(F.try_element_at("at", _span(frm, to)), 20).cast("int")
+            cost = F.coalesce(F.element_at(costs, rank + 1), F.when(to == frm + 1, F.lit(unknown)))
             before = F.element_at(best, frm + 1)
             return F.struct((before["cost"] + cost).alias("cost"), F.concat(before["path"], F.array(to)).alias("path"))
 
@@ -169,19 +210,17 @@ def _viterbi_fold(unknown: float) -> Column:
 
 def encoded_segments(words: DataFrame, pieces: Pieces) -> DataFrame:
     """(seg, ids) of distinct segments."""
-    short = words.where(F.length("seg") <= FOLDED)
-    lattice = _edges(short, pieces).select("seg", "n", F.map_from_entries("edges").alias("at"))
-    worst = max((-s for s, _ in pieces.normal.values()), default=0.0) + 10.0
-    folded = lattice.withColumn("bounds", _merge_fold() if pieces.merges else _viterbi_fold(worst))
+    lattice = _edges(words.where(F.length("seg") <= FOLDED), pieces)
+    costs = F.array(*[F.lit(float(-s)) for s in sorted({s for s, _ in pieces.normal.values()}, reverse=True)]) if not pieces.merges else None
+    folded = lattice.withColumn("bounds", _merge_fold() if pieces.merges else _viterbi_fold(costs, pieces.unknown))
     out = folded.select("seg", _ids(F.col("bounds"), pieces).alias("ids"))
-    if not pieces.merges:
-        return out.unionByName(_edges(words.where(F.length("seg") > FOLDED), pieces).select("seg", "n", F.map_from_entries("edges").alias("at")).withColumn("bounds", _viterbi_fold(worst)).select("seg", _ids(F.col("bounds"), pieces).alias("ids")))
+    one = pieces.merged if pieces.merges else pieces.best_path
 
-    def merged(segs: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def each(segs: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in segs:
-            yield s.map(pieces.merged)
+            yield s.map(one)
 
-    long = words.where(F.length("seg") > FOLDED).select("seg", F.pandas_udf(merged, "array<int>")("seg").alias("ids"))
+    long = words.where(F.length("seg") > FOLDED).select("seg", F.pandas_udf(each, "array<int>")("seg").alias("ids"))
     return out.unionByName(long)
 
 
@@ -191,49 +230,60 @@ RESULT = "doc_id long, n_tokens long, ids array<int>, round_trip boolean"
 def encode(docs: DataFrame, model_file: str) -> DataFrame:
     """RESULT per row of docs (doc_id, text): ids, and whether decoding them gives the text back."""
     pieces = Pieces(model_file)
-    packed = pack(docs, F.lit(False))
+    packed = pack(docs, F.lit(False), BATCH)
+
+    def distinct(texts: list[bytes]) -> list[str]:
+        named: set[str] = set()
+        for t in texts:
+            named.update(pieces.segments(t.decode("utf-8", "replace")))
+        return sorted(named)
 
     def list_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 batch, _, _, texts = unpack(b, k)
-                named: set[str] = set()
-                for t in texts:
-                    named.update(pieces.segments(t.decode("utf-8", "replace")))
-                segs = sorted(named)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(segs), batch, np.int64)), pa.array(np.arange(len(segs))), pa.array(segs, pa.string())], names=["batch", "place", "seg"])
+                found = sorted({p for s in distinct(texts) for p in pieces.parts(s)})
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), batch, np.int64)), pa.array(np.arange(len(found))), pa.array(found, pa.string())], names=["batch", "place", "seg"])
+                trim()
 
     keys = written(packed.mapInArrow(list_segments, "batch long, place long, seg string"))
     table = written(encoded_segments(keys.select("seg").distinct(), pieces))
     looked_up = keys.join(table.hint("merge"), "seg").select("batch", "place", "ids")
 
+    def gathered(flat: np.ndarray, first: np.ndarray, many: np.ndarray) -> np.ndarray:
+        """Runs of flat, one after the other."""
+        return flat[np.arange(int(many.sum())) + np.repeat(first - (np.cumsum(many) - many), many)]
+
     def run(one: pa.Table, other: pa.Table) -> pa.Table:
-        order = np.argsort(other["place"].to_numpy())
-        column = other["ids"].combine_chunks().take(pa.array(order))
+        column = other["ids"].combine_chunks().take(pa.array(np.argsort(other["place"].to_numpy())))
         flat, ends = column.flatten().to_numpy(), column.offsets.to_numpy()
-        first, many = ends[:-1], np.diff(ends)
         doc_ids: list = []
-        parts, counts, same = [], [], []
+        parts, counts, same = [np.empty(0, np.int32)], [], []
         for k in range(one.num_rows):
             _, ids, _, texts = unpack(one, k)
             doc_ids += ids
-            texts = [t.decode("utf-8", "replace") for t in texts]
-            named: set[str] = set()
-            for t in texts:
-                named.update(pieces.segments(t))
-            segs = sorted(named)
-            place = {s: i for i, s in enumerate(segs)}
+            segs = distinct(texts)
+            cut = [pieces.parts(s) for s in segs]
+            at = {p: i for i, p in enumerate(sorted({p for c in cut for p in c}))}
+            of = np.fromiter((at[p] for c in cut for p in c), np.int64)
+            n_parts = np.fromiter(map(len, cut), np.int64, len(cut))
+            # ids of whole segments, one after the other
+            own = gathered(flat, ends[of], ends[of + 1] - ends[of]) if len(of) else flat[:0]
+            to = np.concatenate(([0], np.cumsum((ends[of + 1] - ends[of]) if len(of) else np.empty(0, np.int64))))
+            bound = to[np.concatenate(([0], np.cumsum(n_parts)))]
+            first, many = bound[:-1], np.diff(bound)
             # a segment decodes by itself, as bytes never run over its ends: each distinct one is decoded once
-            good = np.array([pieces.decoded(flat[first[i] : first[i] + many[i]].tolist()) == (s[1:] if s.startswith(" ") else s) for i, s in enumerate(segs)], bool)
+            listed, edge = own.tolist(), bound.tolist()
+            good = np.fromiter((pieces.decoded(listed[a:b]) == (s[1:] if s[0] == " " else s) for s, a, b in zip(segs, edge, edge[1:])), bool, len(segs))
+            place = {s: i for i, s in enumerate(segs)}
+            del listed, cut, at
             for t in texts:
-                at = np.fromiter(map(place.__getitem__, pieces.segments(t)), np.int64)
-                n = many[at]
-                step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at], n)
-                parts.append(flat[step])
-                counts.append(len(step))
-                same.append(bool(good[at].all()))
-        flat_ids = np.concatenate(parts).astype(np.int32) if parts else np.empty(0, np.int32)
-        ids_col = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(flat_ids))
+                which = np.fromiter(map(place.__getitem__, pieces.segments(t.decode("utf-8", "replace"))), np.int64)
+                parts.append(gathered(own, first[which], many[which]).astype(np.int32))
+                counts.append(len(parts[-1]))
+                same.append(bool(good[which].all()))
+        ids_col = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(np.concatenate(parts)))
+        trim()
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids": ids_col, "round_trip": pa.array(same, pa.bool_())})
 
     return packed.groupBy("batch").cogroup(looked_up.groupBy("batch")).applyInArrow(run, RESULT)
