@@ -67,10 +67,11 @@ def marked(rows: DataFrame, key: Column, table: DataFrame, name: str) -> DataFra
     """Add `name`: whether the filter lets the row's key pass. The filter is broadcast: 4 MB at most, by construction."""
     bucket, bit = _slot(key)
     rows = rows.withColumn("_bucket", bucket).withColumn("_bit", bit)
-    rows = rows.join(F.broadcast(table), F.col("_bucket") == F.col("bucket"), "left")
-    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    table = table.select(F.col("bucket").alias("_of"), F.col("bits").alias("_bits"))
+    rows = rows.join(F.broadcast(table), F.col("_bucket") == F.col("_of"), "left")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = byte.bitwiseAND(F.pow(F.lit(2), F.col("_bit") % 8).cast("int")) != 0
-    return rows.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_bucket", "_bit", "bucket", "bits")
+    return rows.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_bucket", "_bit", "_of", "_bits")
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -78,10 +79,10 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
     Only rows that a fixed filter lets pass are shuffled for the exact anti-join; all others stay where they are.
     """
-    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("text_key"))
-    rows = marked(docs.withColumn("text_key", F.xxhash64("text")), key, fixed_filter(gone, F.struct("doc_id", "text_key")), "_hit")
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("_text_key").alias("text_key"))
+    rows = marked(docs.withColumn("_text_key", F.xxhash64("text")), key, fixed_filter(gone, F.struct("doc_id", "text_key")), "_hit")
     gone = gone.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"))
-    hits = rows.where("_hit").join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")), "left_anti")
+    hits = rows.where("_hit").join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text_key") == F.col("_k")), "left_anti")
     return rows.where(~F.col("_hit")).select(*docs.columns).unionByName(hits.select(*docs.columns))
 
 
