@@ -138,7 +138,7 @@ def test_exact_dedup(spark, docs, digest):
     sizes = Counter((r.keep_id, r.group_size) for r in rows)
     assert sizes == Counter((None if max(g) < 0 else max(g), len(g)) for g in groups.values() for _ in g)
     kept = exact_dedup.distinct_documents(docs, digest=digest)
-    assert kept.columns == docs.columns and Counter(r.text or "" for r in kept.collect()) == Counter(groups)
+    assert kept.columns == docs.columns and Counter(r.text or "" for r in kept.collect()) == Counter(list(groups))
     assert exact_dedup.deduplicate(bare(spark)).count() == 0
 
 
