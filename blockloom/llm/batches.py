@@ -17,24 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import trim, written
 
 #: Bytes of text in a batch (a longer text is a batch of its own).
 BATCH = 32 << 20
 PACKED = "batch long, doc_id array<long>, flag array<boolean>, size array<long>, data binary"
 
 
-def trim() -> None:
-    """Give freed memory back to the system, as a worker lives on after a batch."""
-    import ctypes
-
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):
-        pass
-
-
 def pack(docs: DataFrame, flag, batch_bytes: int = BATCH) -> DataFrame:
     """Pack (doc_id, text) into rows of PACKED, kept in the shared folder. Null texts are empty."""
 

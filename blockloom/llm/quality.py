@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, held_out, keep
+from .common import held_out, keep, trim
 
 NAMES = ("log_bytes", "log_words", "word_length", "word_spread", "distinct", "top_word", "upper", "digits", "stops", "symbols", "beyond_ascii", "lines", "repeated_lines", "tailed", "caps_words", "bars")
 
@@ -75,6 +75,8 @@ def vectors(docs: DataFrame) -> DataFrame:
         for b in batches:
             x = [statistics(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
+            del b, x
+            trim()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, x array<double>")
@@ -165,6 +167,8 @@ def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, f
             x = [statistics(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column(place)]
             if x:
                 yield b.filter(pa.array(model.score(np.array(x)) >= threshold))
+            del b, x
+            trim()
 
     return docs.mapInArrow(run, docs.schema)
 

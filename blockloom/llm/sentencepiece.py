@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import pack, trim, unpack
-from .common import written
+from .batches import pack, unpack
+from .common import trim, written
 
 SPACE = "▁"
 #: Longest segment that the fold takes, and bytes of text in a batch.

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, components, keep, without
+from .common import LOWER, components, keep, trim, without
 
 #: Rows of one side of a comparison tile; a key with more rows is dealt over several tiles.
 TILE = 2048
@@ -49,6 +49,8 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
         for b in batches:
             fp = np.array([fingerprint(t.as_buffer().to_pybytes(), words, seed) if t.is_valid else 0 for t in b.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view(np.int64))], names=["doc_id", "text_key", "fp"])
+            del b
+            trim()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_key"))
     return rows.mapInArrow(run, "doc_id long, text_key long, fp long")
