@@ -252,6 +252,44 @@ def test_simhash(spark, docs):
     assert simhash.one_of_each(docs).columns == docs.columns
 
 
+def shingle_set(text, n=5):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))}
+
+
+def copies_brute(rows):
+    """Components of all pairs within the distance, without blocks."""
+    wide = [int.from_bytes(simhash.signature((r.text or "").encode())[0], "big") for r in rows]
+    return components_brute(wide, [r.doc_id for r in rows], simhash.COPY_DIFFER)
+
+
+def test_near_copies(spark, docs, monkeypatch):
+    rows = docs.collect()
+    got = Counter((r.doc_id, r.component_id) for r in simhash.near_copies(docs).collect())
+    assert got == Counter(zip([r.doc_id for r in rows], copies_brute(rows)))
+    assert simhash.near_copies(bare(spark)).count() == 0
+    assert simhash.one_of_near(docs).columns == docs.columns
+    # a group of copies with a few edits each, hot enough for several tiles, and texts that share but a passage with it
+    monkeypatch.setattr(simhash, "TILE", 16)
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in rng.integers(5000, size=300)]
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        for at in rng.choice(300, 3, replace=False):
+            words[at] = f"x{rng.integers(10**6)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(base[:60] + [f"y{k}" for k in rng.integers(10**6, size=240)]) for _ in range(20)]
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == {k: 0 if k < 60 else k for k in range(80)}
+
+
+def test_bit_counts():
+    rows = np.random.default_rng(1).integers(1 << 63, size=(3000, 2), dtype=np.uint64)
+    want = np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    assert (simhash._ones(rows) == want).all() and (simhash._ones(rows[:2]) == np.unpackbits(rows[:2].view(np.uint8), axis=1, bitorder="little").sum(axis=0)).all()
+
+
 def test_links_through_hot_tiles(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 16)  # hot keys are dealt over many tiles
     rng = np.random.default_rng(5)
@@ -390,8 +428,9 @@ def test_pipeline_stages(spark):
             assert sorted(r.doc_id for r in out.collect()) == sorted(texts.values())
         if k == 2:
             rows = seen.collect()
-            roots = components_brute([simhash.fingerprint((r.text or "").encode()) for r in rows], [r.doc_id for r in rows], 4)
-            assert sorted(r.doc_id for r in out.collect()) == sorted(set(roots))
+            assert sorted(r.doc_id for r in out.collect()) == sorted(set(copies_brute(rows)))
+            kept = [shingle_set(r.text) for r in out.collect()]
+            assert all(len(a & b) < 0.8 * len(a | b) for i, a in enumerate(kept) for b in kept[:i])
         if k == 3:
             assert {r.doc_id for r in out.collect()} <= {r.doc_id for r in seen.collect()}
         seen = out
