@@ -163,8 +163,12 @@ def _least(docs: DataFrame, named: DataFrame) -> DataFrame:
 #: Near copies: words of a shingle, bits of its fingerprint, and bits that may differ. Two sets with a Jaccard similarity of
 #: 0.8 differ in 15.1 % of the bits (an angle of arccos 0.889) with a deviation of 1.1 %; 0.75 means 17.2 %, 0.7 19.4 %.
 COPY_WORDS, COPY_BITS, COPY_DIFFER = 5, 1024, 176
-#: Their blocks: words of a shingle, number of blocks, bits of each. Short shingles, as an edit changes fewer of them.
-BLOCK_WORDS, BLOCKS, BLOCK_BITS = 2, 96, 26
+#: Their candidates: pairs with a Jaccard similarity of JOIN_FOUR / 4 or more of the shingle sets meet for certain. The share
+#: is below 0.8, as the distance also takes most pairs of 0.75 to 0.8.
+JOIN_FOUR = 3
+#: The order of the join: shingles of at least COMMON_LEAST of about COMMON_OF sampled texts come last, the COMMON_MOST most
+#: frequent ones at most. The order decides how many candidates there are, never which copies are found.
+COMMON_OF, COMMON_LEAST, COMMON_MOST = 8192, 4, 1 << 16
 
 
 def _mixed(h: np.ndarray, rounds: np.ndarray) -> np.ndarray:
@@ -191,42 +195,84 @@ def _ones(rows: np.ndarray) -> np.ndarray:
     return total
 
 
-def _wide(hashes: np.ndarray, words: int, n: int) -> np.ndarray:
-    """n bits over the distinct shingles of `words` words, given each word's hash: set where over half of them set it."""
-    words = min(words, len(hashes))
+def shingles(text: bytes) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of COPY_WORDS words of one UTF-8 text; a shorter text is one shingle."""
+    hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in text.translate(LOWER).split()], np.uint64)
+    words = min(COPY_WORDS, len(hashes))
     if not words:
-        return np.zeros(n, bool)
+        return hashes
     h = np.zeros(len(hashes) - words + 1, np.uint64)
     for k in range(words):
         h = (h ^ hashes[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
-    h = np.unique(h)
+    return np.unique(h)
+
+
+def _wide(h: np.ndarray, n: int) -> np.ndarray:
+    """n bits over shingle hashes: set where over half of them set it."""
+    if not len(h):
+        return np.zeros(n, bool)
     rounds = np.arange(1, -(-n // 64) + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     ones = sum(_ones(_mixed(h[k : k + 4096], rounds)) for k in range(0, len(h), 4096))
     return (2 * ones > len(h))[:n]
 
 
-def signature(text: bytes) -> tuple[bytes, list[int]]:
-    """Fingerprint of COPY_BITS bits of one UTF-8 text, and the values of its blocks."""
-    hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in text.translate(LOWER).split()], np.uint64)
-    parts = _wide(hashes, BLOCK_WORDS, BLOCKS * BLOCK_BITS).reshape(BLOCKS, BLOCK_BITS)
-    return np.packbits(_wide(hashes, COPY_WORDS, COPY_BITS)).tobytes(), (parts @ (1 << np.arange(BLOCK_BITS))).tolist()
+def _prefix(h: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set, rarest first: those of which a pair similar enough shares one for certain.
+
+    Such a pair shares JOIN_FOUR / 4 of either set, so the first of the shared shingles in any order that holds for all
+    sets has at most a fourth of either set before it. common: sorted hashes of common shingles, with their counts.
+    """
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        h = h[np.argsort(np.where(common[at] == h, counts[at], 0), kind="stable")]
+    return h[: len(h) + JOIN_FOUR * len(h) // -4 + 1]
+
+
+NONE = np.empty(0, np.uint64)
+
+
+def signature(text: bytes, common: np.ndarray = NONE, counts: np.ndarray = NONE) -> tuple[bytes, np.ndarray, int]:
+    """Fingerprint of COPY_BITS bits of one UTF-8 text, its shingles to join by, and a hash of its whole shingle set."""
+    h = shingles(text)
+    return np.packbits(_wide(h, COPY_BITS)).tobytes(), _prefix(h, common, counts), xxhash.xxh64_intdigest(h.tobytes())
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles that are common in a sample of the texts, and in how many of them: COMMON_MOST at most."""
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(max(1, docs.count() // COMMON_OF))) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                if t.is_valid:
+                    yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_buffer().to_pybytes()).view(np.int64))], names=["h"])
+            trim()
+
+    seen = some.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n"))
+    top = seen.where(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "h").limit(COMMON_MOST).toArrow()
+    h, n = top["h"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, node, wide, parts) of every row; equal signatures share a node."""
+    """(doc_id, text_key, node, wide, parts) of every row; equal shingle sets share a node."""
+    common, counts = common_shingles(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [signature(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column(1)]
-            wide, parts = pa.array([w for w, _ in found], pa.binary()), pa.array([p for _, p in found], pa.list_(pa.int32()))
-            node = pa.array([xxhash.xxh64_intdigest(w + np.array(p, np.int32).tobytes()) - (1 << 63) for w, p in found], pa.int64())
+            found = [signature(t.as_buffer().to_pybytes() if t.is_valid else b"", common, counts) for t in b.column(1)]
+            wide = pa.array([w for w, _, _ in found], pa.binary())
+            ends = np.cumsum([0] + [len(p) for _, p, _ in found]).astype(np.int32)
+            parts = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([NONE] + [p for _, p, _ in found]).view(np.int64)))
+            node = pa.array([n - (1 << 63) for _, _, n in found], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), node, wide, parts], names=["doc_id", "text_key", "node", "wide", "parts"])
             del b
             trim()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_key"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, node long, wide binary, parts array<int>")
+    return rows.mapInArrow(run, "doc_id long, text_key long, node long, wide binary, parts array<long>")
 
 
 def _forest(wide: np.ndarray, most: int) -> tuple[list[int], list[int]]:
@@ -247,14 +293,14 @@ def _forest(wide: np.ndarray, most: int) -> tuple[list[int], list[int]]:
 
 
 def copy_links(nodes: DataFrame, most: int = COPY_DIFFER) -> DataFrame:
-    """Edges (a, b) between nodes (node, wide, parts) that share a block and differ in at most `most` bits.
+    """Edges (a, b) between nodes (node, wide, parts) that share a part and differ in at most `most` bits.
 
-    Pigeonhole: pairs that differ in fewer bits than there are blocks share one for certain; a pair with a share p of
-    differing bits is missed with a chance of (1 - (1 - p)**BLOCK_BITS)**BLOCKS. A block value with over TILE nodes is dealt
-    over pairs of chunks; a tile gives a forest, not all pairs.
+    All pairs of the similarity that _prefix is made for share a part. Parts with the very same nodes are tried once. A
+    part with over TILE nodes is dealt over pairs of chunks; a tile gives a forest, not all pairs.
     """
-    keyed = nodes.select("node", F.posexplode("parts").alias("which", "part")).select("node", F.xxhash64("which", "part").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    keyed = nodes.select("node", F.explode("parts").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")).where("n > 1")
+    sizes = sizes.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
     chunks = F.ceil(F.col("n") / TILE).cast("int")
     met = keyed.join(sizes, "key").withColumn("c", F.pmod(F.xxhash64(F.lit(7), "node"), chunks).cast("int")).select("key", "node", "c", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("d"))
     tiles = met.select(F.xxhash64("key", F.least("c", "d"), F.greatest("c", "d")).alias("tile"), "node")

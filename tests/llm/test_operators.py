@@ -284,6 +284,35 @@ def test_near_copies(spark, docs, monkeypatch):
     assert found == {k: 0 if k < 60 else k for k in range(80)}
 
 
+def test_near_copies_by_one_passage(spark):
+    """A passage appended, cut, inserted or replaced: all pairs of similarity 0.8 to 0.86 meet, and are found if within the distance."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for k in range(200):
+        base = [f"w{x}" for x in rng.integers(10**6, size=400)]
+        new = [f"w{x}" for x in rng.integers(10**6, size=rng.integers(70, 97))]
+        at = int(rng.integers(10, 300))
+        other = [base + new, base[: 400 - len(new) * 4 // 5], base[:at] + new[:-5] + base[at:], base[:at] + new[: len(new) * 2 // 5] + base[at + len(new) * 2 // 5 :]][k % 4]
+        texts += [" ".join(base), " ".join(other)]
+    similar = [len(shingle_set(a) & shingle_set(b)) / len(shingle_set(a) | shingle_set(b)) for a, b in zip(texts[::2], texts[1::2])]
+    assert sum(0.8 <= j < 0.86 for j in similar) > 150
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    signed = [simhash.signature(t.encode()) for t in texts]
+    for k, j in enumerate(similar):
+        (a, x, _), (b, y, _) = signed[2 * k : 2 * k + 2]
+        if j >= 0.8:
+            assert set(x.tolist()) & set(y.tolist())
+            near = (int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_count() <= simhash.COPY_DIFFER
+            assert found[2 * k] == 2 * k and (found[2 * k + 1] == 2 * k) == near
+    # common shingles come last in the order, and the join is as exact by it
+    for k in range(0, len(texts), 2):
+        x, y = (simhash.shingles(t.encode()) for t in texts[k : k + 2])
+        common = np.sort(rng.choice(np.union1d(x, y), 100, replace=False))
+        counts = rng.integers(4, 9, size=100)
+        if similar[k // 2] >= 0.8:
+            assert np.intersect1d(simhash._prefix(x, common, counts), simhash._prefix(y, common, counts)).size
+
+
 def test_bit_counts():
     rows = np.random.default_rng(1).integers(1 << 63, size=(3000, 2), dtype=np.uint64)
     want = np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
