@@ -110,6 +110,20 @@ def test_bootstrapping_finds_new_identifiers(spark):
     assert [(s.start, s.end, s.kind) for s in got[99].more] == [(12, 28, 0)] and not got[98].more and not got[0].more
 
 
+def test_bootstrapping_from_every_kind(spark):
+    """Seeds written in several words, short first words, and contexts that hold digits."""
+
+    def card(k):
+        d = f"4111 1111 {k:04d} 111"
+        return next(f"{d}{c}" for c in range(10) if luhn(f"{d}{c}".replace(" ", "")))
+
+    rows = [(i, f"phone: +1 (017) 555-{7000 + i} ok") for i in range(40)] + [(100 + i, f"charge {card(i)} now") for i in range(40)] + [(200 + i, f"host 10.0.{i}.1 up") for i in range(40)]
+    rows += [(300 + i, f"call line2 +49 030 55{1000 + i} ok") for i in range(40)]
+    rows += [(900, "phone: 0301234567 ok"), (901, "charge 1234-5678-9012-3450 now"), (902, "host 10.0.300.1234 up"), (903, "call line2 0309876543 ok"), (904, "see 0301234567 ok"), (905, "phone: none-2 ok")]
+    got = {r.doc_id: [(s.start, s.end, s.kind) for s in r.more] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: v for k, v in got.items() if v} == {900: [(7, 17, 3)], 901: [(7, 26, 2)], 902: [(5, 18, 1)], 903: [(11, 21, 3)]}
+
+
 def test_randomness_battery(spark):
     import base64
     import random
