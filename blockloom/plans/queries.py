@@ -272,7 +272,8 @@ def recipe_sensor_log(spark, sf_dir):
  (SELECT count(*) FILTER (regexp_matches(p_name, '^[a-z]{1,20}\\s{1,1}[a-z]{1,20}$')) AS m, count(*) AS n FROM part),
  (SELECT count(*) FILTER (regexp_matches(n_name, '^[a-z]{1,20}\\s{1,1}[a-z]{1,20}$')) AS f, count(*) AS k FROM nation)""".replace("\\\\", "\\"))
 def recipe_suggest_eval(spark, sf_dir):
-    return recipes.evaluate(r"^[a-z]{1,20}\s{1,1}[a-z]{1,20}$", _t(spark, sf_dir, "part").select(F.col("p_name").alias("text")), _t(spark, sf_dir, "nation").select(F.col("n_name").alias("text")))
+    parts = _t(spark, sf_dir, "part").select(F.col("p_name").alias("text"), F.lit("header").alias("type"))
+    return recipes.suggest(parts, _t(spark, sf_dir, "nation").select(F.col("n_name").alias("text")))[1]
 
 
 @query(r"""

@@ -168,6 +168,24 @@ def test_learn_recipe(spark):
     assert recipes.parse_recipe(recipes.render_yaml("n", rule, r.score)).rules[0].when == rule.when
 
 
+def test_learn_recipe_from_all_examples(spark):
+    texts = [f"ID-{k}" for k in range(2000)] + ["ID-12345678", "ID-x|y", "ID:7", "ID--", "", "ID-1 a"]
+    rows = [(t, "kv", {"unit": str(i), "a": "b"} if i % 2 else None) for i, t in enumerate(texts)]
+    pos = spark.createDataFrame(rows, "text string, type string, attrs map<string,string>")
+    for df, some in ((pos.coalesce(1), texts), (pos.repartition(7), texts), (pos.limit(2000), texts[:2000])):
+        rule, report = recipes.suggest(df)
+        assert rule.when == recipes.build_pattern(some) and rule.kind == "kv" and set(rule.attrs) == {"unit", "a"}
+        assert report.first().matched + report.first().missed == len(some)
+    ordered = recipes.suggest(pos.coalesce(1))[0]
+    assert ordered.attrs["unit"] == "2005" and ordered.when != "^.*$"
+    odd = ["a", "1", "-", "a1", "1-", "a|b", "x y|"] + [f"{a}|{k}" for k in range(30) for a in "a-"]
+    for some in (odd, odd[:3], ["a||b", "c--d"], ["||||||"]):
+        df = spark.createDataFrame([(t, "kv") for t in some], "text string, type string").coalesce(1)
+        assert recipes.suggest(df)[0].when == recipes.build_pattern(some)
+    with pytest.raises(ValueError):
+        recipes.suggest(pos.limit(0))
+
+
 def test_refine(spark):
     b = candidates(spark, [0.3, 0.9]).withColumn("text", F.lit("IT'S  A\nTITLE"))
     got = refine.refine(b).orderBy("pos").collect()
