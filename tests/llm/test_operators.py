@@ -124,6 +124,16 @@ def test_bootstrapping_from_every_kind(spark):
     assert {k: v for k, v in got.items() if v} == {900: [(7, 17, 3)], 901: [(7, 26, 2)], 902: [(5, 18, 1)], 903: [(11, 21, 3)]}
 
 
+def test_bootstrapping_over_several_hops(spark):
+    """A pattern that shares values only with a pattern that shares values only with one that has seeds, and so on."""
+    rows = [f"mail0: u{i}@corp.com ok" for i in range(1600)]
+    for k, n in enumerate((200, 20)):
+        rows += [f"mail{j}: p{i}@host{k} ok" for i in range(n) for j in (k, k + 1)]
+    rows.append("mail2: someone@last ok")
+    got = {r.doc_id: r.more for r in pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [(s.start, s.end, s.kind) for s in got[len(rows) - 1]] == [(7, 19, 0)]
+
+
 def test_randomness_battery(spark):
     import base64
     import random
