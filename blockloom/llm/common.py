@@ -37,7 +37,7 @@ def written(df: DataFrame) -> DataFrame:
     """Write a wide table as Parquet in the shared folder and read it back (columnar and compressed, unlike a checkpoint)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

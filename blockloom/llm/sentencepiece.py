@@ -1,17 +1,26 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
 A text is a space and then itself; it is cut where no piece of the vocabulary can lie across the cut: before a run of
-spaces and around line breaks and tabs. The distinct segments of the corpus are encoded once: substrings of bounded length
-are exploded, equi-joined to the piece table, the edges grouped by segment, and folded with the higher-order `aggregate`.
-Every batch of texts then looks up its own segments (see batches.py).
+spaces, around line breaks and tabs, and between characters that stand side by side in no piece. The distinct segments of
+the corpus are encoded once: substrings of bounded length are exploded, equi-joined to the piece table, the edges grouped
+by segment, and folded with the higher-order `aggregate`.
 
-The fold follows the model's kind. For a unigram model it is Viterbi. A BPE model's scores are merge ranks, which Viterbi
-would add up to other segmentations than the library's, so there the fold merges, step by step, the best-ranked of the
-adjacent symbols whose union is an edge (ties: the leftmost). Segments of over FOLDED characters go through the same merges
-with a heap, as the fold's cost grows with the square of the length. Characters without a piece become byte pieces.
+Texts become numbers of segments, batch by batch: a batch lists its distinct segments, most frequent first, and its texts
+as places in that list. Only the lists meet the lattice; the batch then takes its ids by place. A segment has one row per
+batch at most, so that no segment is hot: its share of all rows is below one in a batch's distinct segments.
 
-Null and empty texts have no pieces. U+2581 counts as a space, as in the library. Repeated rows are encoded each. Extra
-columns are ignored; an empty table gives an empty result. Decoding turns bytes that are no UTF-8 into U+FFFD.
+The fold follows the model's kind. For a unigram model it is Viterbi. A BPE model's scores are merge ranks, which Viterbi
+would add up to other segmentations than the library's, so there the fold walks the edges from the best rank on and takes
+an edge that joins just two symbols: one long holds the bounds between symbols. This walk is the library's greedy merging
+where no merge makes a better-ranked one possible. Pieces runs the merging on every piece to find those within which one
+does (a merge depends on the characters it covers alone, so what holds inside all pieces of a text holds in the text): for
+the public vocabulary one, 16 spaces. Segments that hold such a piece, and those of over FOLDED characters, whose bounds
+don't fit into a long, go through the same merges with a heap; with a vocabulary of many such pieces the fold merges step
+by step. Characters without a piece become byte pieces.
+
+Null and empty texts have no pieces. U+2581 is encoded as a space, as in the library; a text that holds it does not round
+trip. Repeated rows are encoded each. Very long texts are cut as they are read. Extra columns are ignored; an empty table
+gives an empty result. Decoding turns bytes that are no UTF-8 into U+FFFD.
 """
 
 from __future__ import annotations
@@ -19,19 +28,27 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import pack, unpack
-from .common import trim, written
+from .common import partitions, trim, written
 
 SPACE = "▁"
-#: Longest segment that the fold takes, and bytes of text in a batch.
-FOLDED, BATCH = 40, 14 << 20
+#: Longest segment that the fold takes: its bounds and its spans are kept in 62 and 6 bits.
+FOLDED = 60
+#: Bytes of text in a batch, bytes of text from which on a text is cut piece by piece, and segments looked up at a time.
+BATCH, LONG, SLICE = 28 << 20, 4 << 20, 1 << 20
+#: Stands for a character without a piece where ids stand otherwise.
+NO_PIECE = (1 << 20) - 1
+#: Unordered pieces that segments are searched for; with more of them the fold merges step by step.
+FEW = 64
 
 
 class Pieces:
@@ -58,13 +75,29 @@ class Pieces:
         self.breaks = "".join(c for c in "\n\t\r" if not any(c in p for p in self.normal))
         if any(SPACE in p.lstrip(SPACE) for p in self.normal):
             raise ValueError("a piece holds a space behind other characters: segments can't be cut at spaces")
+        b = re.escape(self.breaks)
+        self.cut = re.compile(f" *[^ {b}]+| +|[{b}]" if b else " *[^ ]+| +")
+
+    @cached_property
+    def unordered(self) -> list[str]:
+        """Pieces within which a merge makes a better-ranked one possible: elsewhere edges can be taken by their ranks."""
+        out = []
+        for p in self.normal if self.merges else ():
+            taken: list[tuple[float, int, int]] = []
+            self.merged(p, taken)
+            if any(a > b for a, b in zip(taken, taken[1:])):
+                out.append(p)
+        return out
 
     def segments(self, text: str) -> list[str]:
         """Cut a text, with the space put before it; joined they give it back."""
-        if not text:
-            return []
-        b = re.escape(self.breaks)
-        return re.findall(f" *[^ {b}]+| +|[{b}]" if b else " *[^ ]+| +", " " + text.replace(SPACE, " "))
+        return self.cut.findall(" " + text.replace(SPACE, " ")) if text else []
+
+    def places(self, text: str, index: dict[str, int]) -> np.ndarray:
+        """The text's segments as places in index, which new ones are added to."""
+        if len(text) <= LONG:
+            return np.array([index.setdefault(s, len(index)) for s in self.segments(text)], np.int32)
+        return np.fromiter((index.setdefault(m[0], len(index)) for m in self.cut.finditer(" " + text.replace(SPACE, " "))), np.int32)
 
     def parts(self, segment: str) -> list[str]:
         """Cut a segment further, between characters that stand side by side in no piece."""
@@ -72,8 +105,8 @@ class Pieces:
         cuts = [0, *[k for k in range(1, len(s)) if s[k - 1 : k + 1] not in self.pairs], len(s)]
         return [segment] if len(cuts) == 2 else [segment[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def merged(self, segment: str) -> list[int]:
-        """Ids of one segment by merging with a heap: for segments that are too long to fold."""
+    def merged(self, segment: str, taken: list | None = None) -> list[int]:
+        """Ids of one segment by merging with a heap: for segments that are too long to fold. taken: gets the merges."""
         s = segment.replace(" ", SPACE)
         n = len(s)
         left, right, end = list(range(-1, n - 1)), list(range(1, n + 1)), list(range(1, n + 1))
@@ -91,6 +124,8 @@ class Pieces:
             _, i, to = heapq.heappop(heap)
             if dead[i] or right[i] >= n or end[right[i]] != to:
                 continue
+            if taken is not None:
+                taken.append((self.rank[s[i:to]], i, to))
             j = right[i]
             dead[j], end[i], right[i] = True, to, right[j]
             if right[i] < n:
@@ -108,9 +143,12 @@ class Pieces:
 
     def decoded(self, ids: list[int]) -> str:
         """The text of a list of ids: pieces joined, byte pieces as UTF-8, the space put before the text taken off."""
-        text = b"".join(self.of_byte.get(i) or (b"" if i in self.control else self.encoded[i]) for i in ids).decode("utf-8", "replace").replace(SPACE, " ")
+        text = self.joined(ids)
         return text[1:] if text.startswith(" ") else text
 
+    def joined(self, ids: list[int]) -> str:
+        return b"".join(self.of_byte.get(i) or (b"" if i in self.control else self.encoded[i]) for i in ids).decode("utf-8", "replace").replace(SPACE, " ")
+
     def best_path(self, segment: str) -> list[int]:
         """Ids of one segment by Viterbi: for segments of a unigram model that are too long to fold."""
         s = segment.replace(" ", SPACE)
@@ -141,22 +179,63 @@ def _span(start: Column, end: Column) -> Column:
     return start * 64 + end
 
 
+def _long(x: int) -> Column:
+    return F.lit(x).cast("long")
+
+
 def _edges(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(seg, n, at): the lattice of each segment, a map from an edge's ends to rank * 2**20 + id of its piece.
+    """(seg, edges): the lattice of each segment, edges as longs by rank, start and end: rank << 32 | start << 26 | end << 20 | id.
 
-    An edge is one long while it is grouped. words are partitioned by segment already, so grouping needs no shuffle.
+    words are partitioned by segment already, so grouping needs no shuffle; they are sorted, so that the sort for it has
+    nothing to move. Substrings are met by digest, and the digest's piece is compared.
     """
     spark = words.sparkSession
-    rows = [(p, pieces.rank[p] << 20 | i) for p, (_, i) in pieces.normal.items()]
-    table = F.broadcast(spark.createDataFrame(rows, "piece string, value long"))  # as many rows as the vocabulary file
-    n = F.length("seg")
-    cut = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - i)), lambda k: F.struct(_span(i, i + k).alias("span"), F.substring(F.col("s"), i + 1, k).alias("sub")))
-    subs = words.withColumn("s", F.translate("seg", " ", SPACE)).select("seg", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), cut))).alias("x"))
-    met = subs.select("seg", "x.*").join(table, F.col("sub") == F.col("piece"), "left").where("value is not null or span = 1")
-    edge = F.when(F.col("value").isNotNull(), F.shiftleft(F.col("span").cast("long"), 42).bitwiseOR(F.col("value")))
-    found = met.groupBy("seg").agg(F.collect_list(edge).alias("edges"))
-    at = F.transform("edges", lambda e: F.struct(F.shiftright(e, 42).cast("int").alias("span"), e.bitwiseAND(F.lit((1 << 42) - 1)).alias("value")))
-    return found.select("seg", F.length("seg").alias("n"), F.map_from_entries(at).alias("at"))
+    rows = [(p, pieces.rank[p], i) for p, (_, i) in pieces.normal.items()]
+    table = spark.createDataFrame(rows, "piece string, rank long, id long").select(F.xxhash64("piece").alias("digest"), "piece", "rank", "id")
+    table = F.broadcast(table)  # as many rows as the vocabulary file
+    at = words.sortWithinPartitions("seg").select("seg", F.translate("seg", " ", SPACE).alias("s"), F.length("seg").alias("n"))
+    at = at.select("seg", "s", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
+    at = at.select("seg", "s", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("n") - F.col("start")))).alias("many"))
+    subs = at.select("seg", "start", (F.col("start") + F.col("many")).alias("end"), F.substring("s", F.col("start") + 1, F.col("many")).alias("sub"))
+    same = (F.xxhash64("sub") == F.col("digest")) & F.col("piece").startswith(F.col("sub")) & F.col("sub").startswith(F.col("piece"))
+    met = subs.join(table, same, "left").where("piece is not null or end = start + 1")
+    edge = F.shiftleft(F.coalesce("rank", _long(0)), 32) + F.shiftleft(_span(F.col("start"), F.col("end")).cast("long"), 20) + F.coalesce("id", _long(NO_PIECE))
+    return met.select("seg", edge.alias("edge")).groupBy("seg").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+
+
+def _ends(edge: Column) -> tuple[Column, Column]:
+    return F.shiftright(edge, 26).bitwiseAND(63).cast("int"), F.shiftright(edge, 20).bitwiseAND(63).cast("int")
+
+
+def _bit(at: Column, first: int = 1) -> Column:
+    return F.call_function("shiftleft", _long(first), at)
+
+
+def _char_ids(start: Column, pieces: Pieces) -> Column:
+    return _byte_ids(F.substring(F.translate("seg", " ", SPACE), start + 1, F.lit(1)), pieces)
+
+
+def _ranked_ids(pieces: Pieces) -> Column:
+    """Ids by taking edges from the best rank on. The state is a long with a bit for each bound between symbols."""
+
+    def step(bounds: Column, edge: Column) -> Column:
+        start, end = _ends(edge)
+        inner = bounds.bitwiseAND(_bit(end) - _bit(start, 2))
+        ends = F.call_function("shiftright", bounds, start).bitwiseAND(F.call_function("shiftright", bounds, end)).bitwiseAND(_long(1))
+        return F.when((ends == 1) & (F.bit_count(inner) == 1), bounds.bitwiseXOR(inner)).otherwise(bounds)
+
+    def ids(bounds: Column) -> Column:
+        def symbol(edge: Column) -> Column:
+            start, end = _ends(edge)
+            return bounds.bitwiseAND(_bit(end, 2) - _bit(start)) == _bit(start) + _bit(end)
+
+        symbols = F.array_sort(F.transform(F.filter("edges", symbol), lambda e: e.bitwiseAND(_long((1 << 32) - 1))))
+        one = lambda e: e.bitwiseAND(_long(NO_PIECE)).cast("int")
+        all_known = F.transform(symbols, one)
+        some_unknown = F.flatten(F.transform(symbols, lambda e: F.when(one(e) == NO_PIECE, _char_ids(_ends(e)[0], pieces)).otherwise(F.array(one(e)))))
+        return F.when(F.exists("edges", lambda e: one(e) == NO_PIECE), some_unknown).otherwise(all_known)
+
+    return F.aggregate("edges", _bit(F.length("seg"), 2) - 1, step, ids)
 
 
 def _byte_ids(char: Column, pieces: Pieces) -> Column:
@@ -209,84 +288,145 @@ def _viterbi_fold(costs: Column, unknown: float) -> Column:
 
 
 def encoded_segments(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(seg, ids) of distinct segments."""
-    lattice = _edges(words.where(F.length("seg") <= FOLDED), pieces)
-    costs = F.array(*[F.lit(float(-s)) for s in sorted({s for s, _ in pieces.normal.values()}, reverse=True)]) if not pieces.merges else None
-    folded = lattice.withColumn("bounds", _merge_fold() if pieces.merges else _viterbi_fold(costs, pieces.unknown))
-    out = folded.select("seg", _ids(F.col("bounds"), pieces).alias("ids"))
+    """(seg, ids) of distinct segments, which are partitioned by segment."""
+    heaped = F.length("seg") > FOLDED
+    walked = pieces.merges and len(pieces.unordered) <= FEW
+    for p in pieces.unordered if walked else ():
+        heaped = heaped | F.contains(F.translate("seg", " ", SPACE), F.lit(p))
+    lattice = _edges(words.where(~heaped), pieces)
+    if walked:
+        out = lattice.select("seg", _ranked_ids(pieces).alias("ids"))
+    else:
+        value = lambda e: F.struct(F.shiftright(e, 20).bitwiseAND(4095).cast("int"), F.shiftleft(F.shiftright(e, 32), 20) + e.bitwiseAND(_long(NO_PIECE)))
+        known = F.filter("edges", lambda e: e.bitwiseAND(_long(NO_PIECE)) != NO_PIECE)
+        by_span = lattice.select("seg", F.length("seg").alias("n"), F.map_from_entries(F.transform(known, value)).alias("at"))
+        costs = F.array(*[F.lit(float(-s)) for s in sorted({s for s, _ in pieces.normal.values()}, reverse=True)]) if not pieces.merges else None
+        folded = by_span.withColumn("bounds", _merge_fold() if pieces.merges else _viterbi_fold(costs, pieces.unknown))
+        out = folded.select("seg", _ids(F.col("bounds"), pieces).alias("ids"))
     one = pieces.merged if pieces.merges else pieces.best_path
 
     def each(segs: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in segs:
             yield s.map(one)
 
-    long = words.where(F.length("seg") > FOLDED).select("seg", F.pandas_udf(each, "array<int>")("seg").alias("ids"))
+    long = words.where(heaped).select("seg", F.pandas_udf(each, "array<int>")("seg").alias("ids"))
     return out.unionByName(long)
 
 
+#: A batch: its documents (id, number of segments, whether U+2581 occurs), their segments as places, the parts that each
+#: segment is cut into as places, and the distinct parts.
+NUMBERED = "batch long, doc_id array<long>, words array<long>, marked array<boolean>, places binary, many binary, of binary, parts array<string>"
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """Whole numbers below 2**32, compressed byte by byte: all lowest bytes, then all second ones and so on."""
+    return zstandard.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+
+
+def _unsqueezed(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8) if len(data) else np.empty(0, np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def numbered(docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """docs (doc_id, text) as rows of NUMBERED, kept in the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, count, held = TaskContext.get().partitionId(), 0, 0
+        ids: list[int | None] = []
+        marked: list[bool] = []
+        rows: list[np.ndarray] = []
+        index: dict[str, int] = {}
+
+        def out() -> pa.RecordBatch:
+            flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
+            order = np.argsort(-np.bincount(flat, minlength=len(index)), kind="stable")
+            place = np.empty(len(index), np.int32)
+            place[order] = np.arange(len(index), dtype=np.int32)
+            named = list(index)
+            cut = [pieces.parts(named[k]) for k in order.tolist()]
+            parts = sorted({p for c in cut for p in c})
+            at = {p: k for k, p in enumerate(parts)}
+            of = np.fromiter((at[p] for c in cut for p in c), np.int64)
+            cols = [[(part << 32) + count], [ids], [[len(r) for r in rows]], [marked], [_squeezed(place[flat])], [_squeezed(np.fromiter(map(len, cut), np.int64, len(cut)))], [_squeezed(of)], [parts]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string())]
+            names = [f.split()[0] for f in NUMBERED.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+                text = t.as_buffer().to_pybytes().decode("utf-8", "replace") if t.is_valid else ""
+                if ids and held + len(text) > BATCH:
+                    yield out()
+                    ids, marked, rows, index, held, count = [], [], [], {}, 0, count + 1
+                    trim()
+                ids.append(i)
+                marked.append(SPACE in text)
+                rows.append(pieces.places(text, index))
+                held += len(text)
+        if ids:
+            yield out()
+        trim()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return written(rows.mapInArrow(run, NUMBERED))
+
+
+def gathered(flat: np.ndarray, first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Runs of flat, one after the other."""
+    return flat[np.arange(int(many.sum())) + np.repeat(first - (np.cumsum(many) - many), many)]
+
+
 RESULT = "doc_id long, n_tokens long, ids array<int>, round_trip boolean"
 
 
 def encode(docs: DataFrame, model_file: str) -> DataFrame:
     """RESULT per row of docs (doc_id, text): ids, and whether decoding them gives the text back."""
     pieces = Pieces(model_file)
-    packed = pack(docs, F.lit(False), BATCH)
-
-    def distinct(texts: list[bytes]) -> list[str]:
-        named: set[str] = set()
-        for t in texts:
-            named.update(pieces.segments(t.decode("utf-8", "replace")))
-        return sorted(named)
+    batches = numbered(docs, pieces)
+    # both sides of the join read one and the same shuffle: the segments with their batches, by segment
+    keys = batches.select("batch", F.posexplode("parts").alias("place", "seg")).repartition(partitions(docs.sparkSession), "seg")
+    words = keys.groupBy("seg").agg(F.min("batch"), F.min("place")).select("seg")
 
-    def list_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                batch, _, _, texts = unpack(b, k)
-                found = sorted({p for s in distinct(texts) for p in pieces.parts(s)})
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), batch, np.int64)), pa.array(np.arange(len(found))), pa.array(found, pa.string())], names=["batch", "place", "seg"])
-                trim()
+    def check(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for seg, ids in pairs:
+            yield pd.Series([pieces.joined(x) == s for s, x in zip(seg, ids)], dtype=bool)
 
-    keys = written(packed.mapInArrow(list_segments, "batch long, place long, seg string"))
-    table = written(encoded_segments(keys.select("seg").distinct(), pieces))
-    looked_up = keys.join(table.hint("merge"), "seg").select("batch", "place", "ids")
-
-    def gathered(flat: np.ndarray, first: np.ndarray, many: np.ndarray) -> np.ndarray:
-        """Runs of flat, one after the other."""
-        return flat[np.arange(int(many.sum())) + np.repeat(first - (np.cumsum(many) - many), many)]
+    table = encoded_segments(words, pieces).withColumn("same", F.pandas_udf(check, "boolean")("seg", "ids"))
+    looked_up = keys.join(table.hint("merge"), "seg").select(F.col("batch").alias("to"), "place", "ids", "same")
 
     def run(one: pa.Table, other: pa.Table) -> pa.Table:
-        column = other["ids"].combine_chunks().take(pa.array(np.argsort(other["place"].to_numpy())))
+        order = pa.array(np.argsort(other["place"].to_numpy()))
+        column = other["ids"].combine_chunks().take(order)
+        good = other["same"].combine_chunks().take(order).to_numpy(zero_copy_only=False)
         flat, ends = column.flatten().to_numpy(), column.offsets.to_numpy()
         doc_ids: list = []
         parts, counts, same = [np.empty(0, np.int32)], [], []
         for k in range(one.num_rows):
-            _, ids, _, texts = unpack(one, k)
-            doc_ids += ids
-            segs = distinct(texts)
-            cut = [pieces.parts(s) for s in segs]
-            at = {p: i for i, p in enumerate(sorted({p for c in cut for p in c}))}
-            of = np.fromiter((at[p] for c in cut for p in c), np.int64)
-            n_parts = np.fromiter(map(len, cut), np.int64, len(cut))
+            cell = lambda name: one[name][k]  # noqa: E731, B023
+            doc_ids += cell("doc_id").as_py()
+            many, of = _unsqueezed(cell("many").as_py()), _unsqueezed(cell("of").as_py())
             # ids of whole segments, one after the other
-            own = gathered(flat, ends[of], ends[of + 1] - ends[of]) if len(of) else flat[:0]
-            to = np.concatenate(([0], np.cumsum((ends[of + 1] - ends[of]) if len(of) else np.empty(0, np.int64))))
-            bound = to[np.concatenate(([0], np.cumsum(n_parts)))]
-            first, many = bound[:-1], np.diff(bound)
-            # a segment decodes by itself, as bytes never run over its ends: each distinct one is decoded once
-            listed, edge = own.tolist(), bound.tolist()
-            good = np.fromiter((pieces.decoded(listed[a:b]) == (s[1:] if s[0] == " " else s) for s, a, b in zip(segs, edge, edge[1:])), bool, len(segs))
-            place = {s: i for i, s in enumerate(segs)}
-            del listed, cut, at
-            for t in texts:
-                which = np.fromiter(map(place.__getitem__, pieces.segments(t.decode("utf-8", "replace"))), np.int64)
-                parts.append(gathered(own, first[which], many[which]).astype(np.int32))
-                counts.append(len(parts[-1]))
-                same.append(bool(good[which].all()))
+            sizes = ends[of + 1] - ends[of]
+            own = gathered(flat, ends[of], sizes)
+            bound = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(many)))]
+            first, length = bound[:-1], np.diff(bound)
+            bad = np.add.reduceat(~good[of], np.cumsum(many) - many) if len(of) else np.empty(0, np.int64)
+            words = np.array(cell("words").as_py(), np.int64)
+            places = _unsqueezed(cell("places").as_py())
+            for s in range(0, len(places), SLICE):
+                here = places[s : s + SLICE]
+                parts.append(gathered(own, first[here], length[here]))
+            to = np.concatenate(([0], np.cumsum(words)))
+            total, wrong = (np.concatenate(([0], np.cumsum(x[places]))) for x in (length, bad))
+            counts.append(total[to[1:]] - total[to[:-1]])
+            same += ((wrong[to[1:]] == wrong[to[:-1]]) & ~np.array(cell("marked").as_py(), bool)).tolist()
+        counts = np.concatenate(counts) if counts else np.empty(0, np.int64)
         ids_col = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(np.concatenate(parts)))
         trim()
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids": ids_col, "round_trip": pa.array(same, pa.bool_())})
 
-    return packed.groupBy("batch").cogroup(looked_up.groupBy("batch")).applyInArrow(run, RESULT)
+    return batches.drop("parts").groupBy("batch").cogroup(looked_up.groupBy("to")).applyInArrow(run, RESULT)
 
 
 def decode(encoded: DataFrame, model_file: str) -> DataFrame:

@@ -219,14 +219,32 @@ def test_digest_array_confirms_strings(tmp_path):
 # SentencePiece
 
 
-def test_sentencepiece(spark, docs):
+def vocabulary(path, to, keep, kind=2):
+    """The public vocabulary, cut to pieces that `keep` lets pass, as a model of another kind."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    model.ParseFromString(open(path, "rb").read())
+    kept = [p for p in model.pieces if p.type != 1 or keep(p)]
+    del model.pieces[:]
+    model.pieces.extend(kept)
+    model.trainer_spec.model_type = kind
+    to.write_bytes(model.SerializeToString())
+    return str(to)
+
+
+@pytest.mark.parametrize("batch,longest,few,folded", [(28 << 20, 4 << 20, 64, 60), (3000, 500, 64, 8), (3000, 500, -1, 60)])
+def test_sentencepiece(spark, docs, monkeypatch, batch, longest, few, folded):
+    """Against the library, over one batch and many, with the walk by ranks and with merges step by step."""
+    for name, value in (("BATCH", batch), ("LONG", longest), ("FEW", few), ("FOLDED", folded)):
+        monkeypatch.setattr(sentencepiece, name, value)
     path = sentencepiece.model_path(spark)
     model = sp.SentencePieceProcessor(model_file=path)
-    extra = ["  a  b\n\tc ", "é́ 中文▁x\0y", "the" * 100, "𝒳 emoji 😀😀 z", "e" * 40, "e" * 41]
+    extra = ["  a  b\n\tc ", "é́ 中文▁x\0y", "the" * 100, "𝒳 emoji 😀😀 z", "e" * 40, "e" * 41, "e" * 60, "e" * 61, " " * 15, " " * 16, " " * 31 + "x" + " " * 50, "  the of and 𝒳𝒳 \u0301"]
     df = docs.select("doc_id", "text", "batch").unionByName(spark.createDataFrame([(50 + i, t, 1) for i, t in enumerate(extra)], "doc_id long, text string, batch int"))
     out = sentencepiece.encode(df, path)
     rows = out.collect()
-    assert len(rows) == df.count() and all(r.round_trip for r in rows)
+    assert len(rows) == df.count() and all(r.round_trip != (r.doc_id == 51) for r in rows)
     known = Counter((d.doc_id, tuple(model.encode(d.text or ""))) for d in df.collect())
     assert Counter((r.doc_id, tuple(r.ids)) for r in rows) == known
     text = Counter((d.doc_id, (d.text or "").replace("▁", " ")) for d in df.collect())
@@ -235,6 +253,38 @@ def test_sentencepiece(spark, docs):
     assert sentencepiece.encode(df.where("doc_id = 0"), path).first().n_tokens == 0
 
 
+def test_sentencepiece_on_the_table(spark):
+    path = sentencepiece.model_path(spark)
+    model = sp.SentencePieceProcessor(model_file=path)
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    rows = sentencepiece.op7_sentencepiece(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == len(docs) and all(list(r.ids) == model.encode(docs[r.doc_id] or "") and r.round_trip for r in rows)
+
+
+def test_viterbi_fold(spark, tmp_path):
+    """A unigram model: the least sum of costs over all ways to cut each segment."""
+    path = vocabulary(sentencepiece.model_path(spark), tmp_path / "unigram.model", lambda p: "\u2581\u2581" not in p.piece, kind=1)
+    texts = ["the quick brown fox", "ontiontition shthe, andor", "a", "", None, "x y  z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pieces = sentencepiece.Pieces(path)
+    price = {p: -s for p, (s, _) in pieces.normal.items()}
+
+    def least(word):
+        sums = [0.0]
+        for end in range(1, len(word) + 1):
+            sums.append(min(sums[start] + price[word[start:end]] for start in range(end) if word[start:end] in price))
+        return sums[-1]
+
+    for r in sentencepiece.encode(df, path).collect():
+        want = sum(least(w.replace(" ", "▁")) for w in pieces.segments(texts[r.doc_id] or ""))
+        assert r.round_trip and sum(price[pieces.names[i]] for i in r.ids) == want
+
+
+def test_walk_by_ranks_knows_its_limits(spark, tmp_path):
+    path = sentencepiece.model_path(spark)
+    assert sentencepiece.Pieces(path).unordered == ["▁" * 16]
+
+
 # SimHash
 
 
