@@ -85,6 +85,16 @@ def marked(rows: DataFrame, key: Column, table: DataFrame, name: str) -> DataFra
     return rows.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_bucket", "_bit", "_of", "_bits")
 
 
+#: Parts that the rows of one key of a salted join are dealt over.
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
+    """rows joined with few (a row or some for each key) on `key`; a key's rows are dealt by `by` over SALTS parts."""
+    dealt = few.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(dealt, [key, "salt"]).drop("salt")
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the rows whose (doc_id, xxhash64(text)) is in gone (doc_id, text_key).
 

@@ -44,13 +44,21 @@ SPACE = "▁"
 #: Longest segment that the fold takes: its bounds and its spans are kept in 62 and 6 bits.
 FOLDED = 60
 #: Bytes of text in a batch, bytes of text from which on a text is cut piece by piece, and segments looked up at a time.
-BATCH, LONG, SLICE = 28 << 20, 4 << 20, 1 << 20
+BATCH, LONG, SLICE = 32 << 20, 4 << 20, 1 << 20
 #: Stands for a character without a piece where ids stand otherwise.
 NO_PIECE = (1 << 20) - 1
 #: Unordered pieces that segments are searched for; with more of them the fold merges step by step.
 FEW = 64
 
 
+class Index(dict):
+    """Numbers things in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = found = len(self)
+        return found
+
+
 class Pieces:
     """The vocabulary of a SentencePiece model: normal pieces with their scores, byte pieces, and the model's kind."""
 
@@ -93,17 +101,41 @@ class Pieces:
         """Cut a text, with the space put before it; joined they give it back."""
         return self.cut.findall(" " + text.replace(SPACE, " ")) if text else []
 
-    def places(self, text: str, index: dict[str, int]) -> np.ndarray:
+    def places(self, text: str, index: Index) -> np.ndarray:
         """The text's segments as places in index, which new ones are added to."""
         if len(text) <= LONG:
-            return np.array([index.setdefault(s, len(index)) for s in self.segments(text)], np.int32)
-        return np.fromiter((index.setdefault(m[0], len(index)) for m in self.cut.finditer(" " + text.replace(SPACE, " "))), np.int32)
+            return np.array(list(map(index.__getitem__, self.segments(text))), np.int32)
+        return np.fromiter((index[m[0]] for m in self.cut.finditer(" " + text.replace(SPACE, " "))), np.int32)
 
-    def parts(self, segment: str) -> list[str]:
-        """Cut a segment further, between characters that stand side by side in no piece."""
-        s = segment.replace(" ", SPACE)
-        cuts = [0, *[k for k in range(1, len(s)) if s[k - 1 : k + 1] not in self.pairs], len(s)]
-        return [segment] if len(cuts) == 2 else [segment[a:b] for a, b in zip(cuts, cuts[1:])]
+    @cached_property
+    def joins(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which characters stand side by side in a piece: a table for code points below 512, and sorted keys of all pairs."""
+        keys = np.array(sorted(ord(a) << 21 | ord(b) for a, b in self.pairs), np.int64)
+        low = np.zeros((512, 512), bool)
+        for a, b in self.pairs:
+            if max(a, b) < "\u0200":
+                low[ord(a), ord(b)] = True
+        return low, keys
+
+    def all_parts(self, segments: list[str]) -> tuple[list[str], np.ndarray]:
+        """Segments cut between characters that stand side by side in no piece: all parts in a row, and how many each has."""
+        text = "".join(segments)
+        if not text:
+            return [], np.zeros(len(segments), np.int64)
+        low, keys = self.joins
+        code = np.frombuffer(text.replace(" ", SPACE).encode("utf-32-le"), "<u4").astype(np.int64)
+        a, b = code[:-1], code[1:]
+        small = (a < 512) & (b < 512)
+        cut = np.ones(len(code) + 1, bool)
+        inner = cut[1:-1]
+        inner[small] = ~low[a[small], b[small]]
+        key = (a << 21 | b)[~small]
+        inner[~small] = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] != key
+        del a, b, small, key, code
+        starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)))))
+        cut[starts] = True
+        at = np.flatnonzero(cut)
+        return [text[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())], np.diff(np.searchsorted(at, starts))
 
     def merged(self, segment: str, taken: list | None = None) -> list[int]:
         """Ids of one segment by merging with a heap: for segments that are too long to fold. taken: gets the merges."""
@@ -169,6 +201,12 @@ class Pieces:
             out += [self.normal[s[a:b]][1]] if s[a:b] in self.normal else [self.bytes.get(x, 0) for x in s[a:b].encode()]
         return out
 
+    @cached_property
+    def bytes_of(self) -> tuple[np.ndarray, np.ndarray]:
+        """What the pieces decode to, one after the other, and where each ends."""
+        said = [self.of_byte.get(i) or (b"" if i in self.control else e.replace(SPACE.encode(), b" ")) for i, e in enumerate(self.encoded)]
+        return np.frombuffer(b"".join(said), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in said])))
+
     @property
     def unknown(self) -> float:
         return max((-s for s, _ in self.normal.values()), default=0.0) + 10.0
@@ -184,7 +222,7 @@ def _long(x: int) -> Column:
 
 
 def _edges(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(seg, edges): the lattice of each segment, edges as longs by rank, start and end: rank << 32 | start << 26 | end << 20 | id.
+    """(seg, edges): the lattice of the first n characters of each segment, edges as longs by rank, start and end: rank << 32 | start << 26 | end << 20 | id.
 
     words are partitioned by segment already, so grouping needs no shuffle; they are sorted, so that the sort for it has
     nothing to move. Substrings are met by digest, and the digest's piece is compared.
@@ -193,7 +231,7 @@ def _edges(words: DataFrame, pieces: Pieces) -> DataFrame:
     rows = [(p, pieces.rank[p], i) for p, (_, i) in pieces.normal.items()]
     table = spark.createDataFrame(rows, "piece string, rank long, id long").select(F.xxhash64("piece").alias("digest"), "piece", "rank", "id")
     table = F.broadcast(table)  # as many rows as the vocabulary file
-    at = words.sortWithinPartitions("seg").select("seg", F.translate("seg", " ", SPACE).alias("s"), F.length("seg").alias("n"))
+    at = words.sortWithinPartitions("seg").select("seg", F.translate("seg", " ", SPACE).alias("s"), "n")
     at = at.select("seg", "s", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
     at = at.select("seg", "s", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("n") - F.col("start")))).alias("many"))
     subs = at.select("seg", "start", (F.col("start") + F.col("many")).alias("end"), F.substring("s", F.col("start") + 1, F.col("many")).alias("sub"))
@@ -288,29 +326,21 @@ def _viterbi_fold(costs: Column, unknown: float) -> Column:
 
 
 def encoded_segments(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(seg, ids) of distinct segments, which are partitioned by segment."""
+    """(seg, ids) of distinct segments, which are partitioned by segment and stay so; ids is null where the heap is needed."""
     heaped = F.length("seg") > FOLDED
     walked = pieces.merges and len(pieces.unordered) <= FEW
     for p in pieces.unordered if walked else ():
         heaped = heaped | F.contains(F.translate("seg", " ", SPACE), F.lit(p))
-    lattice = _edges(words.where(~heaped), pieces)
+    # of a segment for the heap one character goes through the lattice, so that all segments stay in one table
+    lattice = _edges(words.select("seg", F.when(heaped, 1).otherwise(F.length("seg")).alias("n")), pieces)
     if walked:
-        out = lattice.select("seg", _ranked_ids(pieces).alias("ids"))
-    else:
-        value = lambda e: F.struct(F.shiftright(e, 20).bitwiseAND(4095).cast("int"), F.shiftleft(F.shiftright(e, 32), 20) + e.bitwiseAND(_long(NO_PIECE)))
-        known = F.filter("edges", lambda e: e.bitwiseAND(_long(NO_PIECE)) != NO_PIECE)
-        by_span = lattice.select("seg", F.length("seg").alias("n"), F.map_from_entries(F.transform(known, value)).alias("at"))
-        costs = F.array(*[F.lit(float(-s)) for s in sorted({s for s, _ in pieces.normal.values()}, reverse=True)]) if not pieces.merges else None
-        folded = by_span.withColumn("bounds", _merge_fold() if pieces.merges else _viterbi_fold(costs, pieces.unknown))
-        out = folded.select("seg", _ids(F.col("bounds"), pieces).alias("ids"))
-    one = pieces.merged if pieces.merges else pieces.best_path
-
-    def each(segs: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in segs:
-            yield s.map(one)
-
-    long = words.where(heaped).select("seg", F.pandas_udf(each, "array<int>")("seg").alias("ids"))
-    return out.unionByName(long)
+        return lattice.select("seg", F.when(~heaped, _ranked_ids(pieces)).alias("ids"))
+    value = lambda e: F.struct(F.shiftright(e, 20).bitwiseAND(4095).cast("int"), F.shiftleft(F.shiftright(e, 32), 20) + e.bitwiseAND(_long(NO_PIECE)))
+    known = F.filter("edges", lambda e: e.bitwiseAND(_long(NO_PIECE)) != NO_PIECE)
+    by_span = lattice.select("seg", F.when(~heaped, F.length("seg")).otherwise(1).alias("n"), F.map_from_entries(F.transform(known, value)).alias("at"))
+    costs = F.array(*[F.lit(float(-s)) for s in sorted({s for s, _ in pieces.normal.values()}, reverse=True)]) if not pieces.merges else None
+    folded = by_span.withColumn("bounds", _merge_fold() if pieces.merges else _viterbi_fold(costs, pieces.unknown))
+    return folded.select("seg", F.when(~heaped, _ids(F.col("bounds"), pieces)).alias("ids"))
 
 
 #: A batch: its documents (id, number of segments, whether U+2581 occurs), their segments as places, the parts that each
@@ -320,12 +350,18 @@ NUMBERED = "batch long, doc_id array<long>, words array<long>, marked array<bool
 
 def _squeezed(x: np.ndarray) -> bytes:
     """Whole numbers below 2**32, compressed byte by byte: all lowest bytes, then all second ones and so on."""
-    return zstandard.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+    out = zstandard.ZstdCompressor(3).compressobj()
+    planes = [out.compress(((x >> shift) & 255).astype(np.uint8).tobytes()) for shift in (0, 8, 16, 24)]
+    return b"".join([*planes, out.flush()])
 
 
-def _unsqueezed(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(data), np.uint8) if len(data) else np.empty(0, np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+def _unsqueezed(data: bytes, dtype: type = np.int64) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompressobj().decompress(data), np.uint8).reshape(4, -1)
+    x = raw[3].astype(dtype)
+    for plane in (2, 1, 0):
+        x <<= 8
+        x |= raw[plane]
+    return x
 
 
 def numbered(docs: DataFrame, pieces: Pieces) -> DataFrame:
@@ -336,19 +372,25 @@ def numbered(docs: DataFrame, pieces: Pieces) -> DataFrame:
         ids: list[int | None] = []
         marked: list[bool] = []
         rows: list[np.ndarray] = []
-        index: dict[str, int] = {}
+        index = Index()
 
         def out() -> pa.RecordBatch:
-            flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
+            words = [len(r) for r in rows]
+            flat = np.concatenate(rows)
+            rows.clear()
             order = np.argsort(-np.bincount(flat, minlength=len(index)), kind="stable")
             place = np.empty(len(index), np.int32)
             place[order] = np.arange(len(index), dtype=np.int32)
+            places = _squeezed(place[flat])
+            del flat
             named = list(index)
-            cut = [pieces.parts(named[k]) for k in order.tolist()]
-            parts = sorted({p for c in cut for p in c})
+            index.clear()
+            cut, many = pieces.all_parts([named[k] for k in order.tolist()])
+            del named
+            parts = sorted(set(cut))
             at = {p: k for k, p in enumerate(parts)}
-            of = np.fromiter((at[p] for c in cut for p in c), np.int64)
-            cols = [[(part << 32) + count], [ids], [[len(r) for r in rows]], [marked], [_squeezed(place[flat])], [_squeezed(np.fromiter(map(len, cut), np.int64, len(cut)))], [_squeezed(of)], [parts]]
+            of = np.fromiter(map(at.__getitem__, cut), np.int64, len(cut))
+            cols = [[(part << 32) + count], [list(ids)], [words], [list(marked)], [places], [_squeezed(many)], [_squeezed(of)], [parts]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string())]
             names = [f.split()[0] for f in NUMBERED.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
@@ -358,7 +400,7 @@ def numbered(docs: DataFrame, pieces: Pieces) -> DataFrame:
                 text = t.as_buffer().to_pybytes().decode("utf-8", "replace") if t.is_valid else ""
                 if ids and held + len(text) > BATCH:
                     yield out()
-                    ids, marked, rows, index, held, count = [], [], [], {}, 0, count + 1
+                    ids, marked, held, count = [], [], 0, count + 1
                     trim()
                 ids.append(i)
                 marked.append(SPACE in text)
@@ -380,49 +422,134 @@ def gathered(flat: np.ndarray, first: np.ndarray, many: np.ndarray) -> np.ndarra
 RESULT = "doc_id long, n_tokens long, ids array<int>, round_trip boolean"
 
 
+#: What a batch gets of a part of the lattice's table: places of its segments, how many ids each has, and whether they decode.
+FOUND = "to long, places binary, sizes binary, ids binary, bad binary"
+
+
+def _bundled(looked_up: DataFrame, pieces: Pieces) -> DataFrame:
+    """(to, place, seg, ids) as rows of FOUND: a task's rows, SLICE at a time, are sorted by batch and compressed.
+
+    Null ids are found with the heap; rows are sorted by segment, so each is done once. All ids are decoded and compared.
+    """
+    one = pieces.merged if pieces.merges else pieces.best_path
+
+    def completed(b: pa.RecordBatch, last: list) -> pa.Array:
+        ids = b.column(3)
+        if not ids.null_count:
+            return ids
+        values = ids.to_pylist()
+        for k in np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False)).tolist():
+            seg = b.column(2)[k].as_py()
+            if last[0] != seg:
+                last[:] = seg, one(seg)
+            values[k] = last[1]
+        return pa.array(values, pa.list_(pa.int32()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last, n = [None, None], 0
+        text, ends = pieces.bytes_of
+
+        def out() -> pa.RecordBatch:
+            to, place, good = (np.concatenate([h[k] for h in held]) for k in (0, 1, 2))
+            column = pa.concat_arrays([h[3] for h in held])
+            order = np.lexsort((place, to))
+            to, place, good = to[order], place[order], good[order]
+            ids = column.take(pa.array(order))
+            flat, at = ids.flatten().to_numpy(), ids.offsets.to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
+            runs = list(zip(starts.tolist(), [*starts[1:].tolist(), len(to)]))
+            cols = [
+                pa.array(to[starts]),
+                pa.array([_squeezed(np.diff(place[i:j], prepend=0)) for i, j in runs], pa.binary()),
+                pa.array([_squeezed(np.diff(at[i : j + 1])) for i, j in runs], pa.binary()),
+                pa.array([_squeezed(flat[at[i] : at[j]]) for i, j in runs], pa.binary()),
+                pa.array([_squeezed(np.flatnonzero(~good[i:j])) for i, j in runs], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(cols, names=["to", "places", "sizes", "ids", "bad"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = completed(b, last)
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), decodes(ids, b.column(2), text, ends), ids))
+            n += b.num_rows
+            if n >= SLICE:
+                yield out()
+                held, n = [], 0
+        if n:
+            yield out()
+        trim()
+
+    return looked_up.mapInArrow(run, FOUND)
+
+
+def decodes(ids: pa.Array, segs: pa.Array, text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each row's ids (text between ends, by id) are those of its segment."""
+    flat, at = ids.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
+    size = ends[flat + 1] - ends[flat]
+    said = gathered(text, ends[flat], size)
+    length = np.diff(np.concatenate(([0], np.cumsum(size)))[at])
+    raw = segs.cast(pa.large_binary())
+    want = pa.concat_arrays([raw])  # offsets from 0
+    to = np.frombuffer(want.buffers()[1], np.int64)[want.offset : want.offset + len(want) + 1]
+    data = np.frombuffer(want.buffers()[2], np.uint8) if want.buffers()[2] else np.empty(0, np.uint8)
+    good = length == np.diff(to)
+    if good.all():  # then both lie alike
+        wrong = np.concatenate(([0], np.cumsum(said != data[to[0] : to[-1]])))
+        return np.diff(wrong[to - to[0]]) == 0
+    starts = np.concatenate(([0], np.cumsum(length)))
+    return np.array([g and said[a:b].tobytes() == data[c:d].tobytes() for g, a, b, c, d in zip(good.tolist(), starts, starts[1:], to, to[1:])], bool)
+
+
 def encode(docs: DataFrame, model_file: str) -> DataFrame:
     """RESULT per row of docs (doc_id, text): ids, and whether decoding them gives the text back."""
     pieces = Pieces(model_file)
     batches = numbered(docs, pieces)
     # both sides of the join read one and the same shuffle: the segments with their batches, by segment
     keys = batches.select("batch", F.posexplode("parts").alias("place", "seg")).repartition(partitions(docs.sparkSession), "seg")
-    words = keys.groupBy("seg").agg(F.min("batch"), F.min("place")).select("seg")
-
-    def check(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for seg, ids in pairs:
-            yield pd.Series([pieces.joined(x) == s for s, x in zip(seg, ids)], dtype=bool)
-
-    table = encoded_segments(words, pieces).withColumn("same", F.pandas_udf(check, "boolean")("seg", "ids"))
-    looked_up = keys.join(table.hint("merge"), "seg").select(F.col("batch").alias("to"), "place", "ids", "same")
+    words = keys.groupBy("seg").agg(F.min("batch").alias("b"), F.min("place").alias("p")).where("b >= 0 and p >= 0").select("seg")
+    table = encoded_segments(words, pieces)
+    looked_up = _bundled(keys.join(table.hint("merge"), "seg").select(F.col("batch").alias("to"), "place", "seg", "ids"), pieces)
 
     def run(one: pa.Table, other: pa.Table) -> pa.Table:
-        order = pa.array(np.argsort(other["place"].to_numpy()))
-        column = other["ids"].combine_chunks().take(order)
-        good = other["same"].combine_chunks().take(order).to_numpy(zero_copy_only=False)
-        flat, ends = column.flatten().to_numpy(), column.offsets.to_numpy()
+        # the parts' ids one after the other as they came, and where each place's are
+        place = [np.cumsum(_unsqueezed(x.as_buffer().to_pybytes())) for x in other["places"]]
+        size = [_unsqueezed(x.as_buffer().to_pybytes()) for x in other["sizes"]]
+        flat = np.concatenate([np.empty(0, np.int32), *[_unsqueezed(x.as_buffer().to_pybytes(), np.int32) for x in other["ids"]]])
+        wrong = np.concatenate([np.empty(0, np.int64), *[p[_unsqueezed(x.as_buffer().to_pybytes())] for p, x in zip(place, other["bad"])]])
+        place, size = (np.concatenate([np.empty(0, np.int64), *x]) for x in (place, size))
+        start, length = np.zeros_like(place), np.zeros_like(place)
+        start[place], length[place] = np.cumsum(size) - size, size
+        bad = np.zeros(len(place), bool)
+        bad[wrong] = True
         doc_ids: list = []
-        parts, counts, same = [np.empty(0, np.int32)], [], []
+        parts, counts, same = [np.empty(0, np.int32)], [np.empty(0, np.int64)], []
         for k in range(one.num_rows):
-            cell = lambda name: one[name][k]  # noqa: E731, B023
-            doc_ids += cell("doc_id").as_py()
-            many, of = _unsqueezed(cell("many").as_py()), _unsqueezed(cell("of").as_py())
+            cell = lambda name: one[name][k].as_py()  # noqa: E731, B023
+            doc_ids += cell("doc_id")
+            many, of = _unsqueezed(cell("many")), _unsqueezed(cell("of"))
             # ids of whole segments, one after the other
-            sizes = ends[of + 1] - ends[of]
-            own = gathered(flat, ends[of], sizes)
-            bound = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(many)))]
-            first, length = bound[:-1], np.diff(bound)
-            bad = np.add.reduceat(~good[of], np.cumsum(many) - many) if len(of) else np.empty(0, np.int64)
-            words = np.array(cell("words").as_py(), np.int64)
-            places = _unsqueezed(cell("places").as_py())
-            for s in range(0, len(places), SLICE):
-                here = places[s : s + SLICE]
-                parts.append(gathered(own, first[here], length[here]))
-            to = np.concatenate(([0], np.cumsum(words)))
-            total, wrong = (np.concatenate(([0], np.cumsum(x[places]))) for x in (length, bad))
-            counts.append(total[to[1:]] - total[to[:-1]])
-            same += ((wrong[to[1:]] == wrong[to[:-1]]) & ~np.array(cell("marked").as_py(), bool)).tolist()
-        counts = np.concatenate(counts) if counts else np.empty(0, np.int64)
+            own = gathered(flat, start[of], length[of])
+            to = np.concatenate(([0], np.cumsum(many)))
+            bound = np.concatenate(([0], np.cumsum(length[of])))[to]
+            first, sizes = bound[:-1], np.diff(bound)
+            ill = np.diff(np.concatenate(([0], np.cumsum(bad[of])))[to]) > 0
+            places = _unsqueezed(cell("places"), np.int32)
+            many_ids, ills = np.zeros(len(places), np.int32), np.zeros(len(places), bool)
+            for i in range(0, len(places), SLICE):
+                here = places[i : i + SLICE]
+                parts.append(gathered(own, first[here], sizes[here]))
+                many_ids[i : i + SLICE], ills[i : i + SLICE] = sizes[here], ill[here]
+            ends = np.cumsum(np.array(cell("words"), np.int64))
+            spans = np.concatenate(([0], ends))
+            total = np.concatenate(([0], np.cumsum(many_ids, dtype=np.int64)))[spans]
+            counts.append(np.diff(total))
+            same += ((np.diff(np.concatenate(([0], np.cumsum(ills, dtype=np.int64)))[spans]) == 0) & ~np.array(cell("marked"), bool)).tolist()
+            del places, many_ids, ills, own
+        counts = np.concatenate(counts)
         ids_col = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(np.concatenate(parts)))
+        del parts
         trim()
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids": ids_col, "round_trip": pa.array(same, pa.bool_())})
 

@@ -233,7 +233,7 @@ def vocabulary(path, to, keep, kind=2):
     return str(to)
 
 
-@pytest.mark.parametrize("batch,longest,few,folded", [(28 << 20, 4 << 20, 64, 60), (3000, 500, 64, 8), (3000, 500, -1, 60)])
+@pytest.mark.parametrize("batch,longest,few,folded", [(32 << 20, 4 << 20, 64, 60), (3000, 500, 64, 8), (3000, 500, -1, 60)])
 def test_sentencepiece(spark, docs, monkeypatch, batch, longest, few, folded):
     """Against the library, over one batch and many, with the walk by ranks and with merges step by step."""
     for name, value in (("BATCH", batch), ("LONG", longest), ("FEW", few), ("FOLDED", folded)):
