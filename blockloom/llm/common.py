@@ -41,6 +41,19 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Write a table in the shared folder in buckets by key and read it back: grouping by the key shuffles it no more.
+
+    Buckets are known to a catalog table only; its entry is dropped as soon as the table is read, the files stay.
+    """
+    spark = df.sparkSession
+    name = f"blockloom_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(partitions(spark), key).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def trim() -> None:
     """Give freed memory back to the system, as a worker lives on after a batch."""
     pa.default_memory_pool().release_unused()

@@ -6,7 +6,7 @@ the corpus are encoded once: substrings of bounded length are exploded, equi-joi
 by segment, and folded with the higher-order `aggregate`.
 
 Texts become numbers of segments, batch by batch: a batch lists its distinct segments, most frequent first, and its texts
-as places in that list. Only the lists meet the lattice; the batch then takes its ids by place. A segment has one row per
+as places in that list. Only the lists are shuffled and meet the lattice; what they find returns to the batch's bucket. A segment has one row per
 batch at most, so that no segment is hot: its share of all rows is below one in a batch's distinct segments.
 
 The fold follows the model's kind. For a unigram model it is Viterbi. A BPE model's scores are merge ranks, which Viterbi
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import string
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -38,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, trim, written
+from .common import bucketed, partitions, trim
 
 SPACE = "▁"
 #: Longest segment that the fold takes: its bounds and its spans are kept in 62 and 6 bits.
@@ -84,7 +85,10 @@ class Pieces:
         if any(SPACE in p.lstrip(SPACE) for p in self.normal):
             raise ValueError("a piece holds a space behind other characters: segments can't be cut at spaces")
         b = re.escape(self.breaks)
-        self.cut = re.compile(f" *[^ {b}]+| +|[{b}]" if b else " *[^ ]+| +")
+        # punctuation that no piece has right behind a letter: a word ends before it, which spares many distinct segments
+        marks = re.escape("".join(c for c in string.punctuation if not any(y == c and x.isalpha() for x, y in self.pairs)))
+        words = [rf" *+[^\W\d_]++(?=[{marks}])"] if marks else []
+        self.cut = re.compile("|".join([*words, f" *[^ {b}]+", " +", *([f"[{b}]"] if b else [])]))
 
     @cached_property
     def unordered(self) -> list[str]:
@@ -365,7 +369,7 @@ def _unsqueezed(data: bytes, dtype: type = np.int64) -> np.ndarray:
 
 
 def numbered(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """docs (doc_id, text) as rows of NUMBERED, kept in the shared folder."""
+    """docs (doc_id, text) as rows of NUMBERED, kept in the shared folder, in buckets by batch: they needn't be shuffled to meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count, held = TaskContext.get().partitionId(), 0, 0
@@ -387,9 +391,9 @@ def numbered(docs: DataFrame, pieces: Pieces) -> DataFrame:
             index.clear()
             cut, many = pieces.all_parts([named[k] for k in order.tolist()])
             del named
-            parts = sorted(set(cut))
-            at = {p: k for k, p in enumerate(parts)}
+            at = Index()
             of = np.fromiter(map(at.__getitem__, cut), np.int64, len(cut))
+            parts = list(at)
             cols = [[(part << 32) + count], [list(ids)], [words], [list(marked)], [places], [_squeezed(many)], [_squeezed(of)], [parts]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string())]
             names = [f.split()[0] for f in NUMBERED.split(", ")]
@@ -411,7 +415,7 @@ def numbered(docs: DataFrame, pieces: Pieces) -> DataFrame:
         trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return written(rows.mapInArrow(run, NUMBERED))
+    return bucketed(rows.mapInArrow(run, NUMBERED), "batch")
 
 
 def gathered(flat: np.ndarray, first: np.ndarray, many: np.ndarray) -> np.ndarray:
