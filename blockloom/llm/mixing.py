@@ -6,9 +6,13 @@ a binary tree over shards is split with multivariate hypergeometric draws seeded
 finds its counts and its sources' first slots alone, and the totals hold exactly. Slot j of a source of n blocks takes
 block perm(j mod n), where perm is a pseudo-random permutation of that source and pass j div n. Blocks are joined by index.
 
+A document is what it holds: id, source and text. Repeated rows are one entry of the stream that is as many times as long,
+and share what is taken of it evenly; so reruns agree, whatever the layout of the table. All draws depend on `seed` alone.
+
 A source is used 3 times at most (`most`), so no document exceeds 3 times its size. Null sources are one source, the
-last. Null and empty texts have size 0 and nothing is taken of them. Repeated rows are documents of their own. Extra
-columns are ignored; an empty table gives an empty result. Reruns agree: all draws depend on `seed` alone.
+last. Null ids are ids like others. Null and empty texts have size 0 and nothing is taken of them. Very long texts are
+many blocks. Extra columns are ignored; an empty table gives an empty result. The sources' totals are held by the driver,
+as the weights are a setting with an entry for each: over MAX_SOURCES of them are refused.
 """
 
 from __future__ import annotations
@@ -46,16 +50,25 @@ def targets(sizes: list[int], weights: list[float], most: float = 3.0) -> list[f
     return out
 
 
+#: Above this population numpy has no sampler without replacement.
+LARGE = 10**9
+
+
 def _split(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
-    """How many of n slots, drawn without replacement from counts, each source gets."""
+    """How many of n slots, drawn without replacement from counts, each source gets.
+
+    In a large population every slot is taken with probability n / total first. What is too much of them is given back, or
+    what is missing taken, again without replacement: any choice of n slots stays as likely as any other, and the number
+    that is left to draw is about the root of the one before.
+    """
     total = int(counts.sum())
-    if total >= 10**9:  # beyond the sampler's range the draw is as good as its mean
-        exact = counts * (n / total)
-        part = np.floor(exact).astype(np.int64)
-        rest = np.argsort(part - exact, kind="stable")[: n - int(part.sum())]
-        part[rest] += 1
-        return np.minimum(part, counts)
-    return rng.multivariate_hypergeometric(counts, n, method="marginals")
+    if total < LARGE:
+        return rng.multivariate_hypergeometric(counts, n, method="marginals")
+    got = rng.binomial(counts, n / total)
+    over = int(got.sum()) - n
+    if over > 0:
+        return got - _split(rng, got, over)
+    return got + _split(rng, counts - got, -over) if over else got
 
 
 def shard_counts(totals: np.ndarray, shards: int, slots: int, which: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,12 +108,23 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
+#: Blocks of a piece of a document's stream: what one row is exploded to at a time.
+PIECE = 4096
+
+
+def _documents(docs: DataFrame, seed: int) -> DataFrame:
+    """Distinct documents: doc_id, source, text_key, size, copies, and a digest that orders them."""
+    words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_key"), words.alias("size"))
+    rows = rows.groupBy("doc_id", "source", "text_key", "size").agg(F.count("*").alias("copies"))
+    return rows.withColumn("digest", F.xxhash64(F.lit(seed), "doc_id", "text_key", "size"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), block: int = 64, shard: int = 4096, most: float = 3.0, seed: int = 42) -> DataFrame:
-    """doc_id, row_no, text_key, source, size, source_size, target, taken per row. Weights repeat over the sources in code-point order, null last."""
+    """doc_id, text_key, source, size, source_size, target, taken per row. Weights repeat over the sources in code-point order, null last."""
     spark = docs.sparkSession
-    words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    rows = keep(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), words.alias("size"), F.xxhash64("text").alias("text_key"), F.monotonically_increasing_id().alias("row_no")))
-    totals = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).limit(MAX_SOURCES + 1).collect()
+    rows = keep(_documents(docs, seed))
+    totals = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("words"), F.count("*").alias("docs")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"over {MAX_SOURCES} sources: give weights to groups of sources instead")
     totals.sort(key=lambda r: (r.source is None, r.source or ""))
@@ -115,17 +139,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), block: int = 64
     table = F.broadcast(table) if len(totals) <= BROADCAST_SOURCES else table
 
     rows = rows.join(table.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "row_no"), F.col("chunks")).cast("int"))
-    sums = rows.groupBy("sid", "chunk").agg(F.sum("size").alias("in_chunk"))
+    rows = rows.withColumn("chunk", F.pmod("digest", F.col("chunks")).cast("int")).withColumn("length", F.col("size") * F.col("copies"))
+    sums = rows.groupBy("sid", "chunk").agg(F.sum("length").alias("in_chunk"))
     run = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("sid", "chunk", F.coalesce(F.sum("in_chunk").over(run), F.lit(0)).alias("base"))
-    run = Window.partitionBy("sid", "chunk").orderBy("doc_id", "row_no").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", F.coalesce(F.sum("size").over(run), F.lit(0)))
-    rows = keep(rows.join(sums, ["sid", "chunk"]).withColumn("start", F.col("start") + F.col("base")).drop("chunk", "chunks", "base"))
-
-    end = F.col("start") + F.col("size")
-    spans = rows.where("size > 0").select("row_no", "sid", "start", end.alias("end"), F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))).alias("block"))
-    spans = spans.select("row_no", "sid", "block", (F.least("end", (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)).alias("words"))
+    run = Window.partitionBy("sid", "chunk").orderBy("digest", "doc_id", "text_key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum("length").over(run), F.lit(0)))
+    rows = rows.join(sums, ["sid", "chunk"]).withColumn("start", F.col("start") + F.col("base")).drop("chunk", "chunks", "base")
+    rows = keep(rows)
+
+    # a document's blocks, piece by piece
+    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("length") - 1) / block)
+    key = ("sid", "doc_id", "text_key", "size")
+    pieces = rows.where("length > 0").select(*key, "start", "length", F.explode(F.sequence(F.floor(first / PIECE), F.floor(last / PIECE))).alias("piece"))
+    spans = pieces.select(*key, "start", "length", F.explode(F.sequence(F.greatest(first, F.col("piece") * PIECE), F.least(last, F.col("piece") * PIECE + PIECE - 1))).alias("block"))
+    spans = spans.select(*key, "block", (F.least(F.col("start") + F.col("length"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)).alias("words"))
 
     count, n_blocks = np.array(slots, np.int64), np.array(blocks, np.int64)
     shards = max(1, -(-int(count.sum()) // shard))
@@ -145,23 +173,33 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), block: int = 64
     drawn = spark.range(0, shards if len(totals) else 0, 1, tasks).mapInPandas(draw, "sid int, block long")
     times = drawn.groupBy("sid", "block").agg(F.count("*").alias("times"))
     # the drawn table grows with the input, though Spark takes its size from the range it starts with
-    taken = spans.join(times.hint("merge"), ["sid", "block"]).groupBy("row_no").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    out = rows.join(taken, "row_no", "left")
-    return out.select("doc_id", "row_no", "text_key", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = spans.join(times.hint("merge"), ["sid", "block"]).groupBy(*key).agg(F.sum(F.col("words") * F.col("times")).alias("of_all"))
+    taken = taken.select(*[F.col(k).alias(f"of_{k}") for k in key], "of_all")
+    same = F.col("of_sid") == F.col("sid")
+    for k in key[1:]:
+        same = same & F.col(f"of_{k}").eqNullSafe(F.col(k))
+    out = rows.join(taken, same, "left").withColumn("of_all", F.coalesce("of_all", F.lit(0)).cast("long"))
+    # copies share evenly; what doesn't divide goes to the first ones, a word each
+    out = out.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    share = F.floor(F.col("of_all") / F.col("copies")) + (F.col("copy") <= F.col("of_all") % F.col("copies")).cast("long")
+    return out.select("doc_id", "text_key", "source", "size", "source_size", "target", share.alias("taken"))
 
 
 def mixed(docs: DataFrame, seed: int = 42, **options) -> DataFrame:
     """docs as the mix takes them, all columns kept: each whole document as often as its words are taken on average.
 
     What is left of a whole number of times is decided by a hash of the document, so that sources keep their totals.
-    Documents without words are kept once.
+    Documents without words are kept once. Repeated rows, null ids and null sources are documents like others.
     """
     taken = mix(docs, seed=seed, **options)
     chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_key"), F.lit(1 << 20)) / (1 << 20)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + chance)).otherwise(1)
-    times = taken.groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(F.round(F.avg(times)).cast("int").alias("_times"))
-    rows = docs.join(times.where("_times > 0").hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_k")))
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
+    times = taken.groupBy("doc_id", "source", "text_key").agg(F.round(F.avg(times)).cast("int").alias("times")).where("times > 0")
+    times = times.select(F.col("doc_id").alias("of_id"), F.col("source").alias("of_source"), F.col("text_key").alias("of_text"), "times")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("text_key") == F.col("of_text"))
+    out = rows.join(times.hint("merge"), same).select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return out.select("row.*")
 
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:
