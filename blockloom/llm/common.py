@@ -18,8 +18,10 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In a session of one process one of our own will do."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="blockloom-")
     if not spark.sparkContext.getCheckpointDir():
@@ -71,31 +73,60 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-#: Buckets of a fixed filter; each is a bitmap of 4 KB, so that a filter is 4 MB at any size of input.
-FILTER_BUCKETS = 1024
+#: Bits of one bucket of a filter (4 KB), bits for each key, and the largest filter that is broadcast: 64 MB.
+BUCKET_BITS, BITS_PER_KEY, MOST_BUCKETS = 32768, 10, 16384
 
 
-def _slot(key: Column) -> tuple[Column, Column]:
-    """Bucket and bit of a key in a fixed filter."""
+def filter_buckets(keys: int) -> int:
+    """Buckets of a filter for so many keys: a power of two. Over MOST_BUCKETS (some 50 million keys) it must not be broadcast."""
+    return max(16, 1 << (max(1, keys * BITS_PER_KEY // BUCKET_BITS) - 1).bit_length())
+
+
+def slot(key: Column, buckets: int) -> tuple[Column, Column]:
+    """Bucket and bit of a key in a filter."""
     h = F.xxhash64(key)
-    return F.pmod(h, F.lit(FILTER_BUCKETS)), F.pmod(F.shiftright(h, 20), F.lit(32768))
+    return F.pmod(h, F.lit(buckets)), F.pmod(F.shiftright(h, 32), F.lit(BUCKET_BITS))
+
+
+def passes(rows: DataFrame, key: Column, table: DataFrame, buckets: int, name: str) -> DataFrame:
+    """Add `name`: whether the filter table (bucket, bits) lets the row's key pass. It is broadcast: callers check its size.
+
+    rows must not have columns of the names used here: callers carry what they don't know as one struct.
+    """
+    bucket, bit = slot(key, buckets)
+    rows = rows.withColumns({"in_bucket": bucket, "in_bit": bit})
+    table = table.select(F.col("bucket").alias("of_bucket"), F.col("bits").alias("of_bits"))
+    rows = rows.join(F.broadcast(table), F.col("in_bucket") == F.col("of_bucket"), "left")
+    byte = F.conv(F.hex(F.substring("of_bits", F.floor(F.col("in_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.pow(F.lit(2), F.col("in_bit") % 8).cast("int")) != 0
+    return rows.withColumn(name, F.coalesce(hit, F.lit(False))).drop("in_bucket", "in_bit", "of_bucket", "of_bits")
 
 
-def fixed_filter(keys: DataFrame, key: Column) -> DataFrame:
-    """Membership filter of a column: (bucket, bits), FILTER_BUCKETS rows at most. It may only err by letting keys pass."""
-    bucket, bit = _slot(key)
-    return keys.select(bucket.alias("bucket"), bit.alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg(F.col("bit")).alias("bits"))
+def marked(rows: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """Add `name`: false for rows whose key is not in keys (key). True may be wrong for a few others.
 
+    With a filter of keys, sized by their number, where that is small enough to broadcast. Beyond, every row may be in.
+    """
+    buckets = filter_buckets(keys.count())
+    if buckets > MOST_BUCKETS:
+        return rows.withColumn(name, F.lit(True))
+    bucket, bit = slot(F.col("key"), buckets)
+    table = keys.select(bucket.alias("bucket"), bit.alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg(F.col("bit")).alias("bits"))
+    return passes(rows, key, table, buckets, name)
+
+
+#: A key with over one in HOT of all rows is hot: there are fewer than HOT of them at any size.
+HOT = 1000
 
-def marked(rows: DataFrame, key: Column, table: DataFrame, name: str) -> DataFrame:
-    """Add `name`: whether the filter lets the row's key pass. The filter is broadcast: 4 MB at most, by construction."""
-    bucket, bit = _slot(key)
-    rows = rows.withColumn("_bucket", bucket).withColumn("_bit", bit)
-    table = table.select(F.col("bucket").alias("_of"), F.col("bits").alias("_bits"))
-    rows = rows.join(F.broadcast(table), F.col("_bucket") == F.col("_of"), "left")
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = byte.bitwiseAND(F.pow(F.lit(2), F.col("_bit") % 8).cast("int")) != 0
-    return rows.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_bucket", "_bit", "_of", "_bits")
+
+def joined_hot(rows: DataFrame, found: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows left-joined with found (a row for each key, with `size`, the number of its rows): hot keys are broadcast.
+
+    All others have a thousandth of the rows at most, so no task of the shuffled join gets much more than others.
+    """
+    hot = F.col(size) * HOT > total
+    few = F.broadcast(found.where(hot))
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(found.where(~hot).hint("merge"), key, "left"), allowMissingColumns=True)
 
 
 #: Parts that the rows of one key of a salted join are dealt over.
@@ -108,16 +139,22 @@ def salted_join(rows: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame
     return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(dealt, [key, "salt"]).drop("salt")
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose (doc_id, xxhash64(text)) is in gone (doc_id, text_key).
+def without(docs: DataFrame, gone: DataFrame, single: DataFrame) -> DataFrame:
+    """docs without the rows whose (doc_id, xxhash64(text)) is in gone, and with one row of each that is in single.
 
-    Only rows that a fixed filter lets pass are shuffled for the exact anti-join; all others stay where they are.
+    Only rows that a fixed filter lets pass are shuffled; all others stay where they are.
     """
-    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("_text_key").alias("text_key"))
-    rows = marked(docs.withColumn("_text_key", F.xxhash64("text")), key, fixed_filter(gone, F.struct("doc_id", "text_key")), "_hit")
-    gone = gone.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"))
-    hits = rows.where("_hit").join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text_key") == F.col("_k")), "left_anti")
-    return rows.where(~F.col("_hit")).select(*docs.columns).unionByName(hits.select(*docs.columns))
+    known = gone.select("doc_id", "text_key", F.lit(True).alias("drop")).unionByName(single.select("doc_id", "text_key", F.lit(False).alias("drop")))
+    known = keep(known)
+    key = F.struct("doc_id", "text_key")
+    keys = known.select(key.alias("key"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
+    rows = marked(rows, key, keys, "hit")
+    known = known.select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_text"), "drop")
+    met = rows.where("hit").join(known, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_text")), "left")
+    stay = met.where("drop is null").select("row")
+    one = met.where("not drop").groupBy("doc_id", "text_key").agg(F.any_value("row").alias("row")).select("row")
+    return rows.where(~F.col("hit")).select("row").unionByName(stay).unionByName(one).select("row.*")
 
 
 def held_out(doc_id: str, folds: int) -> Column:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, components, keep, trim, without, written
+from .common import LOWER, components, keep, salted_join, trim, without, written
 
 #: Rows of one side of a comparison tile; a key with more rows is dealt over several tiles.
 TILE = 2048
@@ -139,25 +139,43 @@ def links(nodes: DataFrame, bits: int = 4, blocks: int = 7) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(of, root, component_id) of every node of nodes (node, rep): component_id is the least rep reachable over edges.
+
+    Only nodes with an edge take part in the joins on roots, which are salted, as one root can hold a third of them.
+    """
+    roots = components(edges)
+    linked = keep(roots.join(nodes, "node").select("node", "root", "rep"))
+    least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = salted_join(linked.select("node", "root"), least, "root", "node").select(F.col("node").alias("at"), "root", "component_id")
+    out = nodes.join(named, F.col("node") == F.col("at"), "left")
+    alone = F.col("root").isNull()
+    return out.select(F.col("node").alias("of"), F.coalesce("root", "node").alias("root"), F.when(alone, F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, seed: int = 42, blocks: int = 7) -> DataFrame:
-    """(doc_id, text_key, fp, component_id) per row. component_id: least doc_id reachable over links, null only if all its ids are null."""
+    """(doc_id, text_key, fp, root, component_id) per row. component_id: least doc_id reachable over links, null only if all its ids are null."""
     fps = keep(fingerprints(docs, words, seed))
     nodes = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = components(links(nodes, bits, blocks))
-    nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = nodes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = nodes.join(least, "root").select(F.col("fp").alias("of"), "component_id")
-    return fps.join(named, fps.fp == named.of).select("doc_id", "text_key", "fp", "component_id")
+    named = _components(nodes.select(F.col("fp").alias("node"), "rep"), links(nodes, bits, blocks))
+    return fps.join(named, F.col("fp") == F.col("of")).select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with the least doc_id of each component, all columns kept."""
+    """docs with one row of each component, all columns kept: that of the least doc_id (see _least)."""
     return _least(docs, near_duplicates(docs, **options))
 
 
 def _least(docs: DataFrame, named: DataFrame) -> DataFrame:
-    gone = keep(named.where("doc_id is null and component_id is not null or doc_id <> component_id").select("doc_id", "text_key").distinct())
-    return without(docs, gone)
+    """docs with one row of each group of named (doc_id, text_key, root): least doc_id, null ids last, ties by the text's hash.
+
+    Of rows that agree in id and text any one stays.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key")
+    pairs = named.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    first = pairs.groupBy("root").agg(F.min(order).alias("first"), F.sum("n").alias("size")).where("size > 1")
+    met = keep(pairs.join(first, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))))
+    return without(docs, met.where("not stays").select("doc_id", "text_key"), met.where("stays and n > 1").select("doc_id", "text_key"))
 
 
 #: Near copies: words of a shingle, bits of its fingerprint, and bits that may differ. Two sets with a Jaccard similarity of
@@ -338,18 +356,18 @@ def copy_links(nodes: DataFrame, most: int = COPY_DIFFER) -> DataFrame:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, component_id) per row: copies whose five-word shingles have a similarity of about 0.8 or more."""
+    """(doc_id, text_key, root, component_id) per row: copies whose five-word shingles have a similarity of about 0.8 or more."""
     rows = written(signatures(docs))
     nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("wide").alias("wide"), F.any_value("parts").alias("parts")))
-    roots = components(copy_links(nodes)).withColumnRenamed("node", "at")
-    named = nodes.select("node", "rep").join(roots, F.col("node") == F.col("at"), "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = named.join(least, "root").select(F.col("node").alias("of"), "component_id")
-    return rows.select("doc_id", "text_key", "node").join(of, F.col("node") == F.col("of")).select("doc_id", "text_key", "component_id")
+    named = _components(nodes.select("node", "rep"), copy_links(nodes))
+    return rows.select("doc_id", "text_key", "node").join(named, F.col("node") == F.col("of")).select("doc_id", "text_key", "root", "component_id")
 
 
 def one_of_near(docs: DataFrame) -> DataFrame:
-    """docs with the least doc_id of each group of near copies, all columns kept."""
+    """docs with one row of each group of near copies, all columns kept: the least doc_id (see _least).
+
+    Null and empty texts are copies of each other. Texts of any length are taken whole. An empty table stays empty.
+    """
     return _least(docs, near_copies(docs))
 
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from blockloom.llm import ctw, exact_dedup, exact_topk, mixing, pii, quality, secrets, sentencepiece, simhash, url_filter
+from blockloom.llm import common, ctw, exact_dedup, exact_topk, mixing, pii, quality, secrets, sentencepiece, simhash, url_filter
 
 DIR = "/root/testdata/sf0.001"
 TEXTS = ["", None, " ", "one", "One two  three\tfour\nfive six seven", "One two three four five six sevem", "x" * 5000, "word " * 3000, "same text here", "same text here", "é ünï 中文 😀 a@b.cd", None]
@@ -119,7 +119,7 @@ def test_bootstrapping_from_every_kind(spark):
 
     rows = [(i, f"phone: +1 (017) 555-{7000 + i} ok") for i in range(40)] + [(100 + i, f"charge {card(i)} now") for i in range(40)] + [(200 + i, f"host 10.0.{i}.1 up") for i in range(40)]
     rows += [(300 + i, f"call line2 +49 030 55{1000 + i} ok") for i in range(40)]
-    rows += [(900, "phone: 0301234567 ok"), (901, "charge 1234-5678-9012-3450 now"), (902, "host 10.0.300.1234 up"), (903, "call line2 0309876543 ok"), (904, "see 0301234567 ok"), (905, "phone: none-2 ok")]
+    rows += [(900, "phone: 0301234567 ok"), (901, "charge 1234-5678-9012-3450 now"), (902, "host 10.0.300.1234 up"), (903, "call line2 0309876543 ok"), (904, "see 0301234567 there"), (905, "phone: none-2 ok")]
     got = {r.doc_id: [(s.start, s.end, s.kind) for s in r.more] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {k: v for k, v in got.items() if v} == {900: [(7, 17, 3)], 901: [(7, 26, 2)], 902: [(5, 18, 1)], 903: [(11, 21, 3)]}
 
@@ -128,20 +128,111 @@ def test_bootstrapping_over_several_hops(spark):
     """A pattern that shares values only with a pattern that shares values only with one that has seeds, and so on."""
     rows = [f"mail0: u{i}@corp.com ok" for i in range(1600)]
     for k, n in enumerate((200, 20)):
-        rows += [f"mail{j}: p{i}@host{k} ok" for i in range(n) for j in (k, k + 1)]
-    rows.append("mail2: someone@last ok")
+        rows += [f"mail{j}: p{i}@host{k} so" for i in range(n) for j in (k, k + 1)]
+    rows.append("mail2: someone@last so")
     got = {r.doc_id: r.more for r in pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
     assert [(s.start, s.end, s.kind) for s in got[len(rows) - 1]] == [(7, 19, 0)]
 
 
-def test_randomness_battery(spark):
+def found_in(rows):
+    return {r.doc_id: [(s.start, s.end, s.kind) for s in r.more] for r in rows}
+
+
+def test_bootstrapping_finds_identifiers_of_several_words(spark):
+    """Neighbouring words are one candidate; right contexts and shapes are patterns, too; the word before may lie far back."""
+    rows = [(i, f"Phone: +49 (030) 55-{1000 + i} thanks") for i in range(60)]
+    rows += [(100, "phone 0171 2345678"), (101, "a " * 40000 + "(phone) 0171 2345679, yes"), (102, "dial 0171 234567 thanks"), (103, "x" * 200 + " 0171 2345677 then"), (104, "ring +49 (030) 55-7777 1234567890123 or"), (105, None), (106, ""), (107, "+49 (030) 55-7778 12345678901234567890")]
+    got = found_in(pii.find(spark.createDataFrame(rows, "doc_id long, text string").withColumn("pattern", F.lit(1))).collect())
+    assert {k: v for k, v in got.items() if v} == {100: [(6, 18, 3)], 101: [(80008, 80020, 3)], 102: [(5, 16, 3)], 104: [(5, 22, 3)], 107: [(0, 17, 3)]}
+
+
+def test_bootstrapping_precision_and_recall(spark):
+    """Unseen forms planted in contexts that seeds share, and decoys of the same forms elsewhere."""
+    import random
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 9)))
+    said = lambda n: " ".join(word() for _ in range(n))
+    phone, other = lambda: f"+1 ({r.randint(100, 999)}) 555-{r.randint(1000, 9999)}", lambda: f"0{r.randint(100, 999)} {r.randint(100000, 9999999)}"
+    rows, want = [], {}
+    for i in range(900):
+        text, before = said(r.randint(0, 60)), r.choice(["call", "phone", "fax no"])
+        if i % 3 == 0:
+            rows.append((i, f"{text} {before} {phone()} {said(5)}"))
+        elif i % 3 == 1 and i % 9 == 1:
+            text, hit = f"{text} {before} ", other()
+            rows.append((i, f"{text}{hit} {said(4)}"))
+            want[i] = [(len(text), len(text) + len(hit), 3)]
+        else:
+            rows.append((i, f"{text} {word()} {other()} {said(3)} 2.0 and {r.randint(1, 99)}"))
+    got = {k: v for k, v in found_in(pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()).items() if v}
+    right = sum(want.get(k) == v for k, v in got.items())
+    assert right / len(want) >= 0.9 and right / len(got) >= 0.95
+
+
+def test_pii_added_on_the_table(spark):
+    """Phones that the base expression swallows together with the number behind them are found by their shape."""
+    out = pii.op2_pii(spark, "/root/testdata/sf0.1")
+    assert out.agg(F.sum("n_added")).first()[0] > 0
+    assert out.where("n_spans <> n_email + n_ip + n_card + n_phone + n_added").count() == 0
+
+
+def some_tokens(r, alphabet, n, many):
+    return ["".join(r.choice(alphabet) for _ in range(n)) for _ in range(many)]
+
+
+def test_battery_is_calibrated(spark):
+    """The p-value of random tokens is uniform for every encoding and length."""
+    import random
+
+    r = random.Random(17)
+    rows = [(enc, n, t) for enc, _, alphabet in secrets.ENCODINGS for n in (32, 100, 400) for t in some_tokens(r, alphabet, n, 1500)]
+    out = secrets.battery(spark.createDataFrame(rows, "enc string, k int, token string").repartition(8)).groupBy("enc", "k")
+    for row in out.agg(F.avg((F.col("p") < 0.05).cast("int")).alias("five"), F.avg((F.col("p") < 0.01).cast("int")).alias("one"), F.avg((F.col("p") < 0.5).cast("int")).alias("half"), F.min(F.col("encoding") == F.col("enc")).alias("named")).collect():
+        assert abs(row.five - 0.05) < 0.02 and abs(row.one - 0.01) < 0.01 and abs(row.half - 0.5) < 0.05, row
+        assert row.named or row.k < 400
+
+
+def test_false_discoveries_by_band(spark):
+    """Random tokens among ordinary ones: in every band of lengths 5 % of the reported ones are ordinary at most, or few."""
     import base64
     import random
 
     r = random.Random(7)
-    rows = [(i, "see " + base64.b64encode(r.randbytes(30)).decode().rstrip("=") + " now") for i in range(200)] + [(1000 + i, f"in path1/to/some-file-name2/of/things{i} now") for i in range(200)]
+    syllables = ["get", "set", "user", "name", "path", "file", "data", "item", "list", "node", "id", "to", "of", "in", "re", "un"]
+    plain = lambda n: "-".join("".join(r.choice(syllables) for _ in range(2)) for _ in range(n))
+    rows, good = [], {}
+    for i in range(1200):
+        kind = i % 4
+        n = r.choice([18, 30, 60])
+        token = base64.b64encode(r.randbytes(n)).decode().rstrip("=") if kind == 0 else some_tokens(r, "0123456789abcdefghijklmnopqrstuvwxyz", n + 6, 1)[0] if kind == 1 else f"/{plain(n // 7 + 2)}/v{i}" if kind == 2 else plain(n // 7 + 2)
+        rows.append((i, f"see {token} now"))
+        good[i] = kind < 2, max(0, len(token).bit_length())
     got = {x.doc_id: bool(x.more) for x in secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert sum(v for k, v in got.items() if k < 1000) > 180 and not any(v for k, v in got.items() if k >= 1000)
+    for band in sorted({b for _, b in good.values()}):
+        said = [i for i, (_, b) in good.items() if b == band and got[i]]
+        wrong = sum(not good[i][0] for i in said)
+        assert wrong <= max(3, 0.1 * len(said)), (band, wrong, len(said))
+    secret = [i for i, (g, _) in good.items() if g]
+    assert sum(got[i] for i in secret) >= 0.9 * len(secret) and sum(not good[i][0] for i, v in got.items() if v) <= 0.05 * sum(got.values())
+
+
+def test_no_random_tokens_no_reports(spark):
+    rows = [(i, f"in /usr/share/some-folder/other-file-name-{i}/of/things and entwicklungszusammenarbeitsministerium") for i in range(300)] + [(999, None), (1000, "")]
+    found = secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows) and not any(x.more for x in found)
+    assert secrets.op3_secrets(spark, "/root/testdata/sf0.1").agg(F.sum("n_added")).first()[0] == 0  # all its keys are base finds
+
+
+def test_random_tokens_without_digits(spark):
+    """Every token of the length is tested, whatever kinds of characters it holds."""
+    import random
+
+    r = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    rows = [(i, some_tokens(r, letters + "0123456789", 40, 1)[0]) for i in range(300)] + [(1000 + i, some_tokens(r, letters, 20, 1)[0]) for i in range(20)]
+    got = [x.doc_id for x in secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x.more]
+    assert sum(i < 1000 for i in got) >= 270 and any(i >= 1000 for i in got)
 
 
 # exact dedup
@@ -166,6 +257,32 @@ def test_exact_dedup(spark, docs, digest):
     assert exact_dedup.deduplicate(bare(spark)).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 16384])
+def test_exact_dedup_of_hot_texts(spark, monkeypatch, most):
+    """A third of all rows is one text; with filters and, as for very many rows, without."""
+    monkeypatch.setattr(exact_dedup, "MOST_BUCKETS", most)
+    monkeypatch.setattr(common, "MOST_BUCKETS", most)
+    monkeypatch.setattr(common, "HOT", 5)
+    rows = [(i, "hot" if i % 3 == 0 else f"text {i // 4}" if i % 3 == 1 else f"alone {i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    groups = dedup_brute(rows)
+    for largest, best in ((True, max), (False, min)):
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.deduplicate(df, largest).collect()}
+        assert got == {i: (best(groups[t]), len(groups[t]), best(groups[t]) == i) for i, t in rows}
+        assert {r.doc_id for r in exact_dedup.distinct_documents(df, largest).collect()} == {best(g) for g in groups.values()}
+
+
+def test_runs_and_their_filters(spark):
+    """Sorted runs; a digest that occurs twice always meets itself, and most others meet nothing."""
+    rows = [(i, f"text {i if i < 800 else i - 800}") for i in range(1000)]
+    runs, merged, total = exact_dedup.indexed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert total == 1000 and merged.count() == 200
+    met = {r.doc_id: r.met for r in runs.collect()}
+    assert all(met[i] and met[800 + i] for i in range(200)) and sum(met.values()) < 600
+    parts = runs.select("digest", F.spark_partition_id().alias("p")).collect()
+    assert all(a.digest <= b.digest for a, b in zip(parts, parts[1:]) if a.p == b.p)
+
+
 # quality
 
 
@@ -503,14 +620,85 @@ def test_mix(spark, docs):
     rows = mixing.mix(df).toPandas()
     per = rows.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
     assert ((per.taken - per.target).abs() <= 0.02 * per.target + 64).all() and (rows.taken <= 3 * rows["size"]).all()
-    again = mixing.mix(df.repartition(3)).toPandas()
-    assert len(again) == len(rows) and rows.taken.sum() == mixing.mix(df).toPandas().taken.sum()
     odd = mixing.mix(docs).toPandas()
     assert len(odd) == docs.count() and (odd.taken <= 3 * odd["size"]).all()
     assert mixing.mix(bare(spark)).count() == 0
     assert mixing.mixed(docs).columns == docs.columns
 
 
+def test_mix_reruns_agree(spark):
+    """Per document, whatever the layout; at sf0.1 sources have many chunks."""
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    df = df.unionByName(df.where("doc_id < 50")).unionByName(df.where("doc_id < 20").withColumn("doc_id", F.lit(None).cast("long")))
+    shown = lambda d: Counter(map(tuple, mixing.mix(d).select("doc_id", "text_key", "size", "target", "taken").collect()))
+    one = shown(df)
+    assert sum(one.values()) == df.count() and one == shown(df.repartition(7)) == shown(df.coalesce(1).orderBy("n_chars"))
+
+
+def test_mix_totals_by_sql(spark):
+    """size, source_size and target against SQL: the water level of each source, without the loop."""
+    import duckdb
+
+    sql = """
+    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM '/root/testdata/sf0.01/documents.parquet'),
+    s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+    w AS (SELECT *, (k - 1) % 3 + 1 AS weight FROM s),
+    o AS (SELECT *, sum(source_size) OVER () AS every, coalesce(sum(3 * source_size) OVER (ORDER BY source_size / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+                 sum(weight) OVER (ORDER BY source_size / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM w),
+    l AS (SELECT (every - capped) / open_weight AS level FROM o WHERE (every - capped) / open_weight <= 3 * source_size / weight ORDER BY source_size / weight, k LIMIT 1)
+    SELECT doc_id, size, source_size, least(3 * source_size, level * weight) AS target FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source, l"""
+    want = {r[0]: r[1:] for r in duckdb.sql(sql).fetchall()}
+    got = mixing.op10_mix_sources(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(want) and all((r["size"], r.source_size) == (want[r.doc_id][0], want[r.doc_id][1]) and abs(r.target - want[r.doc_id][2]) < 1e-6 * r.target for r in got)
+
+
+def test_draws_from_large_populations(monkeypatch):
+    """Without numpy's sampler the draws have the same means and spreads, and never take more than there is."""
+    counts, n = np.array([500, 300, 0, 200]), 100
+    want = np.array([np.random.default_rng(k).multivariate_hypergeometric(counts, n) for k in range(4000)])
+    monkeypatch.setattr(mixing, "LARGE", 0)
+    got = np.array([mixing._split(np.random.default_rng(k), counts, n) for k in range(4000)])
+    assert (got.sum(axis=1) == n).all() and (got >= 0).all() and (got <= counts).all()
+    assert np.abs(got.mean(axis=0) - want.mean(axis=0)).max() < 0.4 and np.abs(got.std(axis=0) - want.std(axis=0)).max() < 0.3
+    monkeypatch.undo()
+    big = np.array([3 * 10**12, 10**12, 7])
+    half = mixing._split(np.random.default_rng(1), big, 2 * 10**12)
+    assert half.sum() == 2 * 10**12 and (half <= big).all() and abs(half[0] - 1.5e12) < 1e7
+
+
+# stages: input columns of any name and type, repeated rows and ids
+
+
+CLASHES = ["row", "hit", "bucket", "of_bucket", "in_bit", "bits", "text_key", "of_id", "of_text", "times", "col", "copy", "drop", "_hit", "_text_key", "_bucket", "_bits", "_of", "_d", "_k", "_times", "_copy", "_null", "root", "node", "keeper", "digest"]
+
+
+def odd_rows(spark):
+    long = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, long, "a"), (1, long, "a"), (1, long, "a"), (2, long, "a"), (None, "two words", None), (None, "two words", None), (None, None, "b"), (7, "", "b"), (8, "", None), (9, long + " end", "a"), (9, "x y", "a"), (9, "x z", "a")]
+    df = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], EMPTY)
+    for k, name in enumerate(CLASHES):
+        df = df.withColumn(name, F.lit(k) if k % 2 else F.lit(f"v{k}"))
+    return df.withColumn("tags", F.create_map(F.lit("a"), F.lit(1)))
+
+
+def test_copying_stages_keep_columns(spark):
+    df = odd_rows(spark)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int")
+    stages = {"quality": lambda d: quality.good_documents(d, labels), "exact": exact_dedup.distinct_documents, "near": simhash.one_of_near, "each": simhash.one_of_each, "mixed": mixing.mixed}
+    for name, stage in stages.items():
+        out = stage(df)
+        assert out.schema.names == df.schema.names, name
+        for r in out.collect():
+            assert all(r[c] == (k if k % 2 else f"v{k}") for k, c in enumerate(CLASHES)) and r.tags == {"a": 1}, name
+        assert stage(df.limit(0)).count() == 0, name
+    kept = Counter((r.doc_id, r.text) for r in exact_dedup.distinct_documents(df).collect())
+    assert sum(kept.values()) == 6 and kept[2, df.first().text] == 1 and sum(n for (_, t), n in kept.items() if not t) == 1 and kept[None, "two words"] == 1
+    least = Counter((r.doc_id, r.text) for r in exact_dedup.distinct_documents(df, keep_largest=False).collect())
+    assert least[1, df.first().text] == 1 and least[7, ""] == 1 and sum(least.values()) == 6
+    near = Counter((r.doc_id, r.text) for r in simhash.one_of_near(df).collect())
+    assert near == Counter({(1, df.first().text): 1, (None, "two words"): 1, (7, ""): 1, (9, "x y"): 1, (9, "x z"): 1})
+
+
 # pipeline
 
 
@@ -537,6 +725,7 @@ def test_pipeline_stages(spark):
         if k == 3:
             assert {r.doc_id for r in out.collect()} <= {r.doc_id for r in seen.collect()}
         seen = out
+        assert stage(spark, docs.limit(0), DIR).count() == 0
     assert seen.where("not round_trip").count() == 0
     assert corpus_pipeline.run(spark, DIR).count() == seen.count()
 
