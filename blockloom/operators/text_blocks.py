@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.segment import attributes, classify, confidence, paragraphs, short_lines, shatter, strip
+from ..schema import once
 from ..sources.tables import detect
 
 
@@ -19,18 +20,22 @@ def refine_pieces(pieces: DataFrame) -> DataFrame:
     parts = F.when(F.col("mode") == "text", paragraphs(F.coalesce("text", F.lit("")))).otherwise(F.array("text"))
     rows = rows.select(*[c for c in rows.columns if c != "text"], F.posexplode_outer(parts).alias("part", "text"))
     is_text = F.col("mode") == "text"
-    rows = rows.withColumn("_t", F.when(is_text, detect(F.when(is_text, F.col("text"))).isNotNull()).otherwise(False))
-    cut = F.when(is_text & ~F.col("_t"), F.flatten(F.transform(short_lines(F.col("text")), shatter))).when(F.col("mode") == "block", F.array("text")).otherwise(shatter(F.col("text")))
-    rows = rows.select(*[c for c in rows.columns if c not in ("text", "_t")], F.posexplode_outer(cut).alias("chunk", "text"))
+    rows = rows.withColumn("_t", detect(F.when(is_text, F.col("text"))))
+    cut = F.when(is_text & F.col("_t").isNull(), F.flatten(F.transform(short_lines(F.col("text")), shatter))).when(F.col("mode") == "block", F.array("text")).otherwise(shatter(F.col("text")))
+    # a paragraph that stays whole is not searched for a table again
+    rows = once(rows, _cut=cut)
+    same = is_text & (F.size("_cut") == 1) & (F.get("_cut", F.lit(0)) == F.col("text"))
+    rows = rows.withColumn("_same", F.coalesce(same, F.lit(False))).withColumn("_t", F.when(F.col("_same"), F.col("_t")))
+    rows = rows.select(*[c for c in rows.columns if c not in ("text", "_cut")], F.posexplode_outer("_cut").alias("chunk", "text"))
     done = F.col("mode") == "block"
-    rows = rows.withColumn("text", F.when(done, F.col("text")).otherwise(strip(F.coalesce("text", F.lit("")))))
+    rows = once(rows, text=F.when(done, F.col("text")).otherwise(strip(F.coalesce("text", F.lit("")))))
     # an empty text file keeps one row, of type other
     rows = rows.where(done | (F.col("text") != "") | (is_text & F.col("part").isNull()))
     tabular = is_text & F.contains("text", F.lit("\n")) & F.try_element_at("attrs", F.lit("_no_table")).isNull()
-    rows = rows.withColumn("_f", detect(F.when(tabular, F.col("text"))))
+    rows = rows.withColumn("_f", F.when(tabular & F.col("_same"), F.col("_t")).otherwise(detect(F.when(tabular & ~F.col("_same"), F.col("text")))))
     found = F.col("_f").isNotNull()
     kind = F.when(done, F.col("type")).when(found, "table").otherwise(classify(F.col("text")))
-    rows = rows.withColumn("_k", kind)
+    rows = once(rows, _k=kind)
     heading = F.try_element_at("attrs", F.lit("_heading")).isNotNull() & (F.col("_k") == "paragraph")
     rows = rows.withColumn("type", F.when(heading, "heading").otherwise(F.col("_k")))
     table_attrs = F.create_map(
@@ -40,7 +45,7 @@ def refine_pieces(pieces: DataFrame) -> DataFrame:
     attrs = F.when(done, own).when(found, F.map_concat(own, table_attrs)).otherwise(F.map_concat(F.map_filter(own, lambda k, _: ~k.isin("key", "value", "timestamp", "message")), attributes(F.col("_k"), F.col("text"))))
     level = F.when(done, F.col("confidence")).when(found, F.when(F.col("_f.delimiter") == "whitespace", 0.74).otherwise(0.78)).otherwise(F.greatest(confidence(F.col("_k")), F.coalesce("confidence", F.lit(0.0))))
     shown = F.when(found, F.array_join(F.transform("_f.rows", lambda r: F.array_join(r, ", ")), "\n")).otherwise(F.col("text"))
-    rows = rows.withColumn("attrs", attrs).withColumn("confidence", level).withColumn("text", shown)
+    rows = once(rows, attrs=attrs, confidence=level, text=shown)
     order = Window.partitionBy("doc_id").orderBy("piece", "part", "chunk")
     return rows.select("doc_id", (F.row_number().over(order) - 1).alias("pos"), "type", "text", "attrs", "source", "confidence", "page", "parse_error")
 

@@ -19,6 +19,13 @@ def block_id(doc_id: Column | str = "doc_id", pos: Column | str = "pos") -> Colu
     return F.sha2(F.concat_ws("|", doc_id, pos), 256)
 
 
+def once(df: DataFrame, **values: Column) -> DataFrame:
+    """df with columns that are evaluated once a row, however often they are used: projections aren't merged across a Generate."""
+    found = F.explode(F.array(F.struct(*[v.alias(k) for k, v in values.items()])))
+    kept = [c for c in df.columns if c not in values]
+    return df.select(*kept, found.alias("_once")).select(*[F.col(f"_once.{c}").alias(c) if c in values else c for c in df.columns], *[f"_once.{k}" for k in values if k not in df.columns])
+
+
 def violations(blocks: DataFrame) -> DataFrame:
     """Add `violations`: the guards a row breaks (box order, span order, span inside text, confidence, type)."""
     have = set(blocks.columns)
