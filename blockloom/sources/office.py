@@ -49,28 +49,53 @@ def _column(ref: str) -> int:
     return n
 
 
-def xlsx(data: bytes, most_rows: int = 10_001) -> list[tuple[str, list[list[str]]]]:
-    """(sheet, rows) with at most `most_rows` rows a sheet, in the order of the workbook."""
+R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+
+
+def _sheets(z: zipfile.ZipFile) -> tuple[list[tuple[str, str]], int]:
+    """(name, part) of the sheets in the order of the workbook, and the place of the active one."""
+    files = set(z.namelist())
+    matches = [m for m in (re.fullmatch(r"xl/worksheets/sheet(\d+)\.xml", n) for n in files) if m]
+    numbered = [m[0] for m in sorted(matches, key=lambda m: int(m[1]))]
+    if "xl/workbook.xml" not in files:
+        return [(f"sheet{k}", n) for k, n in enumerate(numbered, 1)], 0
+    book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+    targets = {}
+    if "xl/_rels/workbook.xml.rels" in files:
+        for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")):
+            target = r.get("Target", "")
+            targets[r.get("Id")] = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+    found = []
+    for k, sheet in enumerate(book.iter(f"{S}sheet")):
+        part = targets.get(sheet.get(f"{R}id"), numbered[k] if k < len(numbered) else "")
+        if part in files:
+            found.append((sheet.get("name", ""), part))
+    view = next(book.iter(f"{S}workbookView"), None)
+    active = int(view.get("activeTab", "0")) if view is not None else 0
+    return found, active if active < len(found) else 0
+
+
+def _sheet_rows(xml: bytes, shared: list[str], most_rows: int | None) -> list[list[str]]:
+    rows: list[list[str]] = []
+    for r in ElementTree.fromstring(xml).iter(f"{S}row"):
+        if most_rows is not None and len(rows) >= most_rows:
+            break
+        cells: list[str] = []
+        for c in r.iter(f"{S}c"):
+            cells += [""] * (_column(c.get("r", "")) - 1 - len(cells))
+            kind, v = c.get("t"), c.find(f"{S}v")
+            value = v.text or "" if v is not None else _joined(c, f"{S}t")
+            cells.append(shared[int(value)] if kind == "s" and value else {"0": "False", "1": "True"}.get(value, value) if kind == "b" else value)
+        rows.append(cells)
+    return rows
+
+
+def xlsx(data: bytes, most_rows: int | None = 10_001, active: bool = False) -> list[tuple[str, list[list[str]]]]:
+    """(sheet, rows) in the order of the workbook, with at most `most_rows` rows a sheet (None: all). active: that sheet only."""
     with _open(data) as z:
-        files = set(z.namelist())
-        shared = [_joined(si, f"{S}t") for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in files else []
-        names = [s.get("name", "") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{S}sheet")] if "xl/workbook.xml" in files else []
-        parts = sorted((int(m[1]), n) for n in files if (m := re.fullmatch(r"xl/worksheets/sheet(\d+)\.xml", n)))
-        out = []
-        for k, (_, part) in enumerate(parts):
-            rows = []
-            for r in ElementTree.fromstring(z.read(part)).iter(f"{S}row"):
-                if len(rows) >= most_rows:
-                    break
-                cells: list[str] = []
-                for c in r.iter(f"{S}c"):
-                    cells += [""] * (_column(c.get("r", "")) - 1 - len(cells))
-                    kind, v = c.get("t"), c.find(f"{S}v")
-                    value = v.text or "" if v is not None else _joined(c, f"{S}t")
-                    cells.append(shared[int(value)] if kind == "s" and value else {"0": "False", "1": "True"}.get(value, value) if kind == "b" else value)
-                rows.append(cells)
-            out.append((names[k] if k < len(names) else f"sheet{k + 1}", rows))
-    return out
+        shared = [_joined(si, f"{S}t") for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
+        sheets, at = _sheets(z)
+        return [(name, _sheet_rows(z.read(part), shared, most_rows)) for name, part in (sheets[at : at + 1] if active else sheets)]
 
 
 def zip_index(data: bytes, first: int = 20) -> tuple[int, list[str]]:

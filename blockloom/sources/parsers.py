@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame
 
 from . import html, office, structured
 
+#: Pieces that are handed back at a time.
+BATCH = 10_000
+
 Piece = tuple[str, str | None, str, dict, float | None, int | None]
 PIECE = "doc_id bigint, source string, piece int, mode string, type string, text string, attrs map<string,string>, confidence double, page int, parse_error string"
 
@@ -139,7 +142,7 @@ def parse_pptx(data: bytes) -> Iterator[Piece]:
 
 
 def parse_xlsx(data: bytes) -> Iterator[Piece]:
-    sheets = office.xlsx(data)
+    sheets = office.xlsx(data, None, active=True)
     yield _table(sheets[0][1] if sheets else [], 0.75)
 
 
@@ -235,24 +238,31 @@ def parse(files: DataFrame) -> DataFrame:
     """PIECE rows of files (doc_id, path, type, mime, content). What a parser can't read is read as text, with parse_error."""
     parsers, by_mime = dict(PARSERS), dict(BY_MIME)
 
-    def rows(doc_id: int, path: str, kind: str, mime: str | None, content: bytes | None) -> Iterator[tuple]:
-        data, error = bytes(content or b""), None
+    def pieces(kind: str, mime: str | None, content: bytes | None) -> Iterator[tuple[Piece, str | None]]:
+        data = bytes(content or b"")
         try:
             found = list(parsers.get(by_mime.get(mime or "") or kind, parse_text)(data))
             if not found:
                 raise ValueError("no blocks")
         except Exception as e:  # noqa: BLE001  any broken file falls back to plain text
-            found, error = list(parse_text(data)), f"{type(e).__name__}: {e}"
-        for k, (mode, t, text, attrs, level, page) in enumerate(found):
-            yield doc_id, path, k, mode, t, text, attrs, level, page, error
+            yield from ((p, f"{type(e).__name__}: {e}") for p in parse_text(data))
+            return
+        yield from ((p, None) for p in found)
+
+    names = [c.split()[0] for c in PIECE.replace("map<string,string>", "map").split(", ")]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype({"page": "Int32", "confidence": "float64"})
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in PIECE.replace("map<string,string>", "map").split(", ")]
         for p in parts:
+            out: list[tuple] = []
             for r in p.itertuples(index=False):
-                out = pd.DataFrame(list(rows(r.doc_id, r.path, r.type, r.mime, r.content)), columns=names)
-                out["page"] = out["page"].astype("Int32")
-                out["confidence"] = out["confidence"].astype("float64")
-                yield out
+                for k, ((mode, kind, text, attrs, level, page), error) in enumerate(pieces(r.type, r.mime, r.content)):
+                    out.append((r.doc_id, r.path, k, mode, kind, text, attrs, level, page, error))
+                    if len(out) >= BATCH:
+                        yield frame(out)
+                        out = []
+            yield frame(out)
 
     return files.select("doc_id", "path", "type", "mime", "content").mapInPandas(run, PIECE)
