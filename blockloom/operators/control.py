@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 # fixed values: limits of the profile rules and weights of the reward
@@ -73,24 +78,59 @@ def backoff(attempt: Column, base: float, most: float, jitter: float = 0.0, seed
 
 
 def breaker(calls: DataFrame, failures: int = 3, window: float = 10.0, recovery: float = 30.0) -> DataFrame:
-    """Add open_after to calls (key, ts seconds, ok): whether a circuit breaker stands open after each call.
+    """Add open_after to calls (key, ts seconds, id, ok): whether a circuit breaker stands open after each call.
 
     A success resets. A failure beyond `window` of the streak's first starts a new streak; `failures` in one streak open it
-    for `recovery`, and each further failure opens it again. A fold per key over its calls, kept as an array.
+    for `recovery`, and each further failure opens it again. Spark sorts a key's calls, on disk if need be, and they are
+    walked through batch by batch, so a key with very many calls needs no memory for them.
     """
-    start = F.struct(F.lit(None).cast("double").alias("first"), F.lit(0).alias("n"), F.lit(None).cast("double").alias("opened"), F.array().cast("array<struct<id:bigint,open:boolean>>").alias("out"))
-
-    def step(s: Column, c: Column) -> Column:
-        cooled = c["ts"] - s["opened"] >= recovery
-        first, n, opened = (F.when(F.coalesce(cooled, F.lit(False)), x).otherwise(s[k]) for k, x in (("first", F.lit(None).cast("double")), ("n", F.lit(0)), ("opened", F.lit(None).cast("double"))))
-        fresh = first.isNull() | (c["ts"] - first > window)
-        n = F.when(c["ok"], 0).when(fresh, 1).otherwise(n + 1)
-        first = F.when(c["ok"], F.lit(None).cast("double")).when(fresh, c["ts"]).otherwise(first)
-        opened = F.when(c["ok"], F.lit(None).cast("double")).when(n >= failures, c["ts"]).otherwise(opened)
-        return F.struct(first.alias("first"), n.alias("n"), opened.alias("opened"), F.concat(s["out"], F.array(F.struct(c["id"].alias("id"), opened.isNotNull().alias("open")))).alias("out"))
-
-    ordered = calls.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.col("ts").cast("double").alias("ts"), F.col("id").cast("bigint").alias("id"), "ok"))).alias("cs"))
-    return ordered.select("key", F.explode(F.aggregate("cs", start, step)["out"]).alias("o")).select("key", "o.id", F.col("o.open").alias("open_after"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = first = opened = object()
+        n = 0
+        for b in batches:
+            out = []
+            for k, ts, ok in zip(b["key"], b["ts"], b["ok"]):
+                if k != key:
+                    key, first, n, opened = k, None, 0, None
+                if opened is not None and ts - opened >= recovery:
+                    first, n, opened = None, 0, None
+                if ok:
+                    first, n, opened = None, 0, None
+                else:
+                    first, n = (ts, 1) if first is None or ts - first > window else (first, n + 1)
+                    opened = ts if n >= failures else opened
+                out.append(opened is not None)
+            yield pd.DataFrame({"key": b["key"], "id": b["id"], "open_after": out})
+
+    rows = calls.select("key", F.col("ts").cast("double").alias("ts"), F.col("id").cast("bigint").alias("id"), "ok")
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.repartition("key").sortWithinPartitions("key", "ts", "id").mapInPandas(run, f"key {kind}, id bigint, open_after boolean")
+
+
+class Stages:
+    """Wall times of a run's stages, on the driver: `with stages("parse"): ...` around what starts a job."""
+
+    def __init__(self) -> None:
+        self.ms: dict[str, float] = {}
+
+    @contextmanager
+    def __call__(self, name: str) -> Iterator[None]:
+        start = time.perf_counter()
+        try:
+            yield
+        finally:
+            self.ms[name] = self.ms.get(name, 0.0) + (time.perf_counter() - start) * 1000
+
+    def rows(self) -> list[tuple[str, float]]:
+        return [*self.ms.items(), ("total", sum(self.ms.values()))]
+
+
+def observed(rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """rows, and an observation of how many of them pass and how many characters they hold, once a job has run over them."""
+    seen = Observation(name)
+    chars = F.sum(F.length("text")) if "text" in rows.columns else F.lit(None).cast("bigint")
+    return rows.observe(seen, F.count("*").alias("rows"), chars.alias("chars")), seen
 
 
 def best_setting(trials: DataFrame) -> DataFrame:

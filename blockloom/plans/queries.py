@@ -324,13 +324,13 @@ def llm_normalize(spark, sf_dir):
     return n.select("conv_id", "turn", "n.provider", "n.model", F.get(F.col("n.choices"), F.lit(0))["text"].alias("text"), F.element_at("n.usage", "total_tokens").alias("tokens"))
 
 
-@query()
+@query(f"SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS pos, CAST(CASE WHEN score >= 0.5 AND rank <= 3 THEN 1 END AS DOUBLE) AS n, CASE WHEN score >= 0.5 AND rank <= 3 THEN round(score, 6) END AS score, CAST(CASE WHEN score >= 0.5 AND rank <= 3 THEN rank END AS DOUBLE) AS rank FROM {_PICK}")
 def escalate_enrich(spark, sf_dir):
     """Selected turns with an (echoing) driver's response attached."""
     from .. import drivers
 
     out = escalation.escalate(_turns(spark, sf_dir), drivers.create("echo"), max_confidence=0.6, limit=3)
-    return out.select("doc_id", "pos", F.size("llm_escalations").alias("n"), F.round("llm_meta.score", 6).alias("score"), "llm_meta.rank")
+    return out.select("doc_id", "pos", F.when(F.col("llm_escalations").isNotNull(), F.size("llm_escalations")).cast("double").alias("n"), F.round("llm_meta.score", 6).alias("score"), F.col("llm_meta.rank").cast("double").alias("rank"))
 
 
 @query("SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n <= 2")
@@ -502,7 +502,13 @@ def bandit_argmax(spark, sf_dir):
     return s.agg(F.max_by("profile", F.col("reward_sum") / F.col("trials")).alias("best"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS id, epoch_us(ts) / 1e6 AS ts, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (
+ SELECT key, id, k, CAST(CASE WHEN NOT ok THEN 1 ELSE 0 END AS INTEGER) AS n, CAST(NULL AS DOUBLE) AS opened FROM e WHERE k = 1
+ UNION ALL SELECT key, id, k, m, CASE WHEN ok THEN NULL WHEN m >= 2 THEN ts ELSE held END FROM (
+  SELECT e.key, e.id, e.k, e.ok, e.ts, CASE WHEN e.ok THEN 0 WHEN f.opened IS NOT NULL AND e.ts - f.opened >= 3600 THEN 1 ELSE f.n + 1 END AS m, CASE WHEN e.ts - f.opened < 3600 THEN f.opened END AS held FROM f JOIN e ON e.key = f.key AND e.k = f.k + 1))
+SELECT key, id, opened IS NOT NULL AS open_after FROM f""")
 def circuit_breaker(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
     c = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").cast("double").alias("ts"), (F.col("event_type") != "error").alias("ok"))
