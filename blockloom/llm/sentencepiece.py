@@ -127,15 +127,17 @@ class Pieces:
         if not text:
             return [], np.zeros(len(segments), np.int64)
         low, keys = self.joins
-        code = np.frombuffer(text.replace(" ", SPACE).encode("utf-32-le"), "<u4").astype(np.int64)
-        a, b = code[:-1], code[1:]
-        small = (a < 512) & (b < 512)
+        code = np.frombuffer(text.replace(" ", SPACE).encode("utf-32-le"), "<u4")
         cut = np.ones(len(code) + 1, bool)
-        inner = cut[1:-1]
-        inner[small] = ~low[a[small], b[small]]
-        key = (a << 21 | b)[~small]
-        inner[~small] = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] != key
-        del a, b, small, key, code
+        for k in range(0, len(code) - 1, SLICE):
+            a, b = code[k : k + SLICE].astype(np.int64), code[k + 1 : k + SLICE + 1].astype(np.int64)
+            a = a[: len(b)]
+            small = (a < 512) & (b < 512)
+            inner = cut[k + 1 : k + 1 + len(b)]
+            inner[small] = ~low[a[small], b[small]]
+            key = (a << 21 | b)[~small]
+            inner[~small] = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] != key
+        del code
         starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)))))
         cut[starts] = True
         at = np.flatnonzero(cut)
