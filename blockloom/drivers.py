@@ -209,7 +209,9 @@ def register(*names: str, make: Make, metadata: dict | None = None, overwrite: b
     if not names:
         raise ValueError("a driver needs a name")
     for name in map(str.lower, names):
-        if name in _REGISTRY and _REGISTRY[name].make is not make and not overwrite:
+        if name in _REGISTRY and not overwrite:
+            if _REGISTRY[name].make is make:
+                continue
             raise DriverError(f"there is a driver {name!r} already")
         _REGISTRY[name] = Entry(make, dict(metadata or {}))
 

@@ -56,16 +56,22 @@ def analyze(boxes: DataFrame, threshold: float | str = START, by: tuple[str, ...
     return out.withColumn("x_center", (F.col("x0") + F.col("x1")) / 2).withColumn("y_center", (F.col("y0") + F.col("y1")) / 2)
 
 
-def process(candidates: DataFrame, threshold: float = START, low: float = LOW, batch: int = BATCH) -> DataFrame:
+def process(candidates: DataFrame, threshold: float = START, low: float = LOW, batch: int = BATCH, section: str | None = None) -> DataFrame:
     """analyze() in batches of a document's rows, raising the threshold where a batch is unsure.
 
+    section: a column (a page's number, say) whose values start new batches, in their order.
+
     A batch with a confidence below `low` is calibrated; if the threshold rises by over 1/1000 it is analysed again with the
     new one, until it rises no more; later batches of the document start from there. The threshold a document starts from
     is given, so documents are independent and results repeatable. A document's batches depend on each other; they are
     folded inside one row each (aggregate over per-batch statistics), never across documents.
     """
     rows = with_boxes(candidates)
-    rows = rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("doc_id").orderBy("order_hint")) - 1) / batch).cast("int"))
+    within = ["doc_id", section] if section else ["doc_id"]
+    part = F.floor((F.row_number().over(Window.partitionBy(*within).orderBy("order_hint")) - 1) / batch).cast("int")
+    rows = rows.withColumn("batch", part)
+    if section:
+        rows = rows.withColumn("batch", F.dense_rank().over(Window.partitionBy("doc_id").orderBy(section, "batch")) - 1)
     # the least confidence of a batch is 0.35 t plus terms without t (labels hardly depend on t): keep what decides it
     stats = rows.groupBy("doc_id", "batch").agg(F.avg("score").alias("mean"), F.min("score").alias("least"), F.collect_list(F.struct("x0", "y0", "x1", "y1", "score")).alias("boxes"))
 

@@ -19,7 +19,7 @@ from ..operators import control, embedding, escalation, recipes, refine
 from ..operators.text_blocks import refine_pieces
 from ..schema import BLOCK
 from ..sources import files, parsers, payloads, sinks
-from .queries import _SCORE, _blocks, _calls, _outcomes, _t, _turns, query
+from .queries import _SCORE, _blocks, _calls, _layout_sql, _outcomes, _t, _turns, query
 
 def _k() -> Column:
     return F.col("s_suppkey")
@@ -290,10 +290,47 @@ def _png(k: int, name: str, nation: int) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"tEXt", b"Title\0" + name.encode()) + chunk(b"IDAT", zlib.compress(b"\0" * 7 * (11 + nation))) + chunk(b"IEND", b"")
 
 
-@query(_listed(("meta", "'Image: PNG ' || (10 + s_nationkey) || 'x7'"), ("metadata", "s_name"), extra=", CASE pos WHEN 1 THEN 'Title' END AS key, CASE pos WHEN 0 THEN 0.45::DOUBLE ELSE 0.6 END AS confidence"))
+@query(_listed(("metadata", "'Image summary'"), ("metadata", "s_name"), extra=", CASE pos WHEN 1 THEN 'Title' END AS key, CASE pos WHEN 0 THEN (10 + s_nationkey) || 'x7' END AS size, CASE pos WHEN 0 THEN 0.45::DOUBLE ELSE 0.6 END AS confidence"))
 def image_blocks(spark, sf_dir):
     """An image's summary and the texts it carries."""
-    return _basic(_made(_supplier(spark, sf_dir, _name(), "image"), _png), _attr("key").alias("key"), F.col("confidence"))
+    return _basic(_made(_supplier(spark, sf_dir, _name(), "image"), _png), _attr("key").alias("key"), _attr("image_size").alias("size"), F.col("confidence"))
+
+
+@query("SELECT s_suppkey AS id, s_name AS text, 'PNG' AS image_format, (10 + s_nationkey) || 'x7' AS image_size, '[{\"source\": \"metadata\", \"key\": \"Title\", \"length\": ' || length(s_name) || '}]' AS image_text_sources, CAST(NULL AS VARCHAR) AS failed FROM supplier")
+def image_payload(spark, sf_dir):
+    return _loaded(_made(_supplier(spark, sf_dir, _name(), "image", "image/png"), _png), "image_format", "image_size", "image_text_sources")
+
+
+def _reader(data: bytes) -> list:
+    """Stands for a text recogniser: four words in two lines, the lower line first."""
+    wide = int.from_bytes(data[16:20], "big")
+    return [(0, 1, 1, 2, 1, "below", 10.0, 60.0, 90.0, 75.0, 80.0), (0, 1, 1, 2, 2, "it", 95.0, 60.0, 110.0, 75.0, 90.0), (0, 1, 1, 1, 1, "width", 10.0, 20.0, 60.0, 35.0, 96.0), (0, 1, 1, 1, 2, str(wide), 65.0, 20.0, 80.0, 35.0, 94.0), (0, 1, 1, 3, 1, " ", 0.0, 0.0, 1.0, 1.0, -1.0)]
+
+
+@query(_listed(("metadata", "'Image summary'"), ("metadata", "s_name"), ("figure", "'width ' || (10 + s_nationkey)"), ("figure", "'below it'"), extra=", CASE pos WHEN 2 THEN 20.0::DOUBLE WHEN 3 THEN 60.0 END AS y0, CASE pos WHEN 2 THEN 80.0::DOUBLE WHEN 3 THEN 110.0 END AS x1, CASE pos WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN '0.95' ELSE '0.85' END AS seen"))
+def image_layout(spark, sf_dir):
+    """Recognised words as lines with boxes, through the layout, after what the image says by itself."""
+    from ..operators.visual import image_blocks
+
+    out = image_blocks(_made(_supplier(spark, sf_dir, _name(), "image"), _png), _reader)
+    return out.select(F.col("doc_id").alias("id"), "pos", "type", "text", "bbox.y0", "bbox.x1", _attr("confidence").alias("seen"))
+
+
+_PAGES = """SELECT doc_id, pos, chunk, pos // 4 AS page, pos % 4 AS order_hint, greatest(0.55, least(0.95, 0.35 + length(chunk) / 600)) AS score, 36.0::DOUBLE AS x0, (pos % 4) * (least(160.0, 24 + length(chunk) * 0.12::DOUBLE) + 6) AS y0,
+ 36 + least(640.0, 120 + length(chunk) * 0.9::DOUBLE) AS x1, (pos % 4) * (least(160.0, 24 + length(chunk) * 0.12::DOUBLE) + 6) + least(160.0, 24 + length(chunk) * 0.12::DOUBLE) AS y1, pos // 4 AS batch
+ FROM (SELECT doc_id, i AS pos, substr(text, 600 * i + 1, 600) AS chunk FROM documents, range(CAST(ceil(length(text) / 600.0) AS BIGINT)) t(i))"""
+
+
+@query(_layout_sql(_PAGES) + """SELECT doc_id AS id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, batch, place) - 1 AS INTEGER) AS pos, CAST(page AS INTEGER) AS page, label AS type, round(greatest(0.55, confidence), 6) AS confidence, chunk AS text FROM done""")
+def page_layout(spark, sf_dir):
+    """Pages of four chunks each, through the layout page by page."""
+    from ..functions.segment import slices
+    from ..operators.visual import page_layout as through_layout
+
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(slices(F.col("text"), 600)).alias("pos", "text"))
+    none = F.create_map().cast("map<string,string>")
+    b = d.select("doc_id", "pos", F.floor(F.col("pos") / 4).cast("int").alias("page"), F.lit("paragraph").alias("type"), "text", none.alias("attrs"), F.lit(0.5).alias("confidence"))
+    return through_layout(b).select(F.col("doc_id").alias("id"), "pos", "page", "type", F.round("confidence", 6).alias("confidence"), "text")
 
 
 # loaders

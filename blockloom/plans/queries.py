@@ -433,7 +433,26 @@ def layout_calibrate(spark, sf_dir):
     return g.select("doc_id", F.round(layout.calibrated(F.col("m"), F.col("l"), F.lit(0.35)), 6).alias("threshold"))
 
 
-@query()
+_BOX_LABEL = "CASE WHEN w0 * h0 < t * 0.25 OR h < 10 THEN 'heading' WHEN w / h > 3 AND h > 20 THEN 'table' WHEN w0 * h0 > t * 4 THEN 'figure' ELSE 'paragraph' END"
+_BOX_CONFIDENCE = "greatest(0.01, least(0.99, t * 0.35 + 0.5 * least(1, greatest(0, score)) + 0.03 * greatest(0, least(6, w / (h + 0.001))) + CASE label WHEN 'heading' THEN 0.05 WHEN 'table' THEN 0.1 WHEN 'figure' THEN -0.05 ELSE 0 END))"
+_CALIBRATED = "greatest(0.05, least(0.95, CASE WHEN least < t THEN mean * 0.6 + least * 0.4 ELSE mean * 0.75 + t * 0.25 END + 0.05))"
+
+
+def _layout_sql(boxes: str) -> str:
+    """Batches (doc_id, batch) of boxes, one after the other: a batch's threshold rises while it is unsure, and is the next one's start."""
+    return f"""WITH RECURSIVE b AS (SELECT *, greatest(x1 - x0, 0) AS w0, greatest(y1 - y0, 0) AS h0, greatest(x1 - x0, 0.001) AS w, greatest(y1 - y0, 0.001) AS h FROM ({boxes})),
+s AS (SELECT doc_id, batch, avg(score) AS mean, min(score) AS least, list({{'w0': w0, 'h0': h0, 'w': w, 'h': h, 's': score}}) AS xs FROM b GROUP BY ALL),
+r AS (SELECT doc_id, 0::BIGINT AS batch, 0.35::DOUBLE AS t, 0 AS k FROM s GROUP BY doc_id
+ UNION ALL SELECT doc_id, CASE WHEN again THEN batch ELSE batch + 1 END, CASE WHEN again THEN up ELSE t END, k + 1 FROM (
+  SELECT r.doc_id, r.batch, r.t, r.k, {_CALIBRATED} AS up, {_CALIBRATED} > t + 1e-3 AND len(list_filter(xs, lambda x: greatest(0.01, least(0.99, t * 0.35 + 0.5 * least(1, greatest(0, x.s)) + 0.03 * greatest(0, least(6, x.w / (x.h + 0.001)))
+   + CASE WHEN x.w0 * x.h0 < t * 0.25 OR x.h < 10 THEN 0.05 WHEN x.w / x.h > 3 AND x.h > 20 THEN 0.1 WHEN x.w0 * x.h0 > t * 4 THEN -0.05 ELSE 0 END)) < 0.6)) > 0 AS again FROM r JOIN s ON s.doc_id = r.doc_id AND s.batch = r.batch)),
+f AS (SELECT doc_id, batch, max_by(t, k) AS t FROM r GROUP BY ALL),
+l AS (SELECT b.*, f.t, {_BOX_LABEL} AS label FROM b JOIN f USING (doc_id, batch)),
+done AS (SELECT *, {_BOX_CONFIDENCE} AS confidence, CAST(row_number() OVER (PARTITION BY doc_id, batch ORDER BY page, round(y0, 3), order_hint, x0) - 1 AS INTEGER) AS place FROM l)
+"""
+
+
+@query(_layout_sql(f"SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY order_hint) - 1) // 32 AS batch FROM {_BOXES}") + """SELECT id, CAST(batch AS INTEGER) AS batch, place AS "order", label, round(confidence, 6) AS confidence, round(t, 6) AS threshold FROM done""")
 def layout_process(spark, sf_dir):
     """Batches with recalibration until the threshold rises no more."""
     b = _boxes(spark, sf_dir).withColumn("bbox", F.struct("x0", "y0", "x1", "y1")).drop("x0", "y0", "x1", "y1")

@@ -18,7 +18,7 @@ from email.parser import BytesParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from . import html, office, structured
+from . import html, images, office, structured
 
 #: Pieces that are handed back at a time.
 BATCH = 10_000
@@ -111,19 +111,14 @@ def parse_pdf(data: bytes) -> Iterator[Piece]:
 
 
 def parse_image(data: bytes) -> Iterator[Piece]:
-    """Size and text chunks of a PNG; other images give a summary. Recognising text needs an external function."""
-    if data[:8] != b"\x89PNG\r\n\x1a\n":
-        yield _block("meta", "Image", 0.35, {"length": str(len(data))})
-        return
-    w, h = int.from_bytes(data[16:20], "big"), int.from_bytes(data[20:24], "big")
-    yield _block("meta", f"Image: PNG {w}x{h}", 0.45, {"length": str(len(data))})
-    at = 8
-    while at + 8 <= len(data):
-        n, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
-        if kind == b"tEXt":
-            key, _, value = data[at + 8 : at + 8 + n].partition(b"\0")
-            yield _block("metadata", value.decode("latin-1"), 0.6, {"key": key.decode("latin-1"), "image_source": "text chunk"})
-        at += 12 + n
+    """A summary and the texts that an image carries. Recognised text goes through operators.visual.image_blocks."""
+    meta, said = images.describe(data)
+    if meta:
+        yield _block("metadata", "Image summary", 0.45, meta)
+    for key, text, where in said:
+        yield _block("metadata", text, 0.6, {"image_source": where, "length": str(len(text)), "key": key})
+    if not meta and not said:
+        yield _block("metadata", "Image contained no extractable text", 0.35, {"image_has_text": "false"})
 
 
 def parse_docx(data: bytes) -> Iterator[Piece]:

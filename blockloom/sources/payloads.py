@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.segment import newlines, words
-from . import html, office
+from . import html, images, office
 
 # fixed values: limits of previews and samples
 PREVIEW, SAMPLE_LINES, MOST_ATTACHMENTS, FIRST_NAMES = 32, 50, 10, 20
@@ -183,6 +183,11 @@ def load_binary(data: bytes) -> Loaded:
     return "", {"sha256": checksum(data), "length": str(len(data)), "preview": base64.b64encode(data[:PREVIEW]).decode()}
 
 
+def load_image(data: bytes) -> Loaded:
+    meta, said = images.describe(data)
+    return images.joined([t for _, t, _ in said]), meta | load_binary(data)[1]
+
+
 LOADERS: dict[str, Callable[[bytes], Loaded]] = {
     "application/json": load_json,
     "application/x-ndjson": load_jsonl,
@@ -196,6 +201,7 @@ LOADERS: dict[str, Callable[[bytes], Loaded]] = {
     "text/calendar": load_ics,
     "application/pdf": load_pdf,
     "application/zip": load_zip,
+    **dict.fromkeys(("image/png", "image/jpeg", "image/gif", "image/bmp", "image/tiff", "image/webp"), load_image),
     "application/vnd.openxmlformats-officedocument.wordprocessingml.document": load_docx,
     "application/vnd.openxmlformats-officedocument.presentationml.presentation": load_pptx,
     "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": load_xlsx,
