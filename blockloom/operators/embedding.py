@@ -9,7 +9,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 META, KEYS = 32, ("label", "key", "value", "title")
@@ -60,26 +62,93 @@ def embed(blocks: DataFrame, dim: int = 256, seed: int = 42) -> DataFrame:
     return blocks.withColumn("embedding", F.pandas_udf(run, "array<double>")("text", "attrs", "page", *corners))
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 5, vec: str = "embedding", most_queries: int = 10_000) -> DataFrame:
+#: Vectors multiplied at a time; rows of a shard and queries of a block beyond one broadcast; lists merged at a time, and first.
+TILE, SHARD, BLOCK, FAN_IN, LISTS = 2048, 32_768, 4096, 16, 256
+#: Largest table of queries, in bytes of its numbers, that is sent to all tasks.
+MOST_BYTES = 64 << 20
+TOP = "query_id bigint, part bigint, top array<struct<loss:double,other:bigint>>"
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), dim) if len(flat) else np.zeros((0, dim))
+
+
+class _Best:
+    """The k best (score, id) of each query so far; a larger id wins a tie. Scores count to 12 places."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        self.ids, self.queries, self.k = ids, queries, k
+        self.found = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        for at in range(0, len(ids), TILE):
+            names = ids[at : at + TILE]
+            scores = np.round(self.queries @ vectors[at : at + TILE].T, 12)
+            floor = np.partition(scores, -self.k, axis=1)[:, -self.k] if len(names) > self.k else np.full(len(scores), -np.inf)
+            for q, (row, least) in enumerate(zip(scores, floor)):
+                good = np.flatnonzero(row >= least)
+                s, i = np.concatenate((self.found[q][0], row[good])), np.concatenate((self.found[q][1], names[good]))
+                order = np.lexsort((-i, -s))[: self.k]
+                self.found[q] = s[order], i[order]
+
+    def rows(self, part: int) -> pa.RecordBatch:
+        tops = [[{"loss": -x, "other": -y} for x, y in zip(s.tolist(), i.tolist())] for s, i in self.found]
+        kind = pa.list_(pa.struct([("loss", pa.float64()), ("other", pa.int64())]))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids, pa.int64()), pa.array(np.full(len(self.ids), part, np.int64)), pa.array(tops, kind)], names=["query_id", "part", "top"])
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 5, vec: str = "embedding", most_bytes: int = MOST_BYTES) -> DataFrame:
     """(query_id, rank, id, score): the k rows of index (id, vec) with the largest cosine per row of queries (query_id, vec).
 
-    Ties go to the larger id. Up to `most_queries` queries are broadcast, after a count, and the index stays where it is;
-    each task keeps k rows per query before anything is shuffled. More queries are searched in blocks of that many.
+    Ties go to the larger id. Products are made tile by tile and only k rows per query leave a task. Queries of up to
+    `most_bytes` are sent to all tasks, after a count, and the index stays where it is. More are dealt over a grid of shards
+    of the index and blocks of queries, each pair of which meets in one task. Lists are merged in a tree.
     """
-    n = queries.count()
-    if n > most_queries:
-        count = -(-2 * n // most_queries)
-        tagged = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(count)))
-        blocks = [tagged.where(F.col("_b") == b).drop("_b") for b in range(count)]
-        out = search(index, blocks[0], k, vec, n)
-        for b in blocks[1:]:
-            out = out.unionByName(search(index, b, k, vec, n))
-        return out
-    q = queries.select("query_id", unit(F.col(vec).cast("array<double>")).alias("_q"))
-    rows = index.select("id", unit(F.col(vec).cast("array<double>")).alias("_v"), F.spark_partition_id().alias("_p"))
-    dot = F.aggregate(F.zip_with("_q", "_v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    each = rows.join(F.broadcast(q)).select("query_id", "id", "_p", dot.alias("score"))
-    order = [F.col("score").desc(), F.col("id").desc()]
-    near = each.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_p").orderBy(*order))).where(F.col("_r") <= k)
-    best = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
-    return best.select("query_id", "rank", "id", "score")
+    q = queries.select(F.col("query_id").cast("bigint").alias("query_id"), unit(F.col(vec).cast("array<double>")).alias("v")).where("query_id is not null and v is not null")
+    rows = index.select(F.col("id").cast("bigint").alias("id"), unit(F.col(vec).cast("array<double>")).alias("v")).where("id is not null and v is not null")
+    n, dim = q.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    fits = F.size("v") == dim
+    if n * dim * 8 <= most_bytes:
+        table = q.where(fits).toArrow()
+        sent = q.sparkSession.sparkContext.broadcast((table["query_id"].to_numpy(), _matrix(table["v"], dim)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = _Best(*sent.value, k)
+            for b in batches:
+                best.add(b.column(0).to_numpy(), _matrix(b.column(1), dim))
+            yield best.rows(TaskContext.get().partitionId() % LISTS)
+
+        lists, parts = rows.where(fits).mapInArrow(run, TOP), LISTS
+    else:
+        blocks, shards = -(-n // BLOCK), max(1, -(-rows.count() // SHARD))
+        own = rows.where(fits).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        asked = q.where(fits).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+
+        def cell(key: tuple, some: pa.Table, ask: pa.Table) -> pa.Table:
+            best = _Best(ask["query_id"].to_numpy(), _matrix(ask["v"], dim), k)
+            best.add(some["id"].to_numpy(), _matrix(some["v"], dim))
+            return pa.Table.from_batches([best.rows(key[0].as_py())])
+
+        lists = own.select(F.col("shard").cast("bigint").alias("shard"), F.col("block").cast("bigint").alias("block"), "id", "v").groupBy("shard", "block").cogroup(asked.select(F.col("shard").cast("bigint").alias("to_shard"), F.col("block").cast("bigint").alias("to_block"), "query_id", "v").groupBy("to_shard", "to_block")).applyInArrow(cell, TOP)
+        parts = shards
+    while True:
+        parts = -(-parts // FAN_IN)
+        lists = lists.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("query_id", "part").agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
+        if parts <= 1:
+            break
+    out = lists.select("query_id", F.posexplode("top").alias("rank", "hit"))
+    return out.select("query_id", (F.col("rank") + 1).alias("rank"), (-F.col("hit.other")).alias("id"), (-F.col("hit.loss")).alias("score"))
+
+
+def add(index: DataFrame | None, entries: DataFrame, dim: int | None = None, vec: str = "embedding") -> DataFrame:
+    """index with entries (id, vec, metadata) added, vectors at norm 1. Entries of another length than `dim`, or than the
+    index's first row, are refused."""
+    if dim is None and index is not None:
+        first = index.select(F.size(vec)).first()
+        dim = first[0] if first else None
+    if dim is not None and not entries.where((F.size(vec) != dim) | F.col(vec).isNull()).isEmpty():
+        raise ValueError(f"vectors must have {dim} dimensions")
+    own = F.col("metadata") if "metadata" in entries.columns else F.create_map().cast("map<string,string>")
+    new = entries.select("id", unit(F.col(vec).cast("array<double>")).alias(vec), own.alias("metadata"))
+    return new if index is None else index.unionByName(new)

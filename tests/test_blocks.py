@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,7 +218,28 @@ def test_embedding_and_search(spark):
     got = embedding.search(idx, q, 2).orderBy("rank").collect()
     assert [r.id for r in got] == [3, 1]
     many = q.unionByName(q.withColumn("query_id", F.lit(10)))
-    assert embedding.search(idx, many, 1, most_queries=1).count() == 2
+    assert embedding.search(idx, many, 1, most_bytes=0).count() == 2
+
+
+def test_search_both_ways(spark, monkeypatch):
+    """Broadcast queries, and the grid beyond: equal to brute force, with ties, nulls, zero vectors and other lengths."""
+    rng = np.random.default_rng(2)
+    vectors = {i: rng.integers(-2, 3, 6).astype(float) for i in range(200)}
+    unit = {i: v / np.linalg.norm(v) if v.any() else v for i, v in vectors.items()}
+    want = sorted((q, r + 1, i, round(s, 9)) for q in range(0, 200, 20) for r, (s, i) in enumerate(sorted(((float(unit[q] @ unit[i]), i) for i in vectors), key=lambda x: (-round(x[0], 12), -x[1]))[:7]))
+    rows = [(i, v.tolist()) for i, v in vectors.items()]
+    idx = spark.createDataFrame(rows + [(900, None), (901, [1.0]), (None, [1.0] * 6)], "id long, embedding array<double>").repartition(5)
+    q = spark.createDataFrame([r for r in rows if r[0] % 20 == 0], "query_id long, embedding array<double>")
+    for name, value in (("TILE", 16), ("SHARD", 32), ("BLOCK", 4)):
+        monkeypatch.setattr(embedding, name, value)
+    for most in (0, 1 << 20):
+        got = sorted((r.query_id, r["rank"], r.id, round(r.score, 9)) for r in embedding.search(idx, q, 7, most_bytes=most).collect())
+        assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(a[3] - b[3]) < 1e-8 for a, b in zip(got, want))
+        assert embedding.search(idx.limit(0), q, 7, most_bytes=most).count() == 0
+    index = embedding.add(None, idx.where("id = 3"))
+    assert embedding.add(index, idx.where("id = 4")).count() == 2
+    with pytest.raises(ValueError):
+        embedding.add(index, idx.where("id = 901"))
 
 
 def test_control(spark):
