@@ -44,14 +44,6 @@ def _blocks(df: DataFrame, key: str, text, kind: str = "paragraph", level=0.5) -
     return df.select(F.col(key).cast("bigint").alias("doc_id"), F.lit(0).alias("pos"), F.lit(kind).alias("type"), text.alias("text"), none.alias("attrs"), (level if not isinstance(level, float) else F.lit(level)).alias("confidence"))
 
 
-@query()
-def flagship(spark, sf_dir):
-    """Documents to final blocks, by language and type."""
-    docs = _t(spark, sf_dir, "documents")
-    out = convert_texts(docs.select("doc_id", "text"))
-    return out.groupBy("lang", "type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"), F.sum(F.length("text")).alias("chars"))
-
-
 @query(r"""
 SELECT doc_id, CAST(length(text) AS BIGINT) AS char_count, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS line_count,
        CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS BIGINT) AS word_count
@@ -179,11 +171,51 @@ def log_extract(spark, sf_dir):
     return r.select("id", F.element_at(a, "timestamp").alias("stamp"), F.element_at(a, "message").alias("message"))
 
 
-@query()
+_STRIPPED = "trim({}, ' ' || chr(9) || chr(10))"
+
+
+def _detected(rows: str, key: str) -> str:
+    """SQL of (key, delimiter, kept): the table in `t` of rows (key, t), by the delimiter that covers most lines, then gives most columns."""
+    ways = [f"list_transform(string_split(x, '{d}'), lambda c: trim(c, ' ' || chr(9)))" for d in (",", "\t", ";")]
+    pipe = "list_transform(string_split(x, '|'), lambda c: trim(c, ' ' || chr(9)))"
+    full = f"list_transform({pipe}, lambda c: c <> '')"
+    ways.append(f"CASE WHEN list_contains({full}, true) THEN {pipe}[list_position({full}, true):len({full}) - list_position(list_reverse({full}), true) + 1] ELSE [] END")
+    ways.append("list_filter(regexp_split_to_array(trim(x, ' ' || chr(9)), '\\s{2,}'), lambda c: c <> '')")
+    named = " UNION ALL ".join(f"SELECT {key}, n, {k} AS k, '{name}' AS delimiter, list_filter(list_transform(ls, lambda x: {way}), lambda r: len(r) > 1) AS rs FROM ls" for k, (name, way) in enumerate(zip(("comma", "tab", "semicolon", "pipe", "whitespace"), ways)))
+    return f"""(WITH ls AS (SELECT {key}, ls, len(ls) AS n FROM (SELECT {key}, list_filter(string_split(t, chr(10)), lambda x: trim(x, ' ' || chr(9)) <> '') AS ls FROM {rows}) WHERE len(ls) > 1),
+w AS (SELECT *, list_transform(rs, lambda r: len(r)) AS ns FROM ({named}) WHERE len(rs) > 1),
+m AS (SELECT *, list_sort(list_transform(ns, lambda x: {{'many': -len(list_filter(ns, lambda y: y = x)), 'first': list_position(ns, x), 'width': x}}))[1].width AS width FROM w),
+c AS (SELECT *, list_filter(list_transform(list_filter(rs, lambda r: len(r) >= width), lambda r: r[1:width]), lambda r: len(list_filter(r, lambda c: NOT regexp_full_match(c, ':?-{{3,}}:?'))) > 0) AS kept FROM m)
+SELECT {key}, delimiter, kept FROM c WHERE len(kept) >= greatest(2, n - 1) QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY len(kept) DESC, width DESC, k) = 1)"""
+
+
+def _shattered(text: str) -> str:
+    """SQL of the chunks of a stripped text: itself, packed sentences, or slices."""
+    found = _SPLIT.replace("trim(text, ' ' || chr(10))", text)
+    packed = f"""list_reduce(list_transform({found}, lambda x: {{'now': x, 'done': CAST([] AS VARCHAR[])}}),
+   lambda a, b: CASE WHEN length(a.now) + 1 + length(b.now) <= 600 THEN {{'now': a.now || ' ' || b.now, 'done': a.done}} ELSE {{'now': b.now, 'done': list_append(a.done, a.now)}} END)"""
+    return f"CASE WHEN length({text}) <= 600 THEN [{text}] WHEN len({found}) > 1 THEN list_append({packed}.done, {packed}.now) ELSE list_transform(range(0, length({text}), 600), lambda k: substr({text}, k + 1, 600)) END"
+
+
+_BLOCKS = rf"""paragraphs AS (SELECT doc_id, i AS part, ps[i + 1] AS t FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n([^\S\n]*\n)+'), lambda x: regexp_replace(regexp_replace(x, '^([^\S\n]*\n)+', ''), '(\n[^\S\n]*)+$', '')), lambda x: {_STRIPPED.format('x')} <> '') AS ps FROM documents), range(len(ps)) r(i)),
+tables AS {_detected('paragraphs', 'doc_id, part')},
+pieces AS (SELECT p.doc_id, p.part, CASE WHEN x.delimiter IS NULL AND contains(t, chr(10)) AND len(ls) BETWEEN 1 AND 16 AND len(list_filter(ls, lambda y: length(y) >= 200)) = 0 THEN ls ELSE [t] END AS ps
+ FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda y: trim(y, ' ' || chr(9)) <> '') AS ls FROM paragraphs) p LEFT JOIN tables x USING (doc_id, part)),
+cut AS (SELECT doc_id, part, i, {_STRIPPED.format('ps[i + 1]')} AS text FROM pieces, range(len(ps)) r(i)),
+shattered AS (SELECT doc_id, part, i, {_shattered('text')} AS cs FROM cut),
+chunks AS (SELECT doc_id, part, i, j, {_STRIPPED.format('cs[j + 1]')} AS t FROM shattered, range(len(cs)) r(j) WHERE {_STRIPPED.format('cs[j + 1]')} <> ''),
+found AS {_detected("(SELECT * FROM chunks WHERE contains(t, chr(10)))", 'doc_id, part, i, j')},
+typed AS (SELECT c.doc_id, CAST(row_number() OVER (PARTITION BY c.doc_id ORDER BY part, i, j) - 1 AS INTEGER) AS pos, CASE WHEN delimiter IS NOT NULL THEN 'table' ELSE {_classify_sql('t')} END AS type, t, delimiter, kept FROM chunks c LEFT JOIN found USING (doc_id, part, i, j)),
+blocks AS (SELECT doc_id, pos, type, CASE WHEN type = 'table' THEN array_to_string(list_transform(kept, lambda r: array_to_string(r, ', ')), chr(10)) ELSE t END AS text,
+ CASE type WHEN 'table' THEN CASE delimiter WHEN 'whitespace' THEN 0.74::DOUBLE ELSE 0.78 END WHEN 'kv' THEN 0.75 WHEN 'log' THEN 0.6 WHEN 'list_item' THEN 0.7 WHEN 'heading' THEN 0.8 WHEN 'metadata' THEN 0.6 WHEN 'other' THEN 0.3 ELSE 0.5 END AS confidence, delimiter, kept FROM typed)"""
+
+
+@query(f"WITH {_BLOCKS} SELECT doc_id, pos, type, text, confidence, delimiter, CASE WHEN type = 'table' THEN CAST(len(kept) AS VARCHAR) END AS row_count, CASE WHEN type = 'table' THEN CAST(len(kept[1]) AS VARCHAR) END AS column_count, sha256(doc_id || '|' || pos) AS id FROM blocks")
 def document_blocks(spark, sf_dir):
     """All blocks of all documents: paragraphs, tables, chunks, types."""
     out = text_blocks(_t(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "pos", "type", "text", F.to_json("attrs").alias("attrs"), "confidence", block_id().alias("id"))
+    attr = lambda k: F.try_element_at("attrs", F.lit(k)).alias(k)
+    return out.select("doc_id", "pos", "type", "text", "confidence", attr("delimiter"), attr("row_count"), attr("column_count"), block_id().alias("id"))
 
 
 _TABLE_SQL = """
@@ -223,6 +255,20 @@ _INFER_SQL = r"""CASE WHEN t = '' THEN 'other'
  WHEN length(t) - length(replace(t, ':', '')) = 1 AND length(t) < 80 THEN 'kv' ELSE 'paragraph' END"""
 
 
+@query(rf"""WITH {_BLOCKS},
+cleaned AS (SELECT type, confidence, {_STRIPPED.format(r"regexp_replace(regexp_replace(text, '\s+\n', chr(10), 'g'), '^[•・]\s*', '- ')")} AS t FROM blocks),
+inferred AS (SELECT t, confidence, CASE WHEN type = 'paragraph' THEN {_INFER_SQL} ELSE type END AS type FROM cleaned),
+labelled AS (SELECT t, substr(t, 1, 2000) AS s, CASE WHEN type IN ('paragraph', 'other') THEN 'paragraph' ELSE type END AS type, CASE WHEN type IN ('paragraph', 'other') THEN 0.5::DOUBLE ELSE confidence END AS confidence FROM inferred),
+lettered AS (SELECT *, len(regexp_extract_all(s, '\pL')) AS a, len(regexp_extract_all(s, '[A-Za-z]')) AS e, len(regexp_extract_all(s, '[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}]')) AS j FROM labelled),
+guessed AS (SELECT *, CASE WHEN length(t) < 12 OR a = 0 THEN NULL WHEN j >= e AND j >= a - e - j THEN 'ja' WHEN e >= a - e - j THEN 'en' ELSE 'other' END AS lang FROM lettered)
+SELECT lang, type, count(*) AS n, round(avg(confidence), 6) AS confidence, CAST(sum(length(t)) AS BIGINT) AS chars FROM guessed GROUP BY lang, type""")
+def flagship(spark, sf_dir):
+    """Documents to final blocks, by language and type."""
+    docs = _t(spark, sf_dir, "documents")
+    out = convert_texts(docs.select("doc_id", "text"))
+    return out.groupBy("lang", "type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"), F.sum(F.length("text")).alias("chars"))
+
+
 @query(f"SELECT shape, id, {_INFER_SQL} AS type FROM (SELECT shape, id, trim(text, ' ' || chr(10)) AS t FROM {_SHAPES})")
 def infer_type(spark, sf_dir):
     return _shapes(spark, sf_dir).select("shape", "id", normalize.infer(F.lit("paragraph"), normalize.clean(F.col("text"))).alias("type"))
