@@ -3,7 +3,7 @@
 A dictionary over a corpus (word counts, n-gram probabilities, encoded words) has no bound, so it is never broadcast, and
 joining it to every occurrence would shuffle the corpus many times over. Instead texts are packed into batches of some
 megabytes; each batch lists its distinct keys; these are joined to the dictionary; and every batch meets its own small
-part of it. What is shuffled is the packed text once and each batch's distinct keys.
+part of it. What is shuffled is each batch's distinct keys; the packed text lies in buckets by batch and stays there.
 """
 
 from __future__ import annotations
@@ -17,15 +17,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import trim, written
+from .common import bucketed, trim
 
 #: Bytes of text in a batch (a longer text is a batch of its own).
 BATCH = 32 << 20
 PACKED = "batch long, doc_id array<long>, flag array<boolean>, size array<long>, data binary"
 
 
-def pack(docs: DataFrame, flag, batch_bytes: int = BATCH) -> DataFrame:
-    """Pack (doc_id, text) into rows of PACKED, kept in the shared folder. Null texts are empty."""
+def pack(docs: DataFrame, flag, batch_bytes: int | None = None) -> DataFrame:
+    """Pack (doc_id, text) into rows of PACKED, kept in the shared folder in buckets by batch. Null texts are empty."""
+
+    batch_bytes = batch_bytes or BATCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int | None] = []
@@ -53,7 +55,7 @@ def pack(docs: DataFrame, flag, batch_bytes: int = BATCH) -> DataFrame:
             yield out()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), flag.alias("flag"), F.col("text").cast("binary").alias("text"))
-    return written(rows.mapInArrow(run, PACKED))
+    return bucketed(rows.mapInArrow(run, PACKED), "batch")
 
 
 def unpack(row: pa.RecordBatch | pa.Table, k: int) -> tuple[int, list[int | None], np.ndarray, list[bytes]]:

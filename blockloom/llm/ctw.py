@@ -7,7 +7,7 @@ context). Counts come from all training texts. Scoring uses the trained tree as
 depends on its n-gram alone: every n-gram that occurs anywhere is scored once, and texts sum them.
 
 The tree is built level by level with aggregates and joins of (node) tables that grow with the corpus; nothing of them is
-broadcast or collected. Null texts are empty. Repeated rows count and are scored each. Extra columns are ignored. With no
+broadcast or collected. Null texts are empty; very long ones are a batch of their own, and n-grams are sorted in parts. Repeated rows count and are scored each. Extra columns are ignored. With no
 training text every bit costs one bit and the base score is the contract's with N = V = 0. An empty table gives an empty
 result.
 """
@@ -21,11 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import pack, unpack
-from .common import LOWER, held_out, keep, written
+from .common import LOWER, held_out, keep, partitions, written
 
 #: Bytes of context, and bytes of text whose n-grams are sorted at a time.
 DEPTH = 4
@@ -181,10 +181,11 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
     """RESULT per row of docs (doc_id, text)."""
     packed = pack(docs, held_out("doc_id", folds))
     found = written(keys(packed))
-    # a word has one row per batch at most, so summing over its rows needs one shuffle and no join
-    same = Window.partitionBy("word")
-    words = found.where("word is not null").withColumn("c", F.sum("n").over(same)).withColumn("first", F.col("batch") == F.min("batch").over(same))
-    by_word = written(words.select("batch", F.lit(True).alias("is_word"), "gram", F.col("c").cast("double").alias("value"), "first"))
+    # a word has one row per batch at most, so no word is hot; both sides of the join read one and the same shuffle
+    words = found.where("word is not null").select("batch", "word", "gram", "n").repartition(partitions(docs.sparkSession), "word")
+    counts = words.groupBy("word").agg(F.sum("n").alias("c"), F.min("batch").alias("least"), F.min("gram").alias("g")).where("least >= 0 and g >= 0").select("word", "c", "least")
+    met = words.join(counts.hint("merge"), "word")
+    by_word = written(met.select("batch", F.lit(True).alias("is_word"), "gram", F.col("c").cast("double").alias("value"), (F.col("batch") == F.col("least")).alias("first")))
     n_words = found.where("word is not null").select(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     v_words = by_word.select(F.count_if(F.col("first") & (F.col("value") > 0))).first()[0]
     n_end = packed.select(F.coalesce(F.sum(F.size(F.filter("flag", lambda f: ~f))), F.lit(0))).first()[0]
@@ -194,7 +195,7 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
     all_grams = keep(seen.groupBy("gram").agg(F.sum("n").alias("n")))
     values = keep(gram_scores(all_grams.select("gram"), tree(all_grams.where("n > 0"))))
     by_gram = seen.select("batch", "gram").join(values.hint("merge"), "gram").select("batch", F.lit(False).alias("is_word"), "gram", "value")
-    looked_up = by_word.drop("first").unionByName(by_gram)
+    looked_up = by_word.drop("first").unionByName(by_gram).withColumnRenamed("batch", "to")
 
     def run(one: pa.Table, other: pa.Table) -> pa.Table:
         is_word = other["is_word"].to_numpy()
@@ -227,7 +228,7 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
         kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "n_bytes": pa.int64()}
         return pa.table({k: pa.array(out[k], kind) for k, kind in kinds.items()})
 
-    return packed.groupBy("batch").cogroup(looked_up.groupBy("batch")).applyInArrow(run, RESULT)
+    return packed.groupBy("batch").cogroup(looked_up.groupBy("to")).applyInArrow(run, RESULT)
 
 
 def op9_lm_score(spark, sf_dir: str) -> DataFrame:
