@@ -35,10 +35,18 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _own_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/{name}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write a wide table as Parquet in the shared folder and read it back (columnar and compressed, unlike a checkpoint)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = _own_path(spark, uuid.uuid4().hex)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -50,7 +58,7 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     """
     spark = df.sparkSession
     name = f"blockloom_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(partitions(spark), key).saveAsTable(name)
+    df.write.format("parquet").option("compression", "zstd").option("path", _own_path(spark, name)).bucketBy(partitions(spark), key).saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return out

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from blockloom.llm import common, ctw, exact_dedup, exact_topk, mixing, pii, quality, secrets, sentencepiece, simhash, url_filter
+from blockloom.llm import batches, common, ctw, exact_dedup, exact_topk, mixing, pii, quality, secrets, sentencepiece, simhash, url_filter
 
 DIR = "/root/testdata/sf0.001"
 TEXTS = ["", None, " ", "one", "One two  three\tfour\nfive six seven", "One two three four five six sevem", "x" * 5000, "word " * 3000, "same text here", "same text here", "é ünï 中文 😀 a@b.cd", None]
@@ -300,37 +300,86 @@ def test_quality(spark, docs):
     assert quality.good_documents(docs, none).columns == docs.columns
 
 
+def statistics_brute(text):
+    """The statistics by characters and plain loops."""
+    raw = (text or "").encode()
+    words, lines = raw.split(), [x for x in raw.split(b"\n") if x]
+    n, w = len(raw), len(words)
+    soft = lambda x, at: x / (x + at)
+    share = lambda test: sum(map(test, raw)) / n if n else 0
+    lengths = [len(x) for x in words]
+    mean = sum(lengths) / w if w else 0
+    upper, lower = sum(65 <= c <= 90 for c in raw), sum(97 <= c <= 122 for c in raw)
+    other = lambda c: c < 128 and not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c in b" \t\n\x0b\x0c\r,.")
+    of = lambda test: soft(sum(map(test, words)) / w, 0.2) if w else 0.0
+    return [
+        math.log(1 + n), math.log(1 + w), math.log(1 + mean) if w else 0.0, math.log(1 + math.sqrt(sum((x - mean) ** 2 for x in lengths) / w)) if w else 0.0,
+        math.log(1 + len(set(words))) / math.log(1 + w) if w else 1.0, soft((max(Counter(words).values()) - 1) / w, 0.1) if w else 0.0, soft(upper / (upper + lower), 0.2) if upper + lower else 0.0,
+        soft(share(lambda c: 48 <= c <= 57), 0.1), soft(share(lambda c: c in b",."), 0.05), soft(share(other), 0.1), soft(share(lambda c: c >= 128), 0.1), soft(len(lines) / w, 0.1) if w else 0.0, soft(1 - len(set(lines)) / len(lines), 0.5) if lines else 0.0,
+        of(lambda x: x[-1:] in (b"!", b"#", b"$", b"%", b"&", b"*", b"|", b"@", b"^", b"~", b"+", b"=", b"<", b">", b"{", b"}", b"[", b"]", b"\\", b"/", b"_")), of(lambda x: x.isupper() and len(x) > 3), of(lambda x: x == b"|"),
+    ]
+
+
+def test_quality_by_brute_force(spark, docs):
+    """Statistics, classes' moments, shrinkage and log-densities without sums over partitions or Cholesky factors."""
+    t = lambda n: spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet")
+    df = t("documents").select("doc_id", "text").unionByName(docs.select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))
+    rows = df.collect()
+    x = np.array([statistics_brute(r.text) for r in rows])
+    quality_of = {r.doc_id: r.quality for r in t("labels").collect()}
+    train = [i for i, r in enumerate(rows) if r.doc_id in quality_of and zlib.crc32(str(r.doc_id).encode()) % 5]
+    y = np.array([quality_of[rows[i].doc_id] for i in train])
+    parts = {c: x[np.array(train)[y == c]] for c in (0, 1)}
+    cov = {c: np.cov(p.T, bias=True) for c, p in parts.items()}
+    pooled = sum(len(parts[c]) * cov[c] for c in (0, 1)) / len(train)
+    z = np.full(len(x), math.log((len(parts[1]) + 1) / (len(parts[0]) + 1)))
+    for c, sign in ((0, -1), (1, 1)):
+        s = 0.85 * cov[c] + 0.15 * pooled
+        s = 0.9 * s + 0.1 * np.diag(np.diag(s)) + 1e-6 * np.eye(len(s))
+        d = x - parts[c].mean(axis=0)
+        z += sign * -0.5 * (np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d) + np.linalg.slogdet(s)[1])
+    want = sorted((str(r.doc_id), float(v)) for r, v in zip(rows, 1 / (1 + np.exp(-np.clip(z, -500, 500)))))
+    got = sorted((str(r.doc_id), r.score) for r in quality.scored(df, t("labels")).collect())
+    assert [g[0] for g in got] == [w[0] for w in want] and max(abs(a[1] - b[1]) for a, b in zip(got, want)) < 1e-6
+
+
 # url filter
 
 
-def judge_brute(url):
+def judge_brute(url, rules=url_filter.RULES):
     host = path = ""
     if url and "://" in url:
         rest = url.split("://", 1)[1]
         host = re.match(r"[^/?#]*", rest)[0]
         path = re.match(r"[^?#]*", rest[len(host) :])[0]
         host = host.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    fits = [(len(r), r, v) for v, r in url_filter.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.find("/") :])]
-    best = max(fits, default=(0, None, "allow"))
+    fits = [(len(r), r, v) for v, r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[len(r.split("/")[0]) :])]
+    best = min(((-n, r, v) for n, r, v in fits), default=(0, None, "allow"))
     return host, path, best[1], best[2]
 
 
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://A.Example.COM/en/7x?q#f", "x://example.com/en/8", "x://badexample.com/en/1", "x://com/en/", "x://a.net/de/8", "x://example.net/de/8/1", "x://b.org/es/?", "x://b.org/es", "a://b://c.com/en/1", "x://h?/en/", "x://.com/en/", "x://b.org/es/"] * 2
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit("clash"))
-    for most in (1 << 20, 0):  # shipped list, and joined list
-        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(df, most_bytes=most).collect()}
-        assert got == {i: judge_brute(u) for i, u in enumerate(urls)}
-    assert url_filter.judge(df.limit(0)).count() == 0
+    ties = (("block", "b.com/x"), ("allow", "com/xab"), ("block", "com/"), ("allow", "com/"), ("block", "a.b.com"), ("allow", "net/" + "y" * 3000))
+    urls += ["http://b.com/xab", "http://a.b.com/xab", "http://c.com", "http://a.b.com", "x://q.net/" + "y" * 5000 + "?" + "z" * 5000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit("clash"))
+    for rules in (url_filter.RULES, ties):
+        first = tuple({r: (v, r) for v, r in reversed(rules)}.values())
+        for shard in (None, 2):  # one array, and shards of two digests
+            got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(df, rules, shard=shard).collect()}
+            assert got == {i: judge_brute(u, first) for i, u in enumerate(urls)}
+    assert url_filter.judge(df.limit(0)).count() == 0 and url_filter.judge(df, ()).where("verdict = 'allow'").count() == df.count()
 
 
 def test_digest_array_confirms_strings(tmp_path):
     weak = lambda b: len(b)
     words = ["aa", "bb", "c", "dddd"]
-    order = url_filter.DigestArray.write(str(tmp_path), "t", words, lambda b: len(b))
-    array = url_filter.DigestArray(str(tmp_path), "t")
-    found = array.find([b"bb", b"aa", b"zz", b"c", b"ccc", b"dddd"], weak)
-    assert [order[i] if i >= 0 else None for i in found] == ["bb", "aa", None, "c", None, "dddd"]
+    for shard in (1, 2, 100):
+        order, _ = url_filter.DigestArray.write(str(tmp_path), f"t{shard}", words, weak, shard)
+        array = url_filter.DigestArray(str(tmp_path), f"t{shard}")
+        found = array.find([b"bb", b"aa", b"zz", b"c", b"ccc", b"dddd"], weak)
+        assert [order[i] if i >= 0 else None for i in found] == ["bb", "aa", None, "c", None, "dddd"]
 
 
 # SentencePiece
@@ -495,6 +544,8 @@ def test_near_copies_by_one_passage(spark):
             assert set(x.tolist()) & set(y.tolist())
             near = (int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_count() <= simhash.COPY_DIFFER
             assert found[2 * k] == 2 * k and (found[2 * k + 1] == 2 * k) == near
+    alike = [k for k, j in enumerate(similar) if j >= 0.8]
+    assert sum(found[2 * k + 1] == 2 * k for k in alike) >= 0.95 * len(alike)
     # common shingles come last in the order, and the join is as exact by it
     for k in range(0, len(texts), 2):
         x, y = (simhash.shingles(t.encode()) for t in texts[k : k + 2])
@@ -576,8 +627,12 @@ def ctw_brute(train, depth):
     return score
 
 
-def test_lm_scores(spark, docs):
-    df = docs.where("length(text) < 100 or text is null")
+@pytest.mark.parametrize("batch,chunk", [(32 << 20, 2 << 20), (60, 40)])
+def test_lm_scores(spark, docs, monkeypatch, batch, chunk):
+    """By the recursive definition; in one batch, and over many with n-grams sorted in parts."""
+    monkeypatch.setattr(batches, "BATCH", batch)
+    monkeypatch.setattr(ctw, "CHUNK", chunk)
+    df = docs.where("length(text) < 100 or text is null").repartition(3)
     rows = df.collect()
     out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     train = [r.text for r in rows if not out(r.doc_id)]
