@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, components, keep, salted_join, trim, without, written
+from .common import LOWER, components, joined_hot, keep, salted_join, trim, without, written
 
 #: Rows of one side of a comparison tile; a key with more rows is dealt over several tiles.
 TILE = 2048
@@ -139,8 +139,9 @@ def links(nodes: DataFrame, bits: int = 4, blocks: int = 7) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(of, root, component_id) of every node of nodes (node, rep): component_id is the least rep reachable over edges.
+def _components(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
+    """(node, root, component_id, n) of every node of nodes (node, rep, n), and the sum of n: component_id is the least rep
+    reachable over edges.
 
     Only nodes with an edge take part in the joins on roots, which are salted, as one root can hold a third of them.
     """
@@ -150,15 +151,17 @@ def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     named = salted_join(linked.select("node", "root"), least, "root", "node").select(F.col("node").alias("at"), "root", "component_id")
     out = nodes.join(named, F.col("node") == F.col("at"), "left")
     alone = F.col("root").isNull()
-    return out.select(F.col("node").alias("of"), F.coalesce("root", "node").alias("root"), F.when(alone, F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
+    out = keep(out.select("node", F.coalesce("root", "node").alias("root"), F.when(alone, F.col("rep")).otherwise(F.col("component_id")).alias("component_id"), "n"))
+    return out, out.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, seed: int = 42, blocks: int = 7) -> DataFrame:
     """(doc_id, text_key, fp, root, component_id) per row. component_id: least doc_id reachable over links, null only if all its ids are null."""
     fps = keep(fingerprints(docs, words, seed))
-    nodes = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    named = _components(nodes.select(F.col("fp").alias("node"), "rep"), links(nodes, bits, blocks))
-    return fps.join(named, F.col("fp") == F.col("of")).select("doc_id", "text_key", "fp", "root", "component_id")
+    nodes = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    named, total = _components(nodes.withColumnRenamed("fp", "node"), links(nodes, bits, blocks))
+    out = joined_hot(fps.withColumn("node", F.col("fp")), named, "node", "n", total)
+    return out.select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
@@ -358,9 +361,9 @@ def copy_links(nodes: DataFrame, most: int = COPY_DIFFER) -> DataFrame:
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, root, component_id) per row: copies whose five-word shingles have a similarity of about 0.8 or more."""
     rows = written(signatures(docs))
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("wide").alias("wide"), F.any_value("parts").alias("parts")))
-    named = _components(nodes.select("node", "rep"), copy_links(nodes))
-    return rows.select("doc_id", "text_key", "node").join(named, F.col("node") == F.col("of")).select("doc_id", "text_key", "root", "component_id")
+    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("wide").alias("wide"), F.any_value("parts").alias("parts"), F.count("*").alias("n")))
+    named, total = _components(nodes.select("node", "rep", "n"), copy_links(nodes))
+    return joined_hot(rows.select("doc_id", "text_key", "node"), named, "node", "n", total).select("doc_id", "text_key", "root", "component_id")
 
 
 def one_of_near(docs: DataFrame) -> DataFrame:
