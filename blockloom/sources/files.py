@@ -58,7 +58,7 @@ MIME_OF = {
     "image/gif": "gif",
     "image/webp": "webp",
 }
-MOST_BYTES = 200 << 20
+MOST_BYTES, MOST_PAYLOAD_BYTES = 200 << 20, 500 << 20
 
 
 def _lookup(c: Column, table: dict[str, str]) -> Column:
@@ -101,6 +101,19 @@ def expand_paths(paths: Iterable[str], recursive: bool = True) -> list[str]:
     return list(out)
 
 
+def refused(paths: Iterable[str], most_bytes: int = MOST_BYTES) -> dict[str, str]:
+    """Why local paths can't be read as files: missing, not a file, or too large (MOST_PAYLOAD_BYTES is the payloads' bound)."""
+    out = {}
+    for p in map(Path, paths):
+        if not p.exists():
+            out[str(p)] = "file not found"
+        elif not p.is_file():
+            out[str(p)] = "not a file"
+        elif p.stat().st_size > most_bytes:
+            out[str(p)] = "file too large"
+    return out
+
+
 def load_path_entries(file: str) -> list[str]:
     """Paths listed in a file; blank lines and # comments are skipped, repeats dropped."""
     rows = (x.strip() for x in Path(file).read_text(encoding="utf-8").splitlines())

@@ -15,7 +15,8 @@ from blockloom import cli, config, drivers
 from blockloom.operators import control, escalation
 from blockloom.operators.visual import image_blocks
 from blockloom.plans.convert import convert
-from blockloom.sources import images, office, sinks, structured
+from blockloom.functions import language
+from blockloom.sources import files, images, office, sinks, structured
 
 
 def failing(times, error, answer=b'{"ok": true}', log=None):
@@ -171,11 +172,11 @@ def test_deadline_and_failures(spark):
 
 def test_profiles(spark, tmp_path):
     state = tmp_path / "s" / "state.json"
-    files = lambda n: spark.createDataFrame([(n,)], "size long")
+    sized = lambda n: spark.createDataFrame([(n,)], "size long")
     calls = spark.createDataFrame([("d", 10, 5)], "driver string, calls long, failures long")
     pick = lambda **k: config.auto_profile(spark, str(state), epsilon=0.0, **k).name
-    assert pick(files=files(9_000_000)) == "archival" and pick(deadline_ms=900) == "realtime" and pick(kernel_ms=200.0) == "realtime" and pick(metrics=calls) == "balanced"
-    assert pick(files=files(1)) == "balanced"  # the first one that was never tried
+    assert pick(files=sized(9_000_000)) == "archival" and pick(deadline_ms=900) == "realtime" and pick(kernel_ms=200.0) == "realtime" and pick(metrics=calls) == "balanced"
+    assert pick(files=sized(1)) == "balanced"  # the first one that was never tried
     rows = [(p, x, 10, 0, 0) for p, x in (("balanced", 3000.0), ("realtime", 100.0), ("archival", 3600.0))]
     config.BanditState(str(state)).record(spark, spark.createDataFrame(rows, "profile string, latency_ms double, blocks int, escalations int, truncated int"))
     assert pick() == "realtime" and pick(candidates=("nothing",)) == "balanced"
@@ -276,3 +277,26 @@ def test_workbook_sheets():
         z.writestr("xl/worksheets/sheet1.xml", '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>' + "".join(f'<row><c r="B{k}"><v>{k}</v></c></row>' for k in range(1, 12001)) + "</sheetData></worksheet>")
     assert len(office.xlsx(out.getvalue())[0][1]) == 10_001 and len(office.xlsx(out.getvalue(), None, active=True)[0][1]) == 12_000
     assert office.xlsx(out.getvalue())[0][0] == "sheet1" and office.xlsx(out.getvalue())[0][1][0] == ["", "1"]
+
+
+def test_a_detector_of_ones_own(spark):
+    def detect(text):
+        if "boom" in text:
+            raise ValueError
+        return [("fr", 0.9), ("de", 0.05)]
+
+    rows = [(1, 0, "bonjour tout le monde"), (2, 0, "boom boom boom boom"), (3, 0, "short"), (4, 0, None)]
+    b = spark.createDataFrame(rows, "doc_id long, pos int, text string").withColumns({"attrs": F.create_map().cast("map<string,string>"), "lang": F.lit(None).cast("string")})
+    guess = language.guesses_with(detect)
+    got = {r.doc_id: (r.lang, list(r.language_hints)) for r in language.annotate(b, guess=guess).collect()}
+    assert got == {1: ("fr", ["fr"]), 2: ("en", ["en"]), 3: (None, []), 4: (None, [])}
+    assert {r.lang for r in language.votes(b, guess=guess).collect()} == {"fr", "en"}
+    with pytest.raises(ImportError):
+        language.langdetect_guesses()
+
+
+def test_refused_paths(tmp_path):
+    (tmp_path / "a").write_text("abc")
+    paths = [str(tmp_path / "a"), str(tmp_path), str(tmp_path / "b")]
+    assert files.refused(paths) == {paths[1]: "not a file", paths[2]: "file not found"}
+    assert files.refused(paths[:1], 2) == {paths[0]: "file too large"}
