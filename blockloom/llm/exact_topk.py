@@ -7,7 +7,8 @@ keeps the best k of each tile per query and merges them as it goes. Cells' lists
 Components become floor(scale * x) with x as double. Vectors that are null or hold a null or non-finite component take no
 part. Vectors of another length than the query's are no candidates of it. Rows whose vec_id is null take no part. A query
 never meets rows with its own vec_id; repeated rows of another id are candidates each; queries that repeat an id give one
-list. Ties go to the smaller vec_id. Products beyond a long saturate. Extra columns are ignored.
+list. Ties go to the smaller vec_id. Products beyond a long saturate. Extra columns are ignored; an empty table, or one
+without queries, gives an empty result.
 """
 
 from __future__ import annotations

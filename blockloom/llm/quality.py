@@ -7,7 +7,8 @@ Mahalanobis log-density difference plus the log prior odds.
 
 Null and empty texts give the vector of an empty text and are scored like any other. Labels with null ids or quality
 are ignored; repeated labels count as often as they occur. With no rows of one class the score is the smoothed prior
-(1/2 without any label). Extra columns are ignored; an empty table gives an empty result.
+(1/2 without any label). Texts are taken whole, however long; equal texts score alike. Extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -158,7 +159,11 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: in
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5) -> DataFrame:
-    """docs without those that score below the threshold, all columns kept. Texts are read twice and never shuffled."""
+    """docs without those that score below the threshold, all columns kept. Texts are read twice and never shuffled.
+
+    Null, empty and very long texts are scored like any other; rows with equal texts fare alike, whatever their ids. With no
+    label of one class the score is the prior. An empty table stays empty.
+    """
     model = fit(keep(vectors(docs)), labels, folds)
     place = docs.columns.index("text")
 

@@ -1,7 +1,8 @@
 """SimHash near-duplicates: fingerprints of word shingles, pigeonhole blocks, Hamming check, components.
 
 Null and empty texts have the fingerprint zero and are linked like any other. Repeated rows and equal texts share a
-fingerprint. Extra columns of the input are ignored. An empty table gives an empty result.
+fingerprint. Very long texts are hashed whole, slice by slice. Ties of ids don't matter: a component's id is its least. Extra
+columns of the input are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
