@@ -426,7 +426,22 @@ def json_flatten(spark, sf_dir):
     return o.select(F.col("o_orderkey").alias("id"), j.alias("j")).mapInPandas(run, "id bigint, pos int, type string, text string, path_r string")
 
 
-@query()
+_SAID = "trim(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&'), ' ' || chr(9) || chr(10))"
+
+
+@query(rf"""
+WITH cut AS (SELECT page_id AS doc_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract_all(html, '<li>(?:<[^>]*>)?([^<]*)', 1) AS items, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS head,
+ string_split(regexp_extract(html, '(?s)</h1>(.*?)</article>', 1), '<p>')[2:] AS rs FROM pages),
+texts AS (SELECT *, list_transform(rs, lambda x: {_SAID.format("regexp_replace(x, '<[^>]*>', '', 'g')")}) AS ps FROM cut),
+named AS (SELECT doc_id, 0 AS part, 0 AS i, 'title' AS kind, {_SAID.format('title')} AS t FROM cut UNION ALL SELECT doc_id, 1, k, 'list_item', {_SAID.format('items[k + 1]')} FROM cut, range(len(items)) r(k) UNION ALL SELECT doc_id, 2, 0, 'heading', {_SAID.format('head')} FROM cut
+ -- a paragraph that starts in bold is never closed: it holds all that follow, which are given again
+ UNION ALL SELECT doc_id, 3, k, NULL, CASE WHEN starts_with(rs[k + 1], '<b>') THEN array_to_string(list_filter(ps[k + 1:], lambda x: x <> ''), ' ') ELSE ps[k + 1] END FROM texts, range(len(ps)) r(k)),
+said AS (SELECT * FROM named WHERE t <> ''),
+shattered AS (SELECT doc_id, part, i, kind, CASE WHEN kind IS NULL THEN {_shattered('t')} ELSE [t] END AS cs FROM said),
+chunks AS (SELECT doc_id, part, i, j, kind, CASE WHEN kind IS NULL THEN {_STRIPPED.format('cs[j + 1]')} ELSE cs[j + 1] END AS t FROM shattered, range(len(cs)) r(j)),
+typed AS (SELECT *, CASE WHEN kind IS NULL THEN {_classify_sql('t')} ELSE kind END AS type FROM chunks WHERE t <> '')
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part, i, j) - 1 AS INTEGER) AS pos, type, t AS text, CASE WHEN kind = 'title' THEN 0.9::DOUBLE WHEN kind = 'heading' THEN 0.85 WHEN kind = 'list_item' THEN 0.7
+ ELSE CASE type WHEN 'kv' THEN 0.75 WHEN 'log' THEN 0.6 WHEN 'list_item' THEN 0.7 WHEN 'heading' THEN 0.8 WHEN 'metadata' THEN 0.6 WHEN 'other' THEN 0.3 ELSE 0.5 END END AS confidence FROM typed""")
 def html_blocks(spark, sf_dir):
     from ..operators.text_blocks import refine_pieces
     from ..sources.parsers import parse
