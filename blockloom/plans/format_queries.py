@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import drivers
-from ..functions import language, normalize
+from ..functions import features, language, normalize
 from ..operators import control, embedding, escalation, recipes, refine
 from ..operators.text_blocks import refine_pieces
 from ..schema import BLOCK
 from ..sources import files, parsers, payloads, sinks
-from .queries import _SCORE, _blocks, _calls, _layout_sql, _outcomes, _t, _turns, query
+from .queries import _SCORE, _blocks, _calls, _layout_sql, _lines, _outcomes, _t, _turns, query
 
 def _k() -> Column:
     return F.col("s_suppkey")
@@ -488,6 +488,72 @@ def learnt_pattern(spark, sf_dir):
     return report.select(F.lit(rule.when).alias("pattern"), F.lit(rule.kind).alias("kind"), "matched", "missed")
 
 
+@query(_listed(("paragraph", "'first part of ' || s_name || ' here'"), ("paragraph", "'second part' || chr(10) || 'in two lines of number ' || s_suppkey"), ("paragraph", "'third'")))
+def paragraph_split(spark, sf_dir):
+    """Blank lines, with white space in them or not, end a paragraph; line ends of all kinds are one."""
+    from ..functions.segment import classify, paragraphs, strip
+
+    text = F.concat(F.lit("\n \n  first part of "), _name(), F.lit(" here\r\n \t\r\n\nsecond part\rin two lines of number "), _k(), F.lit("\u2028\n\n third \n\n"))
+    s = _t(spark, sf_dir, "supplier").select(_k().alias("id"), F.posexplode(paragraphs(text)).alias("pos", "text"))
+    return s.select("id", "pos", classify(F.col("text")).alias("type"), strip(F.col("text")).alias("text"))
+
+
+@query("SELECT s_suppkey AS id, 'comma' AS delimiter, '[[\"name\",\"no\"],[\"' || s_name || ', Inc\",\"' || s_suppkey || '\"]]' AS rows FROM supplier")
+def quoted_table(spark, sf_dir):
+    """A table in plain text with a quoted cell; the divider row goes, a longer row is cut."""
+    from ..sources.tables import detect
+
+    text = F.concat(F.lit('name,no\n---,---\n"'), _name(), F.lit(', Inc", '), _k(), F.lit(",more\n"))
+    s = _t(spark, sf_dir, "supplier").select(_k().alias("id"), detect(text).alias("f"))
+    return s.select("id", "f.delimiter", F.to_json("f.rows").alias("rows"))
+
+
+@query("SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'header' WHEN 1 THEN 'paragraph' WHEN 2 THEN 'header' ELSE 'list' END AS type FROM supplier")
+def python_semantics(spark, sf_dir):
+    """The other set of rules: Unicode capitals, a space after the number, headings called header."""
+    k = _k() % 4
+    text = F.when(k == 0, "ÉTÉ 2024").when(k == 1, "1.x is no number").when(k == 2, "1. one").otherwise("- a\n- b")
+    b = _blocks(_t(spark, sf_dir, "supplier"), "s_suppkey", text)
+    return normalize.normalize(b, "python").select(F.col("doc_id").alias("id"), "type")
+
+
+_RECIPE = """
+name: mine
+patterns:
+- when: '^Sensor: \\w+$'
+  as: kv
+  attrs: {kind: sensor}
+  confidence: 0.95
+- when: '^- '
+  as: list
+fallback: {as: other, confidence: 0.2}
+"""
+
+
+@query(r"""SELECT event_id AS id, CASE event_id % 5 WHEN 3 THEN 'kv' WHEN 2 THEN 'list' ELSE 'other' END AS type, CASE event_id % 5 WHEN 3 THEN 'sensor' END AS kind, CASE event_id % 5 WHEN 3 THEN 0.95::DOUBLE WHEN 2 THEN 0.5 ELSE 0.2 END AS confidence FROM events""")
+def yaml_recipe(spark, sf_dir):
+    """Rules of a YAML file: the first that fits, else the fallback."""
+    out = recipes.apply_recipe(_lines(spark, sf_dir), recipes.parse_recipe(_RECIPE))
+    return out.select(F.col("doc_id").alias("id"), "type", _attr("kind").alias("kind"), "confidence")
+
+
+@query("SELECT conv_id AS id, turn, round(1 / (1 + exp(-greatest(-60, least(60, 0.5 + 0.01 * length(text) - 0.25)))), 6) AS score FROM conversations")
+def custom_model(spark, sf_dir):
+    """A score with weights of one's own, one of them for a type."""
+    b = _turns(spark, sf_dir)
+    return b.select(F.col("doc_id").alias("id"), F.col("pos").cast("bigint").alias("turn"), F.round(features.score(b, {"bias": 0.5, "text_length": 0.01, "type=paragraph": -0.25, "type=table": 9.0}), 6).alias("score"))
+
+
+@query("SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'a value that is longer than the text' WHEN 1 THEN 'a text that is longer than its value' END AS sample FROM supplier")
+def language_sample(spark, sf_dir):
+    """The longer of a text and its attribute `value`, if long enough."""
+    k = _k() % 3
+    text = F.when(k == 0, "a text of some length").when(k == 1, "a text that is longer than its value").otherwise("short")
+    value = F.when(k == 0, "a value that is longer than the text").when(k == 1, "a value all the same").otherwise("tiny")
+    s = _t(spark, sf_dir, "supplier")
+    return s.select(_k().alias("id"), language.sample(text, F.create_map(F.lit("value"), value)).alias("sample"))
+
+
 # languages
 
 _SAMPLE = r"""(SELECT conv_id, turn, s, len(regexp_extract_all(s, '\p{L}')) AS t, len(regexp_extract_all(s, '[A-Za-z]')) AS e, len(regexp_extract_all(s, '[\p{Han}\p{Hiragana}\p{Katakana}]')) AS j
