@@ -121,27 +121,23 @@ class Pieces:
                 low[ord(a), ord(b)] = True
         return low, keys
 
-    def all_parts(self, segments: list[str]) -> tuple[list[str], np.ndarray]:
-        """Segments cut between characters that stand side by side in no piece: all parts in a row, and how many each has."""
-        text = "".join(segments)
-        if not text:
-            return [], np.zeros(len(segments), np.int64)
+    def cuts(self, text: str, starts: np.ndarray) -> np.ndarray:
+        """Where segments that lie in a row, from `starts` on, are cut: at their ends and between characters that stand side by
+        side in no piece."""
         low, keys = self.joins
-        code = np.frombuffer(text.replace(" ", SPACE).encode("utf-32-le"), "<u4")
-        cut = np.ones(len(code) + 1, bool)
-        for k in range(0, len(code) - 1, SLICE):
-            a, b = code[k : k + SLICE].astype(np.int64), code[k + 1 : k + SLICE + 1].astype(np.int64)
-            a = a[: len(b)]
+        cut = np.ones(len(text) + 1, bool)
+        last = ""
+        for k in range(0, len(text), SLICE):
+            code = np.frombuffer((last + text[k : k + SLICE]).replace(" ", SPACE).encode("utf-32-le"), "<u4").astype(np.int64)
+            a, b = code[:-1], code[1:]
             small = (a < 512) & (b < 512)
-            inner = cut[k + 1 : k + 1 + len(b)]
+            inner = cut[k + 1 - len(last) : k + 1 - len(last) + len(b)]
             inner[small] = ~low[a[small], b[small]]
             key = (a << 21 | b)[~small]
             inner[~small] = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] != key
-        del code
-        starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)))))
+            last = text[min(k + SLICE, len(text)) - 1]
         cut[starts] = True
-        at = np.flatnonzero(cut)
-        return [text[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())], np.diff(np.searchsorted(at, starts))
+        return np.flatnonzero(cut)
 
     def merged(self, segment: str, taken: list | None = None) -> list[int]:
         """Ids of one segment by merging with a heap: for segments that are too long to fold. taken: gets the merges."""
@@ -354,10 +350,14 @@ def encoded_segments(words: DataFrame, pieces: Pieces) -> DataFrame:
 NUMBERED = "batch long, doc_id array<long>, words array<long>, marked array<boolean>, places binary, many binary, of binary, parts array<string>"
 
 
-def _squeezed(x: np.ndarray) -> bytes:
-    """Whole numbers below 2**32, compressed byte by byte: all lowest bytes, then all second ones and so on."""
-    out = zstandard.ZstdCompressor(3).compressobj()
-    planes = [out.compress(((x >> shift) & 255).astype(np.uint8).tobytes()) for shift in (0, 8, 16, 24)]
+def _squeezed(x: np.ndarray, through: np.ndarray | None = None) -> bytes:
+    """Whole numbers below 2**32 (or what they stand for in `through`), compressed byte by byte: all lowest bytes, then all
+    second ones and so on."""
+    out, planes = zstandard.ZstdCompressor(3).compressobj(), []
+    for shift in (0, 8, 16, 24):
+        for k in range(0, len(x), SLICE):
+            part = x[k : k + SLICE] if through is None else through[x[k : k + SLICE]]
+            planes.append(out.compress(((part >> shift) & 255).astype(np.uint8).tobytes()))
     return b"".join([*planes, out.flush()])
 
 
@@ -387,19 +387,26 @@ def numbered(docs: DataFrame, pieces: Pieces) -> DataFrame:
             order = np.argsort(-np.bincount(flat, minlength=len(index)), kind="stable")
             place = np.empty(len(index), np.int32)
             place[order] = np.arange(len(index), dtype=np.int32)
-            places = _squeezed(place[flat])
-            del flat
+            places = _squeezed(flat, place)
+            del flat, place
             named = list(index)
             index.clear()
-            cut, many = pieces.all_parts([named[k] for k in order.tolist()])
+            named = [named[k] for k in order.tolist()]
+            starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, named), np.int64, len(named)))))
+            text = "".join(named)
             del named
+            cuts = pieces.cuts(text, starts)
+            many = np.diff(np.searchsorted(cuts, starts))
             at = Index()
-            of = np.fromiter(map(at.__getitem__, cut), np.int64, len(cut))
-            parts = list(at)
-            cols = [[(part << 32) + count], [list(ids)], [words], [list(marked)], [places], [_squeezed(many)], [_squeezed(of)], [parts]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string())]
+            of = np.fromiter((at[text[i:j]] for i, j in zip(cuts[:-1], cuts[1:])), np.int32, len(cuts) - 1)
+            del cuts, text
+            parts = pa.array(list(at), pa.string())
+            at.clear()
+            parts = pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), parts)
+            cols = [[(part << 32) + count], [list(ids)], [words], [list(marked)], [places], [_squeezed(many)], [_squeezed(of)]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()]
             names = [f.split()[0] for f in NUMBERED.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+            return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), parts], names=names)
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
@@ -412,7 +419,9 @@ def numbered(docs: DataFrame, pieces: Pieces) -> DataFrame:
                 marked.append(SPACE in text)
                 rows.append(pieces.places(text, index))
                 held += len(text)
+            b = t = text = None  # the batch that came in goes before the one that goes out is made
         if ids:
+            trim()
             yield out()
         trim()
 
@@ -542,20 +551,26 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
             first, sizes = bound[:-1], np.diff(bound)
             ill = np.diff(np.concatenate(([0], np.cumsum(bad[of])))[to]) > 0
             places = _unsqueezed(cell("places"), np.int32)
-            many_ids, ills = np.zeros(len(places), np.int32), np.zeros(len(places), bool)
+            spans = np.concatenate(([0], np.cumsum(np.array(cell("words"), np.int64))))
+
+            def summed(x: np.ndarray, places: np.ndarray = places, spans: np.ndarray = spans) -> np.ndarray:
+                """Sums of x over each document's places."""
+                total = np.zeros(len(places) + 1, np.int32)
+                np.cumsum(x.astype(np.int32)[places], dtype=np.int32, out=total[1:])
+                return np.diff(total[spans]).astype(np.int64)
+
+            counts.append(summed(sizes))
+            same += ((summed(ill) == 0) & ~np.array(cell("marked"), bool)).tolist()
+            whole, at = np.empty(int(counts[-1].sum()), np.int32), 0
             for i in range(0, len(places), SLICE):
-                here = places[i : i + SLICE]
-                parts.append(gathered(own, first[here], sizes[here]))
-                many_ids[i : i + SLICE], ills[i : i + SLICE] = sizes[here], ill[here]
-            ends = np.cumsum(np.array(cell("words"), np.int64))
-            spans = np.concatenate(([0], ends))
-            total = np.concatenate(([0], np.cumsum(many_ids, dtype=np.int64)))[spans]
-            counts.append(np.diff(total))
-            same += ((np.diff(np.concatenate(([0], np.cumsum(ills, dtype=np.int64)))[spans]) == 0) & ~np.array(cell("marked"), bool)).tolist()
-            del places, many_ids, ills, own
+                some = gathered(own, first[places[i : i + SLICE]], sizes[places[i : i + SLICE]])
+                whole[at : at + len(some)] = some
+                at += len(some)
+            parts.append(whole)
+            del places, own, whole
         counts = np.concatenate(counts)
-        ids_col = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(np.concatenate(parts)))
-        del parts
+        flat = parts[1] if len(parts) == 2 else np.concatenate(parts)
+        ids_col = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(flat))
         trim()
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids": ids_col, "round_trip": pa.array(same, pa.bool_())})
 
