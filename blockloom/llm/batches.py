@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, trim
+from .common import LOWER, bucketed, trim
 
 #: Bytes of text in a batch (a longer text is a batch of its own).
 BATCH = 32 << 20
@@ -36,8 +36,11 @@ def pack(docs: DataFrame, flag, batch_bytes: int | None = None) -> DataFrame:
         part, count, held = TaskContext.get().partitionId(), 0, 0
 
         def out() -> pa.RecordBatch:
-            data = zstandard.compress(b"".join(texts), 6)
-            cols = [[(part << 32) + count], [ids], [flags], [[len(t) for t in texts]], [data]]
+            sizes = [len(t) for t in texts]
+            squeeze = zstandard.ZstdCompressor(6).compressobj()
+            data = [squeeze.compress(t) for t in texts]
+            texts.clear()
+            cols = [[(part << 32) + count], [ids], [flags], [sizes], [b"".join([*data, squeeze.flush()])]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["batch", "doc_id", "flag", "size", "data"])
 
@@ -51,18 +54,20 @@ def pack(docs: DataFrame, flag, batch_bytes: int | None = None) -> DataFrame:
                 flags.append(bool(f))
                 texts.append(text)
                 held += len(text)
+            b = t = text = None  # the batch that came in goes before the one that goes out is made
         if texts:
             yield out()
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), flag.alias("flag"), F.col("text").cast("binary").alias("text"))
     return bucketed(rows.mapInArrow(run, PACKED), "batch")
 
 
 def unpack(row: pa.RecordBatch | pa.Table, k: int) -> tuple[int, list[int | None], np.ndarray, list[bytes]]:
-    """batch, doc_ids, flags and texts of one packed row."""
+    """batch, doc_ids, flags and texts, A-Z lower-cased, of one packed row."""
     cell = lambda name: row.column(row.schema.get_field_index(name))[k]
     size = np.array(cell("size").as_py(), np.int64)
-    data = zstandard.decompress(cell("data").as_buffer().to_pybytes(), int(size.sum()) + 1) if size.sum() else b""
+    data = zstandard.ZstdDecompressor().decompressobj().decompress(cell("data").as_buffer()).translate(LOWER) if size.sum() else b""
     ends = np.cumsum(size).tolist()
     texts = [data[e - n : e] for e, n in zip(ends, size.tolist())]
     return cell("batch").as_py(), cell("doc_id").as_py(), np.array(cell("flag").as_py(), bool), texts

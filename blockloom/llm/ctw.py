@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import pack, unpack
-from .common import LOWER, held_out, keep, partitions, written
+from .common import held_out, keep, partitions, trim, written
 
 #: Bytes of context, and bytes of text whose n-grams are sorted at a time.
 DEPTH = 4
@@ -74,7 +74,6 @@ def keys(packed: DataFrame) -> DataFrame:
         for b in batches:
             for k in range(b.num_rows):
                 batch, _, held, texts = unpack(b, k)
-                texts = [t.translate(LOWER) for t in texts]
                 train = [t for t, h in zip(texts, held) if not h]
                 rest = [t for t, h in zip(texts, held) if h]
                 words: Counter = Counter()
@@ -96,6 +95,8 @@ def keys(packed: DataFrame) -> DataFrame:
                     ],
                     names=["batch", "word", "gram", "n"],
                 )
+                del texts, train, rest, words, named, g, n, more
+                trim()
 
     return packed.mapInArrow(run, "batch long, word binary, gram long, n long")
 
@@ -208,7 +209,6 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
         out: dict[str, list] = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes")}
         for k in range(one.num_rows):
             _, ids, held, texts = unpack(one, k)
-            texts = [t.translate(LOWER) for t in texts]
             out["doc_id"] += ids
             out["held_out"] += held.tolist()
             named: set[bytes] = set()
@@ -225,6 +225,7 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
             for key, n in grams(texts):
                 out["score"] += np.add.reduceat(value[index.get_indexer(key)], np.cumsum(n) - n).tolist()
         out["train_tokens"] = [total] * len(out["doc_id"])
+        trim()
         kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "n_bytes": pa.int64()}
         return pa.table({k: pa.array(out[k], kind) for k, kind in kinds.items()})
 
