@@ -6,7 +6,7 @@ import csv
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -54,6 +54,22 @@ def table(lines: list[str]) -> tuple[str, list[list[str]]] | None:
     return best and best[1:]
 
 
+def promising(rows: Column) -> Column:
+    """Whether some delimiter stands in enough lines for a table: what most prose fails, so that it is not parsed."""
+    least = F.greatest(F.lit(2), F.size(rows) - 1)
+
+    def having(holds: Callable[[Column], Column]) -> Column:
+        return F.size(F.filter(rows, holds)) >= least
+
+    def containing(delimiter: str) -> Column:
+        return having(lambda x: F.contains(x, F.lit(delimiter)))
+
+    out = having(lambda x: x.rlike(r"(?U)\S[\s\x1c-\x1f]{2,}\S"))
+    for _, delimiter in DELIMITERS:
+        out = out | containing(delimiter) if delimiter else out
+    return out
+
+
 def detect(c: Column) -> Column:
     """FOUND for a chunk's lines that are not blank, or null. CSV quoting needs a parser, so this goes through Arrow batches."""
 
@@ -63,5 +79,7 @@ def detect(c: Column) -> Column:
             yield pd.Series([None if t is None else json.dumps(t, ensure_ascii=False) for t in out], dtype=object)
 
     rows = full_lines(c)
-    found = F.pandas_udf(run, "string")(F.when(F.size(rows) > 1, rows))
+    # the lines are cut once, in an array of one, however often they are looked at
+    good = F.get(F.transform(F.array(rows), lambda r: F.when((F.size(r) > 1) & promising(r), r)), F.lit(0))
+    found = F.pandas_udf(run, "string")(good)
     return F.when(found.isNotNull(), F.struct(F.get_json_object(found, "$[0]").alias("delimiter"), F.from_json(F.get_json_object(found, "$[1]"), "array<array<string>>").alias("rows")))
