@@ -132,17 +132,16 @@ def scan(spark: SparkSession, paths: str | list[str], recursive: bool = True, gl
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     rows = reader.load(paths)
-    too_large = F.col("length") > most_bytes
-    out = rows.select(
-        "path",
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("modified_at"),
-        F.when(~too_large, F.col("content")).alias("content"),
-        detect_type(F.col("path"), F.col("content")).alias("type"),
-        guess_mime(F.col("path")).alias("mime"),
-        F.xxhash64("path").alias("doc_id"),
-        F.when(too_large, F.lit("file too large")).alias("error"),
-    )
+
+    def named(part: DataFrame, content: Column, error: Column) -> DataFrame:
+        kind = detect_type(F.col("path"), content)
+        stamp = F.col("modificationTime").alias("modified_at")
+        return part.select("path", F.col("length").alias("size"), stamp, content.alias("content"), kind.alias("type"), guess_mime(F.col("path")).alias("mime"), F.xxhash64("path").alias("doc_id"), error.alias("error"))
+
+    none = F.lit(None)
+    small = named(rows.where(F.col("length") <= most_bytes), F.col("content"), none.cast("string"))
+    # the filter is pushed and the content pruned, so a large file is not read, as it couldn't be beyond 2 GB
+    out = small.unionByName(named(rows.where(F.col("length") > most_bytes), none.cast("binary"), F.lit("file too large")))
     return without_glob(out, ignore) if ignore else out
 
 
