@@ -20,6 +20,8 @@ from pathlib import Path
 
 import yaml
 
+from .operators.breaker import CLOSED, State, step
+
 
 class DriverError(RuntimeError):
     """A driver can't be made, or can't answer."""
@@ -33,24 +35,19 @@ class Breaker:
     recovery: float = 30.0
     window: float = 10.0
     clock: Callable[[], float] = time.monotonic
-    _times: list[float] = field(default_factory=list)
-    _opened: float | None = None
+    _state: State = CLOSED
 
     def allows(self) -> bool:
-        if self._opened is not None and self.clock() - self._opened >= self.recovery:
+        opened = self._state[2]
+        if opened is not None and self.clock() - opened >= self.recovery:
             self.success()
-        return self._opened is None
+        return self._state[2] is None
 
     def success(self) -> None:
-        self._times, self._opened = [], None
+        self._state = CLOSED
 
     def failure(self) -> None:
-        now = self.clock()
-        if self._times and now - self._times[0] > self.window:
-            self._times = []
-        self._times.append(now)
-        if len(self._times) >= self.failures:
-            self._opened = now
+        self._state = step(self._state, self.clock(), False, self.failures, self.window, self.recovery)
 
 
 class Driver:

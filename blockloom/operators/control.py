@@ -6,10 +6,11 @@ import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from .breaker import breaker as breaker  # the breaker over a log of calls
+
 # fixed values: limits of the profile rules and weights of the reward
 LARGE_BYTES, TIGHT_MS, SLOW_KERNEL_MS, MOST_FAILURES = 5_000_000, 1200, 180.0, 0.35
 LATENCY_TARGET_MS, LEAST_REWARD, MOST_REWARD = 3600.0, -1.0, 1.5
@@ -77,37 +78,6 @@ def backoff(attempt: Column, base: float, most: float, jitter: float = 0.0, seed
     return wait + F.rand(seed) * jitter if jitter else wait
 
 
-def breaker(calls: DataFrame, failures: int = 3, window: float = 10.0, recovery: float = 30.0) -> DataFrame:
-    """Add open_after to calls (key, ts seconds, id, ok): whether a circuit breaker stands open after each call.
-
-    A success resets. A failure beyond `window` of the streak's first starts a new streak; `failures` in one streak open it
-    for `recovery`, and each further failure opens it again. Spark sorts a key's calls, on disk if need be, and they are
-    walked through batch by batch, so a key with very many calls needs no memory for them.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = first = opened = object()
-        n = 0
-        for b in batches:
-            out = []
-            for k, ts, ok in zip(b["key"], b["ts"], b["ok"]):
-                if k != key:
-                    key, first, n, opened = k, None, 0, None
-                if opened is not None and ts - opened >= recovery:
-                    first, n, opened = None, 0, None
-                if ok:
-                    first, n, opened = None, 0, None
-                else:
-                    first, n = (ts, 1) if first is None or ts - first > window else (first, n + 1)
-                    opened = ts if n >= failures else opened
-                out.append(opened is not None)
-            yield pd.DataFrame({"key": b["key"], "id": b["id"], "open_after": out})
-
-    rows = calls.select("key", F.col("ts").cast("double").alias("ts"), F.col("id").cast("bigint").alias("id"), "ok")
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.repartition("key").sortWithinPartitions("key", "ts", "id").mapInPandas(run, f"key {kind}, id bigint, open_after boolean")
-
-
 class Stages:
     """Wall times of a run's stages, on the driver: `with stages("parse"): ...` around what starts a job."""
 

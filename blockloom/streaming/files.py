@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.breaker import CLOSED, walk
 from ..plans.convert import convert_texts
 
 
@@ -38,22 +39,12 @@ def windowed_metrics(events: DataFrame, length: str = "1 minute", late: str = "1
 def breaker_stream(calls: DataFrame, failures: int = 3, window: float = 10.0, recovery: float = 30.0) -> DataFrame:
     """(key, id, open_after) of a stream of calls (key, id, ts seconds, ok), with each key's streak kept as state."""
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        first, n, opened = state.get if state.exists else (None, 0, None)
-        rows = pd.concat(list(parts)).sort_values(["ts", "id"])
-        out = []
-        for r in rows.itertuples():
-            if opened is not None and r.ts - opened >= recovery:
-                first, n, opened = None, 0, None
-            if r.ok:
-                first, n, opened = None, 0, None
-            else:
-                if first is None or r.ts - first > window:
-                    first, n = r.ts, 0
-                n += 1
-                opened = r.ts if n >= failures else opened
-            out.append((key[0], r.id, opened is not None))
-        state.update((first, n, opened))
-        yield pd.DataFrame(out, columns=["key", "id", "open_after"])
-
-    return calls.groupBy("key").applyInPandasWithState(step, "key string, id bigint, open_after boolean", "first double, n int, opened double", "append", "NoTimeout")
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        """A micro-batch's calls of one key are sorted by number and time only: 25 bytes a call."""
+        begun = state.get if state.exists else CLOSED
+        rows = pd.concat([p[["ts", "id", "ok"]] for p in parts]).sort_values(["ts", "id"])
+        states = walk(begun, rows["ts"], rows["ok"], failures=failures, window=window, recovery=recovery)
+        state.update(states[-1])
+        yield pd.DataFrame({"key": key[0], "id": rows["id"], "open_after": [opened is not None for _, _, opened in states]})
+
+    return calls.groupBy("key").applyInPandasWithState(run, "key string, id bigint, open_after boolean", "first double, n int, opened double", "append", "NoTimeout")
