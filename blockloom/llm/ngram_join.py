@@ -4,17 +4,21 @@ A set of n shingles shares T = ceil(0.8 n) of them at least with every partner,
 must occur T times among the inverted lists of its shingles, and n - T + 1 of them hold each partner at least once, whichever
 they are. The lists are divided in that way twice:
 
-over tasks  only the n - T + 1 rarest shingles of each set go into the distributed index. Sets that share one of them are
-            gathered in tiles, named by the least set of the list, so the many lists of one group of copies are one tile.
-            Equal sets are one set before anything is joined. A tile with over CAP shingles is dealt over chunks; what its
-            chunks leave apart is then compared chunk by chunk, but sets known to be connected never again.
+over tasks  of each set only its n - T + 1 rarest shingles go into the distributed index, and of those only the ones that
+            occur in another text at all. How many texts have a shingle is counted exactly up to truncated hashes: batches of
+            texts send their distinct hashes, sorted and delta-coded (some two bytes each), to ranges of the hash space, and
+            get back those that occur more than once. So a passage that many texts share makes no candidates of them, as long
+            as they have enough of their own. Sets that share an indexed shingle are gathered in tiles, named by the least
+            set of the list, so the many lists of one group of copies are one tile. Equal sets are one set before anything is
+            joined. A tile with over CAP shingles is dealt over chunks; what its chunks leave apart is then compared chunk by
+            chunk, but sets known to be connected never again.
 in a tile   DivideSkip: a set's short lists are merged, counting how often each other set occurs; sets that can still reach T
             are looked up in the long lists by binary search; the overlap found so is exact. As a tile gives a spanning
             forest of its links, a set that is already connected is no longer a partner, and a group of copies costs a
             search or two, not all pairs.
 
-What is rare is told by a sample of distinct texts (at most COMMON_MOST common shingles, the rest by hash): any order gives the
-same links. Shingles are 64-bit hashes of whole word sequences, sets are told apart by 128 bits.
+Shingles are 64-bit hashes of whole word sequences, sets are told apart by 128 bits. Counts decide the order of the lists only:
+any order that all sets share gives the same links.
 
 Null texts and texts without words have an empty set and are linked with nothing. A shorter text is one shingle. Texts are
 taken whole; a text beyond CAP is a chunk of its own. Repeated rows and equal sets are in one component, null ids too; a
@@ -28,10 +32,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, components, joined_hot, keep, marked, trim, written
+from .batches import pack, unpack
+from .common import components, joined_hot, keep, partitions, trim, written
 from .simhash import _components, shingles
 
 #: Links need a hundred times the intersection to be at least so many times the union.
@@ -40,8 +46,10 @@ PERCENT = 80
 CAP = 1 << 20
 #: Postings that are merged without setting long lists aside, and the weight of a list's length when they are.
 MERGED, MU = 4096, 0.0085
-#: The order of the lists: shingles of at least COMMON_LEAST of about COMMON_OF sampled texts come last, COMMON_MOST at most.
-COMMON_OF, COMMON_LEAST, COMMON_MOST = 8192, 3, 1 << 16
+#: Hashes of one range of the counting, and further bits that a truncated hash has, so that few meet by chance.
+RANGE, SPARE_BITS = 1 << 22, 8
+#: Bytes of text that a shingle takes at least, on average, for sizing ranges; no result depends on it.
+SHINGLE_BYTES = 5
 NONE = np.empty(0, np.uint64)
 
 
@@ -50,14 +58,6 @@ def required(n: int | np.ndarray):
     return -(-PERCENT * n // 100)
 
 
-def rare_first(h: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The n - T + 1 rarest shingles of a sorted set."""
-    if len(common):
-        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-        h = h[np.argsort(np.where(common[at] == h, counts[at], 0), kind="stable")]
-    return h[: len(h) - required(len(h)) + 1]
-
-
 class Tile:
     """Inverted lists of some sets (sorted arrays of distinct hashes), and T-occurrence searches among them."""
 
@@ -123,53 +123,127 @@ class Tile:
         return one, two
 
 
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the common shingles of a sample of distinct texts, and in how many of them: COMMON_MOST at most."""
-    share = max(1, docs.count() // COMMON_OF)
-    key = F.xxhash64("text")
-    some = docs.where(F.pmod(key, F.lit(share)) == 0).groupBy(key.alias("key")).agg(F.any_value("text").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column(0):
-                if t.is_valid:
-                    yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_buffer().to_pybytes()).view(np.int64))], names=["h"])
-            trim()
-
-    seen = some.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n"))
-    top = seen.where(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "h").limit(COMMON_MOST).toArrow()
-    h, n = top["h"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
 def _halves(h: np.ndarray) -> tuple[int, int]:
     """128 bits of a set, as two signed longs."""
     a, b = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64).tolist()
     return a, b
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text_key, d1, d2, n, parts) of every row, in buckets by row: its set's name and size, its rarest shingles."""
-    common, counts = common_shingles(docs)
+def squeezed(values: np.ndarray) -> bytes:
+    """Sorted whole numbers as compressed differences: the bytes of one place side by side, as the high ones are mostly zero."""
+    steps = np.diff(values, prepend=values[:1]).astype("<u4") if len(values) else np.empty(0, "<u4")
+    first = int(values[0]).to_bytes(8, "little") if len(values) else b"\0" * 8
+    return first + zstandard.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
+def spread(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(zstandard.decompress(data[8:]), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    return np.uint64(int.from_bytes(data[:8], "little")) + np.cumsum(steps, dtype=np.uint64)
+
+
+class Ranges:
+    """Truncated hashes and the ranges that they are counted in, sized by the bytes of all texts."""
+
+    def __init__(self, text_bytes: int, parallel: int):
+        n = max(1, text_bytes // SHINGLE_BYTES)
+        self.range_bits = max(0, (max(parallel, -(-n // RANGE)) - 1).bit_length())
+        # a range is narrower than 2^32, as differences are kept in four bytes
+        self.bits = min(64, n.bit_length() + SPARE_BITS, 32 + self.range_bits)
+        self.range_bits = min(self.range_bits, self.bits)
+
+    def cut(self, h: np.ndarray) -> np.ndarray:
+        return h >> np.uint64(64 - self.bits)
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        return (values >> np.uint64(self.bits - self.range_bits)).astype(np.int64) if self.range_bits else np.zeros(len(values), np.int64)
+
+
+SETS = "batch long, idx int, doc_id long, d1 long, d2 long, n long, range long, hashes binary, counts binary"
+
+
+def sets(packed: DataFrame, ranges: Ranges) -> DataFrame:
+    """Rows of two kinds: (batch, idx, doc_id, d1, d2, n) of each text, and (batch, range, hashes, counts) of a batch's distinct hashes."""
+    schema = pa.schema([("batch", pa.int64()), ("idx", pa.int32()), *[(c, pa.int64()) for c in ("doc_id", "d1", "d2", "n", "range")], ("hashes", pa.binary()), ("counts", pa.binary())])
+
+    def table(rows: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, size, parts = [], [], []
-            for t in b.column(3):
-                h = shingles(t.as_buffer().to_pybytes()) if t.is_valid else NONE
-                names.append(_halves(h))
-                size.append(len(h))
-                parts.append(rare_first(h, common, counts) if len(h) else NONE)
-            ends = np.cumsum([0] + [len(p) for p in parts]).astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([NONE, *parts]).view(np.int64)))
-            halves = [pa.array([x[k] for x in names], pa.int64()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *halves, pa.array(size, pa.int64()), listed], names=["row", "doc_id", "text_key", "d1", "d2", "n", "parts"])
-            del b
-            trim()
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
-    return bucketed(rows.mapInArrow(run, "row long, doc_id long, text_key long, d1 long, d2 long, n long, parts array<long>"), "row")
+            for k in range(b.num_rows):
+                batch, ids, _, texts = unpack(b, k)
+                found = []
+                names, size = [], []
+                for t in texts:
+                    h = shingles(t)
+                    names.append(_halves(h))
+                    size.append(len(h))
+                    found.append(np.unique(ranges.cut(h)))
+                n = len(ids)
+                yield table(n, batch=[batch] * n, idx=range(n), doc_id=ids, d1=[x for x, _ in names], d2=[y for _, y in names], n=size)
+                values, counts = np.unique(np.concatenate([NONE, *found]), return_counts=True)
+                del found, texts
+                of = ranges.of(values)
+                starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.empty(0, np.int64)
+                ends = [*starts[1:].tolist(), len(of)]
+                hashes = [squeezed(values[i:j]) for i, j in zip(starts.tolist(), ends)]
+                how = [zstandard.compress(np.minimum(counts[i:j], 255).astype(np.uint8).tobytes()) for i, j in zip(starts.tolist(), ends)]
+                yield table(len(starts), batch=[batch] * len(starts), range=of[starts], hashes=hashes, counts=how)
+                del values, counts
+                trim()
+
+    return packed.mapInArrow(run, SETS)
+
+
+def shared(found: DataFrame) -> DataFrame:
+    """(batch, hashes, counts): of each batch's hashes those that more than one text has, and how many texts (65,535 at most)."""
+
+    def run(part: pa.Table) -> pa.Table:
+        values = [spread(v) for v in part["hashes"].to_pylist()]
+        counts = [np.frombuffer(zstandard.decompress(c), np.uint8) for c in part["counts"].to_pylist()]
+        every, place = np.unique(np.concatenate([NONE, *values]), return_inverse=True)
+        total = np.bincount(place, weights=np.concatenate([np.empty(0, np.uint8), *counts]), minlength=len(every)).astype(np.int64)
+        hashes, how, at = [], [], 0
+        for v in values:
+            n = total[place[at : at + len(v)]]
+            at += len(v)
+            hashes.append(squeezed(v[n > 1]))
+            how.append(zstandard.compress(np.minimum(n[n > 1], 65535).astype("<u2").tobytes()))
+        return pa.table({"batch": part["batch"], "hashes": pa.array(hashes, pa.binary()), "counts": pa.array(how, pa.binary())})
+
+    rows = found.where("range is not null").select("batch", "range", "hashes", "counts")
+    return rows.groupBy("range").applyInArrow(run, "batch long, hashes binary, counts binary")
+
+
+def indexed(packed: DataFrame, nodes: DataFrame, common: DataFrame, ranges: Ranges) -> DataFrame:
+    """(node, key): the shingles of each set's n - T + 1 rarest that another text has, too."""
+
+    def run(one: pa.Table, other: pa.Table) -> pa.Table:
+        node, key = [], []
+        known = other.filter(pa.compute.is_valid(other["hashes"]))
+        values = np.concatenate([NONE, *[spread(v) for v in known["hashes"].to_pylist()]])
+        counts = np.concatenate([np.empty(0, "<u2"), *[np.frombuffer(zstandard.decompress(c), "<u2") for c in known["counts"].to_pylist()]])
+        order = np.argsort(values)
+        values, counts = values[order], counts[order]
+        wanted = other.filter(pa.compute.is_valid(other["node"]))
+        for k in range(one.num_rows):
+            texts = unpack(one, k)[3]
+            for n, i in zip(wanted["node"].to_pylist(), wanted["idx"].to_pylist()):
+                h = shingles(texts[i])
+                cut = ranges.cut(h)
+                at = np.minimum(np.searchsorted(values, cut), max(0, len(values) - 1))
+                met = values[at] == cut if len(values) else np.zeros(len(h), bool)
+                most = len(h) - required(len(h)) + 1 - int((~met).sum())
+                if most > 0:
+                    kept = h[met][np.argsort(counts[at[met]], kind="stable")][:most]
+                    node.append(np.full(len(kept), n, np.int64))
+                    key.append(kept)
+        trim()
+        return pa.table({"node": pa.array(np.concatenate([np.empty(0, np.int64), *node])), "key": pa.array(np.concatenate([NONE, *key]).view(np.int64))})
+
+    named = nodes.select("batch", "idx", "node")
+    told = common.unionByName(named, allowMissingColumns=True).withColumnRenamed("batch", "to")
+    return packed.groupBy("batch").cogroup(told.groupBy("to")).applyInArrow(run, "node long, key long")
 
 
 def members(keyed: DataFrame) -> DataFrame:
@@ -178,31 +252,23 @@ def members(keyed: DataFrame) -> DataFrame:
     lists = written(lists)
     two = lists.where("held = 2").select("lead", F.explode(F.array("lead", "most")).alias("node"))
     more = lists.where("held > 2").select("key", "lead", "held")
-    rows = marked(keyed, F.col("key"), more.select("key"), "may").where("may").select("key", "node")
     total = more.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
-    met = joined_hot(rows, more, "key", "held", total).where("lead is not null").select("lead", "node")
+    met = joined_hot(keyed, more, "key", "held", total).where("lead is not null").select("lead", "node")
     return written(two.unionByName(met).distinct())
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, set) of wanted (node, text_key, d1, d2): the sorted hashes of each set, from one text that has it."""
-    key = F.xxhash64("text")
-    rows = docs.select(key.alias("text_key"), F.col("text").cast("binary").alias("text"))
-    rows = marked(rows, F.col("text_key"), wanted.select(F.col("text_key").alias("key")), "may").where("may").drop("may")
-    texts = rows.groupBy("text_key", "text").agg(F.count("*").alias("copies")).join(wanted.hint("merge"), "text_key")
+def whole_sets(packed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, set) of wanted (batch, idx, node): the sorted hashes of each set."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            nodes, out = [], []
-            for node, d1, d2, t in zip(*(b.column(k).to_pylist() for k in (0, 1, 2)), b.column(3)):
-                h = shingles(t.as_buffer().to_pybytes()) if t.is_valid else NONE
-                if _halves(h) == (d1, d2):  # two texts may share a key
-                    nodes.append(node)
-                    out.append(h.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary())], names=["node", "set"])
-            trim()
+    def run(one: pa.Table, other: pa.Table) -> pa.Table:
+        nodes, out = other["node"].to_pylist(), []
+        for k in range(min(1, other.num_rows) and one.num_rows):
+            texts = unpack(one, k)[3]
+            out = [shingles(texts[i]).tobytes() for i in other["idx"].to_pylist()]
+        trim()
+        return pa.table({"node": pa.array(nodes, pa.int64()), "set": pa.array(out, pa.binary())})
 
-    return written(texts.select("node", "d1", "d2", "text").mapInArrow(run, "node long, set binary"))
+    return written(packed.groupBy("batch").cogroup(wanted.select(F.col("batch").alias("to"), "idx", "node").groupBy("to")).applyInArrow(run, "node long, set binary"))
 
 
 def tile_links(tiles: DataFrame, found: DataFrame) -> DataFrame:
@@ -260,20 +326,19 @@ def links(groups: DataFrame, found: DataFrame) -> DataFrame:
 
 def similar(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
-    rows = sets(docs)
-    least = F.min(F.struct("row", "text_key"))
-    nodes = rows.where("n > 0").groupBy("d1", "d2").agg(least.alias("of"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"))
-    nodes = bucketed(nodes.select(F.col("of.row").alias("node"), F.col("of.text_key").alias("text_key"), "d1", "d2", "rep", "copies", "n"), "node")
-    parts = rows.select(F.col("row").alias("node"), "parts")
-    keyed = parts.join(nodes.select("node").hint("merge"), "node").select("node", F.explode("parts").alias("key"))
-    groups = members(keyed)
-    wanted = groups.select("node").distinct().join(nodes, "node").select("node", "text_key", "d1", "d2")
-    found = whole_sets(docs, written(wanted))
-    edges = links(groups.join(nodes.select("node", "n"), "node"), found)
+    packed = pack(docs.select("doc_id", "text"), F.lit(False))
+    text_bytes = packed.select(F.coalesce(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda a, n: a + n)), F.lit(0))).first()[0]
+    ranges = Ranges(text_bytes, partitions(docs.sparkSession))
+    found = written(sets(packed, ranges))
+    rows = found.where("range is null").select("batch", "idx", "doc_id", F.struct("d1", "d2").alias("name"), "n")
+    nodes = rows.where("n > 0").groupBy("name").agg(F.min(F.struct("batch", "idx")).alias("of"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"))
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "name", "of.*", "rep", "copies", "n"))
+    groups = members(written(indexed(packed, nodes, shared(found), ranges)))
+    wanted = groups.select("node").distinct().join(nodes, "node").select("node", "batch", "idx")
+    edges = links(groups.join(nodes.select("node", "n"), "node"), whole_sets(packed, wanted))
     named, total = _components(nodes.select("node", "rep", F.col("copies").alias("n")), edges)
-    by = nodes.select("node", F.struct("d1", "d2").alias("name"), "copies").join(named.select("node", "component_id"), "node").drop("node")
-    out = joined_hot(rows.where("n > 0").select("doc_id", "n", F.struct("d1", "d2").alias("name")), by, "name", "copies", total)
+    by = nodes.select("node", "name", "copies").join(named.select("node", "component_id"), "node").drop("node")
+    out = joined_hot(rows.where("n > 0").select("doc_id", "n", "name"), by, "name", "copies", total)
     out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from blockloom.llm import centroids, ngram_join, prefix_trie, scans
+from blockloom.llm import batches, centroids, ngram_join, prefix_trie, scans
 
 # centroid clustering
 
@@ -38,15 +38,15 @@ def lloyd(rows, k, rounds, scale):
     return sorted(((i, j, d, min(own[j], most), min(sum(own.values()), most), sha[j]) for i, d, j in found), key=repr)
 
 
-@pytest.mark.parametrize("seed,scale,k", [(1, 4.0, 3), (2, 1024.0, 5), (3, 1.0, 4), (4, 1e12, 3)])
+@pytest.mark.parametrize("seed,scale,k", [(2, 1024.0, 5), (3, 1.0, 4), (4, 1e12, 3)])
 def test_clusters(spark, seed, scale, k):
     r = np.random.default_rng(seed)
     rows = [(i, r.normal(r.integers(0, 4), 0.4, 6).round(2).tolist()) for i in range(150)]
     rows += [(7, rows[7][1])] * 40 + [(None, rows[3][1])] * 3  # repeats, ties and null ids
     odd = [(900, None), (901, [None] + [1.0] * 5), (902, [float("nan")] * 6), (903, [float("inf")] * 6), (904, [1.0] * 5), (905, [])]
     df = spark.createDataFrame([(i, v, 1, 2, "x") for i, v in rows + odd], VECTORS)
-    got = centroids.clusters(df, k=k, rounds=10, dims=6, scale=scale)
-    assert sorted(map(tuple, got.collect()), key=repr) == lloyd(rows, k, 10, scale)
+    got = centroids.clusters(df, k=k, rounds=5, dims=6, scale=scale)
+    assert sorted(map(tuple, got.collect()), key=repr) == lloyd(rows, k, 5, scale)
 
 
 def test_clusters_edges(spark):
@@ -115,7 +115,7 @@ def trie_of(df):
     return sorted(map(tuple, prefix_trie.trie(df).drop("preorder").collect()), key=repr)
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_trie(spark, seed):
     r = np.random.default_rng(seed)
     rows = []
@@ -128,15 +128,13 @@ def test_trie(spark, seed):
 
 
 def test_trie_shapes(spark):
-    """A comb, in which every conversation goes one turn further than another; copies; one conversation with most rows."""
-    comb = [(5 * c, t, "u", f"t{t}") for c in range(30) for t in range(c + 1)]
-    assert trie_of(conversations(spark, comb)) == trie_brute(comb)
-    back = [(5 * (29 - c), t, "u", f"t{t}") for c in range(30) for t in range(c + 1)]
-    assert trie_of(conversations(spark, back)) == trie_brute(back)
-    hot = [(10, t, "u", str(t % 3)) for t in range(400)] + [(5 * c, t, "u", "same") for c in range(20, 60) for t in range(3)]
-    got = prefix_trie.trie(conversations(spark, hot))
-    assert trie_of(conversations(spark, hot)) == trie_brute(hot)
-    order = sorted(got.collect(), key=lambda r: r.preorder)
+    """Combs, in which every conversation goes one turn further than another; copies; one conversation with most rows."""
+    rows = [(5 * c, t, "u", f"t{t}") for c in range(30) for t in range(c + 1)]
+    rows += [(5 * (99 - c), t, "v", f"t{t}") for c in range(30) for t in range(c + 1)]
+    rows += [(1000, t, "u", str(t % 3)) for t in range(400)] + [(5 * c, t, "u", "same") for c in range(220, 260) for t in range(3)]
+    got = prefix_trie.trie(conversations(spark, rows)).collect()
+    assert sorted((tuple(r)[:-1] for r in got), key=repr) == trie_brute(rows)
+    order = sorted(got, key=lambda r: r.preorder)
     assert [r.preorder for r in order] == list(range(len(order))) and order[0].depth == 0
     assert all(b.depth <= a.depth + 1 for a, b in zip(order, order[1:]))
     assert trie_of(conversations(spark, [])) == []
@@ -212,10 +210,11 @@ def corpus(seed):
     return [rows[k] for k in r.permutation(len(rows))]
 
 
-@pytest.mark.parametrize("seed,cap,merged", [(1, 1 << 20, 4096), (2, 300, 0), (3, 60, 16)])
-def test_ngram_join(spark, monkeypatch, seed, cap, merged):
+@pytest.mark.parametrize("seed,cap,batch", [(1, 1 << 20, 1 << 25), (2, 300, 2000), (3, 60, 300)])
+def test_ngram_join(spark, monkeypatch, seed, cap, batch):
+    """In one tile or dealt over chunks, in one batch of texts or in many."""
     monkeypatch.setattr(ngram_join, "CAP", cap)
-    monkeypatch.setattr(ngram_join, "MERGED", merged)
+    monkeypatch.setattr(batches, "BATCH", batch)
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, 1, "x", 3) for i, t in rows], "doc_id long, text string, row int, node string, n int")
     assert sorted(map(tuple, ngram_join.similar(df).collect()), key=repr) == join_brute(rows)
@@ -235,6 +234,18 @@ def test_divide_skip(monkeypatch, merged):
         assert tile.partners(x, np.ones(len(found), bool)).tolist() == want
 
 
+def test_squeezed():
+    r = np.random.default_rng(2)
+    for n in (0, 1, 2, 1000):
+        v = np.unique(r.integers(1 << 33, (1 << 33) + (1 << 32) - 1, n).astype(np.uint64))
+        assert (ngram_join.spread(ngram_join.squeezed(v)) == v).all()
+    for size in (0, 10**3, 10**9, 10**14):
+        x = ngram_join.Ranges(size, 8)
+        assert x.bits - x.range_bits <= 32 and x.bits <= 64
+        h = r.integers(0, 1 << 63, 50).astype(np.uint64) * np.uint64(2)
+        assert x.of(x.cut(h)).max() < 1 << x.range_bits
+
+
 def test_long_text(spark):
     """Texts of some megabytes are compared whole: one that differs in its last part only is no copy, one with an edit is."""
     r = np.random.default_rng(11)
