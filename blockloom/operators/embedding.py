@@ -101,13 +101,23 @@ class _Best:
 def search(index: DataFrame, queries: DataFrame, k: int = 5, vec: str = "embedding", most_bytes: int = MOST_BYTES) -> DataFrame:
     """(query_id, rank, id, score): the k rows of index (id, vec) with the largest cosine per row of queries (query_id, vec).
 
-    Ties go to the larger id. Products are made tile by tile and only k rows per query leave a task. Queries of up to
-    `most_bytes` are sent to all tasks, after a count, and the index stays where it is. More are dealt over a grid of shards
-    of the index and blocks of queries, each pair of which meets in one task. Lists are merged in a tree.
+    A query meets the rows of its own length; queries of several lengths are searched length by length, and one that no row
+    has the length of gives no rows. Ties go to the larger id. Products are made tile by tile and only k rows per query leave
+    a task. Queries of up to `most_bytes` are sent to all tasks, after a count, and the index stays where it is. More are
+    dealt over a grid of shards of the index and blocks of queries, each pair of which meets in one task. Lists are merged in
+    a tree.
     """
     q = queries.select(F.col("query_id").cast("bigint").alias("query_id"), unit(F.col(vec).cast("array<double>")).alias("v")).where("query_id is not null and v is not null")
     rows = index.select(F.col("id").cast("bigint").alias("id"), unit(F.col(vec).cast("array<double>")).alias("v")).where("id is not null and v is not null")
-    n, dim = q.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    out = None
+    for dim, n in q.groupBy(F.size("v")).count().collect() or [(0, 0)]:  # a row per length
+        found = _search(q, rows, k, dim, n, most_bytes)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _search(q: DataFrame, rows: DataFrame, k: int, dim: int, n: int, most_bytes: int) -> DataFrame:
+    """search() for the n queries of length dim."""
     fits = F.size("v") == dim
     if n * dim * 8 <= most_bytes:
         table = q.where(fits).toArrow()

@@ -236,6 +236,10 @@ def test_search_both_ways(spark, monkeypatch):
         got = sorted((r.query_id, r["rank"], r.id, round(r.score, 9)) for r in embedding.search(idx, q, 7, most_bytes=most).collect())
         assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(a[3] - b[3]) < 1e-8 for a, b in zip(got, want))
         assert embedding.search(idx.limit(0), q, 7, most_bytes=most).count() == 0
+    # a stray query of another length changes nothing for the rest, and finds what has its length
+    stray = q.select("query_id", "embedding").unionByName(q.limit(1).select(F.lit(10**6).cast("long").alias("query_id"), F.array_append("embedding", F.lit(1.0).cast(q.schema["embedding"].dataType.elementType)).alias("embedding")))
+    again = sorted((r.query_id, r["rank"], r.id, round(r.score, 9)) for r in embedding.search(idx, stray, 7).collect() if r.query_id != 10**6)
+    assert [g[:3] for g in again] == [w[:3] for w in want]
     index = embedding.add(None, idx.where("id = 3"))
     assert embedding.add(index, idx.where("id = 4")).count() == 2
     with pytest.raises(ValueError):
