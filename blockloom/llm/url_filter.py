@@ -103,14 +103,10 @@ class DigestArray:
         return out
 
 
-def suffixes(host: str) -> list[str]:
-    """The host and all it is a subdomain of."""
-    out = [host]
-    dot = host.find(".")
-    while dot >= 0:
-        out.append(host[dot + 1 :])
-        dot = host.find(".", dot + 1)
-    return out
+def suffixes(host: str, lengths: list[int]) -> list[str]:
+    """The host and all it is a subdomain of, of the given lengths: a few, however long the host and however many its labels."""
+    whole = len(host)
+    return [host[whole - n :] for n in lengths if n == whole or (n < whole and host[whole - n - 1] == ".")]
 
 
 def _folder() -> str:
@@ -130,6 +126,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, default:
         verdict.setdefault(rule, v)
     if not verdict:
         return pages.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    hosts = sorted({r.find("/") if "/" in r else len(r) for r in verdict})
     lengths = sorted({len(r) - (r.find("/") if "/" in r else len(r)) for r in verdict})
     name, folder = f"urls-{uuid.uuid4().hex}", _folder()
     stored, shipped = DigestArray.write(folder, name, list(verdict), shard=shard)
@@ -141,8 +138,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, default:
     def probe(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         root = SparkFiles.getRootDirectory()
         array, code = DigestArray(root, name), np.memmap(os.path.join(root, f"{name}.said"), np.int8, "r")
-        for hosts, paths in batches:
-            best: list[tuple[int, str, str] | None] = [None] * len(hosts)
+        for names, paths in batches:
+            best: list[tuple[int, str, str] | None] = [None] * len(names)
             probes: list[bytes] = []
             row: list[int] = []
 
@@ -156,8 +153,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, default:
                 probes.clear()
                 row.clear()
 
-            for k, (h, p) in enumerate(zip(hosts, paths)):
-                tails = suffixes(h)
+            for k, (h, p) in enumerate(zip(names, paths)):
+                tails = suffixes(h, hosts)
                 for n in lengths:
                     if n <= len(p):
                         probes += [(s + p[:n]).encode() for s in tails]

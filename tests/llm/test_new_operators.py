@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from blockloom.llm import batches, centroids, ngram_join, prefix_trie, scans
+from blockloom.llm import batches, centroids, ngram_join, pii, prefix_trie, scans, url_filter
 
 # centroid clustering
 
@@ -255,3 +255,27 @@ def test_long_text(spark):
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edit)), (3, " ".join(part))], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in ngram_join.similar(df.withColumn("x", F.lit(1))).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
+
+
+# earlier operators: identifiers of many words, hosts of many labels
+
+
+def test_pii_of_many_words(spark):
+    """Identifiers of more words than a candidate's parts are found whole, and no part of one is reported."""
+    rows = [f"phone: +1 (017) 555-{7000 + i} ok" for i in range(200)]
+    rows += [f"phone: 0{i % 10} {10 + i % 90} {20 + i % 70} 45 {30 + i % 60} ok" for i in range(60)]
+    rows += [f"phone: {' '.join(str(10 + (i * k) % 90) for k in range(1, 9))} ok" for i in range(5)]
+    rows += ["see 0301 44 55 66 77 88 there", "phone: " + "12 " * 3000 + "ok"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.more] for r in pii.find(df).collect()}
+    for i, t in enumerate(rows[200:265], 200):
+        assert got[i] == [(7, len(t) - 3)], t
+    assert got[265] == []
+
+
+def test_url_of_many_labels(spark):
+    """A host of 200,000 labels costs no more than the lengths of the rules' hosts."""
+    host = "a." * 200_000
+    rows = [(1, f"http://{host}example.com/en/7x"), (2, f"http://{host}com/en/"), (3, f"http://{host}xcom/en/"), (4, "http://com./en/"), (5, f"http://{'.' * 100_000}org/es/")]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got == {1: ("example.com/en/7", "allow"), 2: ("com/en/", "block"), 3: (None, "allow"), 4: (None, "allow"), 5: ("org/es/", "block")}
