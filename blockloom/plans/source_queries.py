@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import datasource, lines
+from ..operators import langid
+from ..sources import datasource, event_log, lines
 from ..workspace import own_path
 from .queries import query
 
@@ -124,3 +125,46 @@ def csv_split(spark, sf_dir):
     line = F.when(kind == 0, F.lit("")).when(kind == 1, F.concat("role", F.lit(","), "_turn", F.lit(","))).when(kind == 2, F.concat(F.lit('5" of,"a"b'), "role")).otherwise(F.concat_ws(",", "_conv", quoted, "role"))
     path = _files(_said(spark, sf_dir).select("part", line.alias("value"), "_conv", "_turn"), "text", "_conv", "_turn")
     return lines.csv_records(spark, path).select(_part(), "record", F.size("cells").cast("bigint").alias("n"), F.array_join("cells", "|").alias("cells"))
+
+
+_GRAMS = r"""g AS (
+  SELECT doc_id, lang, crc32 % 5 = 0 AS held_out, unnest(CASE WHEN t = '' THEN [] ELSE list_transform(range(1, length(t) + 1), lambda i: substr(' ' || t || ' ', i, 3)) END) AS gram
+  FROM (SELECT doc_id, lang, (doc_id * 7919) % 1009 AS crc32, trim(regexp_replace(lower(substr(coalesce(text, ''), 1, 2000)), '[^\pL]+', ' ', 'g')) AS t FROM documents))"""
+
+
+@query(f"""
+WITH {_GRAMS},
+c AS (SELECT lang, gram, count(*) AS c FROM g WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, gram),
+n AS (SELECT lang, sum(c) AS n FROM c GROUP BY lang),
+k AS (SELECT lang, gram, c FROM c QUALIFY row_number() OVER (PARTITION BY lang ORDER BY c DESC, gram) <= 3000),
+v AS (SELECT count(DISTINCT gram) AS v FROM k),
+d AS (SELECT doc_id, gram, count(*) AS m FROM g GROUP BY doc_id, gram),
+s AS (SELECT d.doc_id, n.lang, sum(d.m * log10((coalesce(k.c, 0) + 0.5) / (n.n + 0.5 * v.v))) AS s
+      FROM d CROSS JOIN n CROSS JOIN v LEFT JOIN k ON k.lang = n.lang AND k.gram = d.gram GROUP BY d.doc_id, n.lang)
+SELECT documents.doc_id, (documents.doc_id * 7919) % 1009 % 5 = 0 AS held_out, (SELECT s.lang FROM s WHERE s.doc_id = documents.doc_id ORDER BY s.s DESC, s.lang LIMIT 1) AS guess
+FROM documents""")
+def lang_profiles(spark, sf_dir):
+    """Profiles learnt from four fifths of the documents, applied to all."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", ((F.col("doc_id") * 7919) % 1009 % 5 == 0).alias("held_out"))
+    found = langid.identify(d.select("doc_id", "text", "held_out"), langid.learn(d.where("not held_out")))
+    return found.select("doc_id", "held_out", F.get("guesses", F.lit(0))["lang"].alias("guess"))
+
+
+@query("""
+SELECT CAST(conv_id % 4 AS VARCHAR) AS batch, count(*) AS events, count(DISTINCT conv_id * 100000 + turn) AS prompts
+FROM conversations GROUP BY 1""")
+def event_log_replay(spark, sf_dir):
+    """A log in four batches: one is written twice, one is left without its commit and written again, one repeats another's events."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") % 4).alias("b"), F.col("conv_id").alias("doc_id"), F.sha2(F.concat_ws("|", "turn", "text"), 256).alias("prompt"), F.lit("llm_result").alias("event"), (F.col("conv_id") * 100000 + F.col("turn")).alias("request"))
+    path = own_path(spark)
+    for k in range(4):
+        events = c.where(F.col("b") == k)
+        event_log.append(events, path, str(k))
+        if k == 1:
+            event_log.append(events, path, "1")
+        if k == 2:
+            event_log.uncommit(spark, path, "2")
+            event_log.append(events, path, "2")
+    event_log.append(c.where("b = 3"), path, "retry of 3")
+    log = event_log.read(spark, path, ["doc_id", "prompt", "event"])
+    return log.groupBy("batch").agg(F.count("*").alias("events"), F.countDistinct("request").alias("prompts"))
