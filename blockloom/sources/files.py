@@ -126,12 +126,14 @@ def without_glob(df: DataFrame, glob: str, path: str = "path") -> DataFrame:
     return df.where(~F.col(path).rlike(pattern))
 
 
-def scan(spark: SparkSession, paths: str | list[str], recursive: bool = True, glob: str | None = None, ignore: str | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """One row per file: path, size, modified_at, content, type, mime, doc_id, error (null, or why a file is not read)."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    rows = reader.load(paths)
+BINARY = "path string, modificationTime timestamp, length long, content binary"
+
+
+def described(rows: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Rows of the source binaryFile (BINARY) as scan gives them.
+
+    The filter on length is pushed and the content pruned, so a file that is too large is not read, as it couldn't be beyond 2 GB.
+    """
 
     def named(part: DataFrame, content: Column, error: Column) -> DataFrame:
         kind = detect_type(F.col("path"), content)
@@ -140,8 +142,15 @@ def scan(spark: SparkSession, paths: str | list[str], recursive: bool = True, gl
 
     none = F.lit(None)
     small = named(rows.where(F.col("length") <= most_bytes), F.col("content"), none.cast("string"))
-    # the filter is pushed and the content pruned, so a large file is not read, as it couldn't be beyond 2 GB
-    out = small.unionByName(named(rows.where(F.col("length") > most_bytes), none.cast("binary"), F.lit("file too large")))
+    return small.unionByName(named(rows.where(F.col("length") > most_bytes), none.cast("binary"), F.lit("file too large")))
+
+
+def scan(spark: SparkSession, paths: str | list[str], recursive: bool = True, glob: str | None = None, ignore: str | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """One row per file: path, size, modified_at, content, type, mime, doc_id, error (null, or why a file is not read)."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    out = described(reader.load(paths), most_bytes)
     return without_glob(out, ignore) if ignore else out
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.breaker import CLOSED, walk
-from ..plans.convert import convert_texts
+from ..plans.convert import convert_files, convert_texts
+from ..sources import event_log
+from ..sources.files import BINARY, MOST_BYTES, described
 
 
 def text_stream(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
@@ -30,6 +32,31 @@ def stream_convert(spark: SparkSession, folder: str, sink: Callable[[DataFrame,
     return text_stream(spark, folder).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_files(spark: SparkSession, folder: str, path: str, checkpoint: str, glob: str | None = None, most_bytes: int = MOST_BYTES, **options):
+    """Start a query that converts new files of all types: blocks and documents go to two logs below path (see event_log.read).
+
+    Each micro-batch is added to a log under its number, whole and once: a batch that is run again after a restart, with its
+    checkpoint or without one that was lost, adds nothing twice, and one that was killed between the logs is completed. A
+    file that is too large is a document with an error and is not read. options: those of plans.convert.convert_files.
+    """
+    reader = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+
+    def each(batch: DataFrame, n: int) -> None:
+        blocks, documents = convert_files(batch, **options)
+        for rows, name in ((blocks, "blocks"), (documents, "documents")):
+            event_log.append(rows, f"{path}/{name}", f"{n:020d}")
+
+    # described before the batches are cut, as filters reach the scan only there
+    return described(reader.load(folder), most_bytes).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def streamed(spark: SparkSession, path: str, name: str = "blocks") -> DataFrame:
+    """What stream_files has written so far: blocks by (doc_id, pos), or documents by doc_id, each from the first batch that has it."""
+    return event_log.read(spark, f"{path}/{name}", ("doc_id",))
+
+
 def windowed_metrics(events: DataFrame, length: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Calls, failures and latency per driver and window of a stream (ts, driver, ok, latency_ms)."""
     out = events.withWatermark("ts", late).groupBy(F.window("ts", length), "driver")
