@@ -113,11 +113,18 @@ def passes(rows: DataFrame, key: Column, table: DataFrame, buckets: int, name: s
 def marked(rows: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
     """Add `name`: false for rows whose key is not in keys (key). True may be wrong for a few others.
 
-    With a filter of keys, sized by their number, where that is small enough to broadcast. Beyond, every row may be in.
+    With a filter of keys, sized by their number, where that is small enough to broadcast. Beyond, rows are laid down in
+    buckets by number; their keys' hashes and numbers alone are shuffled to the keys; and the numbers that are hit come back
+    to the buckets. Whole rows are never shuffled, whatever the number of keys.
     """
     buckets = filter_buckets(keys.count())
     if buckets > MOST_BUCKETS:
-        return rows.withColumn(name, F.lit(True))
+        stored = bucketed(rows.withColumn("row_at", F.monotonically_increasing_id()), "row_at")
+        known = keys.select(F.xxhash64("key").alias("of_key")).distinct()
+        asked = stored.select("row_at", F.xxhash64(key).alias("of_key"))
+        hits = bucketed(asked.join(known.hint("merge"), "of_key").select("row_at", F.lit(True).alias("of_hit")), "row_at")
+        met = stored.join(hits.hint("shuffle_hash"), "row_at", "left")
+        return met.withColumn(name, F.col("of_hit").isNotNull()).drop("row_at", "of_hit")
     bucket, bit = slot(F.col("key"), buckets)
     table = keys.select(bucket.alias("bucket"), bit.alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg(F.col("bit")).alias("bits"))
     return passes(rows, key, table, buckets, name)

@@ -10,7 +10,8 @@ verify   texts whose digests occur more than once are compared byte by byte: the
          the map side. Digests shared by different texts are resolved by text.
 
 The bitmap is sized by the number of rows and broadcast up to 64 MB (some 50 million rows). Beyond, the runs are compacted
-whole: the result is the same, and more is shuffled.
+whole, digests and numbers only, and texts to verify are found by their rows' numbers (see common.marked): the result is the
+same, and no text is shuffled that isn't a hit.
 
 Null texts count as empty. Of equal texts one row stays: the largest (or smallest) doc_id, ties by row number, so that
 repeated rows keep exactly one. Null ids sort below all others; a group of null ids only keeps one with keep_id null. Texts

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from blockloom.llm import batches, centroids, ngram_join, pii, prefix_trie, scans, url_filter
+from blockloom.llm import batches, centroids, common, exact_dedup, ngram_join, pii, prefix_trie, scans, simhash, url_filter
 
 # centroid clustering
 
@@ -279,3 +279,25 @@ def test_url_of_many_labels(spark):
     rows = [(1, f"http://{host}example.com/en/7x"), (2, f"http://{host}com/en/"), (3, f"http://{host}xcom/en/"), (4, "http://com./en/"), (5, f"http://{'.' * 100_000}org/es/")]
     got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert got == {1: ("example.com/en/7", "allow"), 2: ("com/en/", "block"), 3: (None, "allow"), 4: (None, "allow"), 5: ("org/es/", "block")}
+
+
+def test_marked_beyond_the_filter(spark, monkeypatch):
+    """Beyond the filter's bound rows are marked by a join of numbers: exact, and no exchange carries the rows."""
+    df = spark.range(2000).select("id", F.concat(F.lit("text "), F.col("id") % 700).alias("text"), F.create_map(F.lit("a"), "id").alias("m"))
+    keys = spark.createDataFrame([(f"text {k}",) for k in range(0, 700, 7)] * 2, "key string")
+    monkeypatch.setattr(common, "MOST_BUCKETS", 0)
+    got = common.marked(df, F.col("text"), keys, "hit")
+    assert got.columns == ["id", "text", "m", "hit"]
+    assert sorted(r.id for r in got.where("hit").collect()) == [k for k in range(2000) if k % 700 % 7 == 0] and got.count() == 2000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "ShuffledHashJoin" in plan
+
+
+@pytest.mark.parametrize("stage", [exact_dedup.distinct_documents, simhash.one_of_near])
+def test_stages_beyond_the_filter(spark, monkeypatch, stage):
+    rows = corpus(5)
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, row string")
+    want = sorted(map(tuple, stage(df).collect()), key=repr)
+    monkeypatch.setattr(common, "MOST_BUCKETS", 0)
+    monkeypatch.setattr(exact_dedup, "MOST_BUCKETS", 0)
+    assert sorted(map(tuple, stage(df).collect()), key=repr) == want
