@@ -128,8 +128,8 @@ def csv_split(spark, sf_dir):
 
 
 _GRAMS = r"""g AS (
-  SELECT doc_id, lang, crc32 % 5 = 0 AS held_out, unnest(CASE WHEN t = '' THEN [] ELSE list_transform(range(1, length(t) + 1), lambda i: substr(' ' || t || ' ', i, 3)) END) AS gram
-  FROM (SELECT doc_id, lang, (doc_id * 7919) % 1009 AS crc32, trim(regexp_replace(lower(substr(coalesce(text, ''), 1, 2000)), '[^\pL]+', ' ', 'g')) AS t FROM documents))"""
+  SELECT doc_id, lang, mixed % 5 = 0 AS held_out, unnest(CASE WHEN len(c) = 2 THEN [] ELSE list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]) END) AS gram
+  FROM (SELECT doc_id, lang, (doc_id * 7919) % 1009 AS mixed, string_split(' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\pL]+', ' ', 'g')) || ' ', '') AS c FROM documents))"""
 
 
 @query(f"""

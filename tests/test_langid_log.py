@@ -14,7 +14,7 @@ DIR = "/root/testdata/sf0.01"
 
 
 def cut(text, n=3):
-    t = re.sub(r"[\W\d_]+", " ", (text or "")[:2000].lower()).strip()
+    t = re.sub(r"[\W\d_]+", " ", (text or "").lower()).strip()
     s = f" {t} "
     return [s[k : k + n] for k in range(len(s) - n + 1)] if t else []
 
