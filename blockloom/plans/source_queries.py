@@ -59,9 +59,13 @@ def source_listing(spark, sf_dir):
 
 
 @query(f"""
-SELECT CAST(part AS INTEGER) AS part, CASE type WHEN 'csv' THEN 'block' ELSE 'text' END AS mode, CASE type WHEN 'csv' THEN 'table' END AS type, count(*) > 1 AND type = 'json' AS failed,
-       CASE type WHEN 'csv' THEN string_agg(replace(rtrim(line, chr(10)), ',', ', '), chr(10) ORDER BY page_id) ELSE string_agg(line, '' ORDER BY page_id) END AS text
-FROM {_PAGE_LINES} AS l GROUP BY part, l.type""".replace("CASE type WHEN", "CASE l.type WHEN").replace("AND type = 'json'", "AND l.type = 'json'"))
+WITH f AS (SELECT part, type, count(*) AS n, string_agg(line, '' ORDER BY page_id) AS content, min(page_id) AS page FROM {_PAGE_LINES} GROUP BY part, type),
+p AS (
+  SELECT part, 'block' AS mode, 'table' AS type, false AS failed, replace(rtrim(content, chr(10)), ',', ', ') AS text FROM f WHERE type = 'csv'
+  UNION ALL SELECT part, 'text', NULL, type = 'json', content FROM f WHERE type = 'text' OR (type = 'json' AND n > 1)
+  UNION ALL SELECT f.part, 'block', x.type, false, x.text FROM f JOIN pages ON page_id = page, unnest([{{'type': 'metadata', 'text': '<root>: object (2 keys)'}},
+    {{'type': 'kv', 'text': 'page_id: ' || page}}, {{'type': 'kv', 'text': 'chars: ' || length(html)}}]) AS u(x) WHERE f.type = 'json' AND n = 1)
+SELECT CAST(part AS INTEGER) AS part, mode, type, failed, text FROM p""")
 def source_pieces(spark, sf_dir):
     rows = datasource.planned_pieces(spark, _pages(spark, sf_dir))
     return rows.select(_part("source"), "mode", "type", F.col("parse_error").isNotNull().alias("failed"), "text")
