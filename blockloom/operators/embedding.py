@@ -69,12 +69,12 @@ MOST_BYTES = 64 << 20
 TOP = "query_id bigint, part bigint, top array<struct<loss:double,other:bigint>>"
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), dim) if len(flat) else np.zeros((0, dim))
 
 
-class _Best:
+class Best:
     """The k best (score, id) of each query so far; a larger id wins a tie. Scores count to 12 places."""
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
@@ -121,12 +121,12 @@ def _search(q: DataFrame, rows: DataFrame, k: int, dim: int, n: int, most_bytes:
     fits = F.size("v") == dim
     if n * dim * 8 <= most_bytes:
         table = q.where(fits).toArrow()
-        sent = q.sparkSession.sparkContext.broadcast((table["query_id"].to_numpy(), _matrix(table["v"], dim)))
+        sent = q.sparkSession.sparkContext.broadcast((table["query_id"].to_numpy(), matrix(table["v"], dim)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = _Best(*sent.value, k)
+            best = Best(*sent.value, k)
             for b in batches:
-                best.add(b.column(0).to_numpy(), _matrix(b.column(1), dim))
+                best.add(b.column(0).to_numpy(), matrix(b.column(1), dim))
             yield best.rows(TaskContext.get().partitionId() % LISTS)
 
         lists, parts = rows.where(fits).mapInArrow(run, TOP), LISTS
@@ -136,17 +136,26 @@ def _search(q: DataFrame, rows: DataFrame, k: int, dim: int, n: int, most_bytes:
         asked = q.where(fits).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
         def cell(key: tuple, some: pa.Table, ask: pa.Table) -> pa.Table:
-            best = _Best(ask["query_id"].to_numpy(), _matrix(ask["v"], dim), k)
-            best.add(some["id"].to_numpy(), _matrix(some["v"], dim))
+            best = Best(ask["query_id"].to_numpy(), matrix(ask["v"], dim), k)
+            best.add(some["id"].to_numpy(), matrix(some["v"], dim))
             return pa.Table.from_batches([best.rows(key[0].as_py())])
 
         lists = own.select(F.col("shard").cast("bigint").alias("shard"), F.col("block").cast("bigint").alias("block"), "id", "v").groupBy("shard", "block").cogroup(asked.select(F.col("shard").cast("bigint").alias("to_shard"), F.col("block").cast("bigint").alias("to_block"), "query_id", "v").groupBy("to_shard", "to_block")).applyInArrow(cell, TOP)
         parts = shards
+    return ranked(merged(lists, parts, k))
+
+
+def merged(lists: DataFrame, parts: int, k: int) -> DataFrame:
+    """One list per query out of lists (query_id, part, top) with parts below a number, merged in a tree."""
     while True:
         parts = -(-parts // FAN_IN)
         lists = lists.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("query_id", "part").agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
         if parts <= 1:
-            break
+            return lists
+
+
+def ranked(lists: DataFrame) -> DataFrame:
+    """(query_id, rank, id, score) of one list per query."""
     out = lists.select("query_id", F.posexplode("top").alias("rank", "hit"))
     return out.select("query_id", (F.col("rank") + 1).alias("rank"), (-F.col("hit.other")).alias("id"), (-F.col("hit.loss")).alias("score"))
 

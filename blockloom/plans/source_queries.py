@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import langid
+from ..operators import langid, vector_index
 from ..sources import datasource, event_log, lines
 from ..workspace import own_path
 from .queries import query
@@ -172,3 +172,19 @@ def event_log_replay(spark, sf_dir):
     event_log.append(c.where("b = 3"), path, "retry of 3")
     log = event_log.read(spark, path, ["doc_id", "prompt", "event"])
     return log.groupBy("batch").agg(F.count("*").alias("events"), F.countDistinct("request").alias("prompts"))
+
+
+_NEAR = """
+WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank, id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) AS INTEGER) AS rank FROM s) WHERE rank <= 5"""
+
+
+@query(_NEAR)
+def vector_index_topk(spark, sf_dir):
+    """A stored index in two batches, one of them sent twice, loaded again and asked."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    index = vector_index.create(e.where("id % 3 <> 0"), own_path(spark), pivots=16)
+    for _ in range(2):
+        vector_index.append(index, e.where("id % 3 = 0"), "rest")
+    q = e.where(F.col("id") % 100 == 0).withColumnRenamed("id", "query_id")
+    return vector_index.search(vector_index.load(spark, index.path), q).withColumn("score", F.round("score", 6))
