@@ -488,6 +488,31 @@ def learnt_pattern(spark, sf_dir):
     return report.select(F.lit(rule.when).alias("pattern"), F.lit(rule.kind).alias("kind"), "matched", "missed")
 
 
+_TAGS = """(SELECT 'K-' || CASE WHEN s_nationkey % 2 = 0 THEN CAST(s_nationkey AS VARCHAR) ELSE chr(CAST(97 + s_nationkey AS INTEGER)) || CASE WHEN s_suppkey % 3 = 0 THEN 'z' ELSE '' END END AS text,
+ CASE WHEN s_nationkey % 2 = 0 THEN 'd' ELSE 'l' END AS kind FROM supplier)"""
+
+
+def _tags(spark, sf_dir):
+    key = F.col("s_nationkey").cast("int")
+    letters = F.concat(F.char(key + 97), F.when(F.col("s_suppkey") % 3 == 0, F.lit("z")).otherwise(F.lit("")))
+    text = F.concat(F.lit("K-"), F.when(key % 2 == 0, key.cast("string")).otherwise(letters))
+    return _t(spark, sf_dir, "supplier").select(text.alias("text"), F.lit("kv").alias("type"))
+
+
+@query(rf"""SELECT '^[A-Z]{{1,1}}(?:\-)(?:' || string_agg(DISTINCT substr(text, 3), '|' ORDER BY substr(text, 3)) || ')$' AS pattern, count(*) AS matched, CAST(0 AS BIGINT) AS missed FROM {_TAGS}""")
+def learnt_alternatives(spark, sf_dir):
+    """Digits and letters at the same place: the pattern holds all that are seen there."""
+    rule, report = recipes.suggest(_tags(spark, sf_dir))
+    return report.select(F.lit(rule.when).alias("pattern"), "matched", "missed")
+
+
+@query(rf"""SELECT '^[A-Z]{{1,1}}(?:\-)(?:[a-z]{{1,' || max(length(text) - 2) FILTER (WHERE kind = 'l') || '}}|\d{{1,' || max(length(text) - 2) FILTER (WHERE kind = 'd') || '}})$' AS pattern, count(*) AS matched, CAST(0 AS BIGINT) AS missed FROM {_TAGS}""")
+def learnt_classes(spark, sf_dir):
+    """The same with no room for alternatives: a class for each kind."""
+    rule, report = recipes.suggest(_tags(spark, sf_dir), most_letters=0)
+    return report.select(F.lit(rule.when).alias("pattern"), "matched", "missed")
+
+
 @query(_listed(("paragraph", "'first part of ' || s_name || ' here'"), ("paragraph", "'second part' || chr(10) || 'in two lines of number ' || s_suppkey"), ("paragraph", "'third'")))
 def paragraph_split(spark, sf_dir):
     """Blank lines, with white space in them or not, end a paragraph; line ends of all kinds are one."""

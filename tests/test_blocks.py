@@ -187,6 +187,19 @@ def test_learn_recipe_from_all_examples(spark):
         recipes.suggest(pos.limit(0))
 
 
+def test_learnt_pattern_is_bounded(spark):
+    texts = [f"{a}{k}" for k in range(400) for a in ("x", "-", "", "Q")]
+    df = spark.createDataFrame([(t, "kv") for t in texts], "text string, type string").repartition(3)
+    assert recipes.suggest(df)[0].when == recipes.build_pattern(texts)
+    rule, report = recipes.suggest(df, most_letters=50)
+    assert rule.when == r"^(?:Q|\-|\d{1,3}|x)\d{1,3}$"  # digits stand first in texts without a letter
+    assert report.first().missed == 10  # 0 to 9 alone are one run, the pattern has two
+    none = recipes.suggest(df, most_letters=0)[0].when
+    assert none == r"^(?:[A-Z]{1,1}|[^A-Za-z0-9\s]{1,1}|[a-z]{1,1}|\d{1,3})\d{1,3}$"
+    odd = spark.createDataFrame([(None, "kv"), ("", "kv")], "text string, type string")
+    assert recipes.suggest(odd, most_letters=0)[0].when == "^$"
+
+
 def test_refine(spark):
     b = candidates(spark, [0.3, 0.9]).withColumn("text", F.lit("IT'S  A\nTITLE"))
     got = refine.refine(b).orderBy("pos").collect()
