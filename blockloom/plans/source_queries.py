@@ -6,12 +6,17 @@ lie in the shared folder and go when the application ends.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import struct
+import zlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import langid, vector_index
+from ..operators import image_prep, langid, vector_index
 from ..sources import datasource, event_log, lines
-from ..workspace import own_path
+from ..workspace import own_path, written
 from .queries import query
 
 
@@ -188,3 +193,66 @@ def vector_index_topk(spark, sf_dir):
         vector_index.append(index, e.where("id % 3 = 0"), "rest")
     q = e.where(F.col("id") % 100 == 0).withColumnRenamed("id", "query_id")
     return vector_index.search(vector_index.load(spark, index.path), q).withColumn("score", F.round("score", 6))
+
+
+_WIDE, _HIGH = 48, 36
+# a page of text lines that fall or rise by steps, its tones varying by row
+_PIXELS = f"""px AS (
+  SELECT p_partkey AS doc_id, x, y, CASE WHEN (y - s) % 6 < 2 AND y - s > 8 AND y - s < {_HIGH - 9} THEN 20 + p_partkey % 50 ELSE 150 + (x + p_partkey) % 60 END AS v
+  FROM (SELECT p_partkey, x, y, CASE WHEN p_partkey % 13 < 6 THEN -1 ELSE 1 END * (x * abs(p_partkey % 13 - 6) // {_WIDE}) AS s
+        FROM part, range({_WIDE}) AS a(x), range({_HIGH}) AS b(y))),
+m AS (SELECT doc_id, floor(sum(v) / count(*) + 0.5) AS m FROM px GROUP BY doc_id),
+c AS (SELECT doc_id, x, y, CAST(greatest(0, least(255, floor((m * 5 + (v - m) * 7) / 5))) AS INTEGER) AS v FROM px JOIN m USING (doc_id))"""
+
+
+def _pngs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One grey PNG for each row of part; every ninth file is cut off and every eleventh empty."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("doc_id"), (F.col("p_partkey") % 13 - 6).alias("steps"))
+
+    def line(y: Column) -> Column:
+        def value(x: Column) -> Column:
+            r = y - F.signum("steps").cast("int") * F.floor(x * F.abs("steps") / _WIDE)
+            dark = (F.pmod(r, F.lit(6)) < 2) & (r > 8) & (r < _HIGH - 9)
+            return F.when(dark, 20 + F.col("doc_id") % 50).otherwise(150 + (x + F.col("doc_id")) % 60)
+
+        return F.concat(F.lit("00"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(_WIDE - 1)), lambda x: F.lpad(F.hex(value(x)), 2, "0")), ""))
+
+    raw = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(_HIGH - 1)), line), ""))
+
+    def png(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def chunk(kind: bytes, body: bytes) -> bytes:
+            return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+        head = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", _WIDE, _HIGH, 8, 0, 0, 0, 0))
+        for p in parts:
+            whole = p.raw.map(lambda b: head + chunk(b"IDAT", zlib.compress(bytes(b))) + chunk(b"IEND", b""))
+            yield pd.DataFrame({"doc_id": p.doc_id, "content": [b[:n] for b, n in zip(whole, p.kept)]})
+
+    kept = F.when(F.col("doc_id") % 9 == 0, 60).when(F.col("doc_id") % 11 == 0, 0).otherwise(1 << 30)
+    return p.select("doc_id", raw.alias("raw"), kept.alias("kept")).mapInPandas(png, "doc_id bigint, content binary")
+
+
+@query(f"""
+WITH {_PIXELS}, h AS (SELECT doc_id, v, count(*) AS n FROM c GROUP BY doc_id, v),
+b AS (SELECT doc_id, v, CAST(sum(n) OVER w AS DOUBLE) AS nb, CAST(sum(n * v) OVER w AS DOUBLE) AS sb, CAST(sum(n) OVER (PARTITION BY doc_id) AS DOUBLE) AS nn, CAST(sum(n * v) OVER (PARTITION BY doc_id) AS DOUBLE) AS ss
+      FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY v)),
+t AS (SELECT doc_id, v AS threshold FROM b WHERE nb < nn QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pow(ss * nb - nn * sb, 2) / (nb * (nn - nb)) DESC, v) = 1)
+SELECT doc_id, threshold, count(*) FILTER (WHERE v <= threshold) AS dark, CAST(sum(v) AS BIGINT) AS total FROM c JOIN t USING (doc_id) WHERE doc_id % 9 <> 0 AND doc_id % 11 <> 0 GROUP BY doc_id, threshold""")
+def image_threshold(spark, sf_dir):
+    """Contrast and threshold of an image per part, and how many pixels come out dark."""
+    strong = written(image_prep.contrasted(written(image_prep.scan_lines(_pngs(spark, sf_dir)).where("error is null"))))
+    totals = strong.groupBy("doc_id").agg(F.sum(F.aggregate("px", F.lit(0).cast("bigint"), lambda s, v: s + v)).alias("total"))
+    dark = image_prep.binarised(strong).groupBy("doc_id").agg(F.sum(F.size(F.filter("px", lambda v: v == 0)).cast("bigint")).alias("dark"))
+    return image_prep.thresholds(strong).join(dark, "doc_id").join(totals, "doc_id").select("doc_id", "threshold", "dark", "total")
+
+
+@query(f"""
+WITH r AS (SELECT doc_id, y, count(*) FILTER (WHERE v < 110) AS n FROM (SELECT p_partkey AS doc_id, y, unnest(range({_WIDE})) AS x, CASE WHEN y % 6 < 2 AND y > 8 AND y < {_HIGH - 9} THEN 20 ELSE 150 END AS v FROM part, range({_HIGH}) AS b(y)) GROUP BY doc_id, y)
+SELECT doc_id, CASE WHEN doc_id % 9 = 0 OR doc_id % 11 = 0 THEN NULL ELSE sum(n) END AS dark, CASE WHEN doc_id % 9 = 0 OR doc_id % 11 = 0 THEN 0 ELSE count(*) FILTER (WHERE n > 0) END AS dark_rows,
+       CASE WHEN doc_id % 11 = 0 AND doc_id % 9 <> 0 THEN 'not a PNG' WHEN doc_id % 9 = 0 THEN 'the image ends early' END AS error
+FROM r GROUP BY doc_id""")
+def image_straight(spark, sf_dir):
+    """Straightened: the dark pixels lie in whole rows again, and none is lost. Broken files say why."""
+    lines = image_prep.straightened(written(image_prep.binarised(image_prep.contrasted(written(image_prep.scan_lines(_pngs(spark, sf_dir)))))))
+    n = F.size(F.filter("px", lambda v: v == 0)).cast("bigint")
+    return lines.groupBy("doc_id").agg(F.sum(n).alias("dark"), F.count_if(n > 0).alias("dark_rows"), F.max("error").alias("error"))

@@ -42,7 +42,7 @@ def exif(data: bytes) -> tuple[dict[str, str], int]:
     return found, turned
 
 
-def _png(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+def png_chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
     at = 8
     while at + 8 <= len(data):
         n, kind = struct.unpack_from(">I4s", data, at)
@@ -84,7 +84,7 @@ def describe(data: bytes) -> tuple[dict[str, str], list[Said]]:
     if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 33:
         w, h, _, color = struct.unpack_from(">IIBB", data, 16)
         meta = {"image_format": "PNG", "image_mode": {0: "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}.get(color, "?"), "image_size": f"{w}x{h}"}
-        for kind, body in _png(data):
+        for kind, body in png_chunks(data):
             if (found := _png_text(kind, body)) and found[1].strip():
                 said.append((found[0], found[1].strip(), "metadata"))
             elif kind == b"eXIf":
