@@ -147,12 +147,12 @@ def binarised(lines: DataFrame) -> DataFrame:
     return lines.join(thresholds(lines), "doc_id", "left").withColumn("px", F.transform("px", lambda v: F.when(v <= t, 0).otherwise(255))).drop("threshold")
 
 
-def _pieces(lines: DataFrame) -> DataFrame:
-    """Lines cut in |shear| steps, each of which comes one row higher or lower: (..., j, at, n, to), `to` the new row.
+def _pieces(lines: DataFrame, w: Column) -> DataFrame:
+    """Lines of w pixels cut in |shear| steps, each of which comes one row higher or lower: (..., j, at, n, to), `to` the new row.
 
     One step, with either sign, leaves a line as it is.
     """
-    steps, w = F.greatest(F.abs("shear"), F.lit(1)), F.size("px")
+    steps = F.greatest(F.abs("shear"), F.lit(1))
     cut = lines.withColumn("j", F.explode(F.sequence(F.lit(0), steps - 1)))
 
     def edge(j: Column) -> Column:
@@ -167,9 +167,11 @@ def skews(lines: DataFrame, most: int = MOST_SHEAR) -> DataFrame:
     For each shear the dark pixels are counted by the row they would come to, piece by piece; the sharpest profile (largest sum
     of squares) wins, the smallest shear among equals.
     """
-    some = lines.where("px is not null").withColumn("shear", F.explode(F.sequence(F.lit(-most), F.lit(most))))
-    dark = F.size(F.filter(F.slice("px", F.col("at") + 1, F.col("n")), lambda v: v == 0)).cast("bigint")
-    rows = _pieces(some).where("n > 0").groupBy("doc_id", "shear", "to").agg(F.sum(dark).alias("dark"))
+    marks = F.array_join(F.transform("px", lambda v: F.when(v == 0, "1").otherwise("0")), "")
+    some = lines.where("px is not null").select("doc_id", "y", marks.alias("marks"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("shear"))
+    piece = F.substr("marks", F.col("at") + 1, F.col("n"))
+    dark = F.length(F.replace(piece, F.lit("0"), F.lit(""))).cast("bigint")
+    rows = _pieces(some, F.length("marks")).where("n > 0").groupBy("doc_id", "shear", "to").agg(F.sum(dark).alias("dark"))
     scores = rows.groupBy("doc_id", "shear").agg(F.sum(F.col("dark") * F.col("dark")).alias("score"))
     return scores.groupBy("doc_id").agg(F.max_by("shear", F.struct("score", -F.abs("shear"), "shear")).alias("shear"))
 
@@ -178,7 +180,7 @@ def straightened(lines: DataFrame, most: int = MOST_SHEAR) -> DataFrame:
     """Lines in 0 and 255 with their image's shear undone. No pixel is lost: an image gets as many more rows, white elsewhere."""
     bent = lines.join(skews(lines, most), "doc_id", "left").withColumn("shear", F.coalesce("shear", F.lit(0)))
     odd = bent.where("px is null").select("doc_id", "y", "px", "error")
-    cut = _pieces(bent.where("px is not null")).withColumn("piece", F.slice("px", F.col("at") + 1, F.col("n")))
+    cut = _pieces(bent.where("px is not null"), F.size("px")).withColumn("piece", F.slice("px", F.col("at") + 1, F.col("n")))
     lift = F.greatest(F.col("shear"), F.lit(1)) - 1  # the highest row a piece may come to is -lift
     rows = cut.groupBy("doc_id", (F.col("to") + lift).alias("y"), "shear", F.size("px").alias("w")).agg(F.map_from_entries(F.collect_list(F.struct("j", "piece"))).alias("pieces"))
     steps = F.greatest(F.abs("shear"), F.lit(1))

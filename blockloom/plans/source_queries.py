@@ -248,11 +248,11 @@ def image_threshold(spark, sf_dir):
 
 @query(f"""
 WITH r AS (SELECT doc_id, y, count(*) FILTER (WHERE v < 110) AS n FROM (SELECT p_partkey AS doc_id, y, unnest(range({_WIDE})) AS x, CASE WHEN y % 6 < 2 AND y > 8 AND y < {_HIGH - 9} THEN 20 ELSE 150 END AS v FROM part, range({_HIGH}) AS b(y)) GROUP BY doc_id, y)
-SELECT doc_id, CASE WHEN doc_id % 9 = 0 OR doc_id % 11 = 0 THEN NULL ELSE sum(n) END AS dark, CASE WHEN doc_id % 9 = 0 OR doc_id % 11 = 0 THEN 0 ELSE count(*) FILTER (WHERE n > 0) END AS dark_rows,
+SELECT doc_id, CASE WHEN doc_id % 9 = 0 OR doc_id % 11 = 0 THEN 0 ELSE CAST(sum(n) AS BIGINT) END AS dark, CASE WHEN doc_id % 9 = 0 OR doc_id % 11 = 0 THEN 0 ELSE count(*) FILTER (WHERE n > 0) END AS dark_rows,
        CASE WHEN doc_id % 11 = 0 AND doc_id % 9 <> 0 THEN 'not a PNG' WHEN doc_id % 9 = 0 THEN 'the image ends early' END AS error
 FROM r GROUP BY doc_id""")
 def image_straight(spark, sf_dir):
     """Straightened: the dark pixels lie in whole rows again, and none is lost. Broken files say why."""
     lines = image_prep.straightened(written(image_prep.binarised(image_prep.contrasted(written(image_prep.scan_lines(_pngs(spark, sf_dir)))))))
-    n = F.size(F.filter("px", lambda v: v == 0)).cast("bigint")
-    return lines.groupBy("doc_id").agg(F.sum(n).alias("dark"), F.count_if(n > 0).alias("dark_rows"), F.max("error").alias("error"))
+    n = F.when(F.col("px").isNotNull(), F.size(F.filter("px", lambda v: v == 0)).cast("bigint"))
+    return lines.groupBy("doc_id").agg(F.coalesce(F.sum(n), F.lit(0)).alias("dark"), F.count_if(n > 0).alias("dark_rows"), F.max("error").alias("error"))
