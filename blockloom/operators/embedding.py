@@ -18,9 +18,9 @@ META, KEYS = 32, ("label", "key", "value", "title")
 
 
 def unit(v: Column) -> Column:
-    """A vector divided by its length; zero vectors stay."""
+    """A vector divided by its length; zero vectors stay. The length is bound as a variable, or each element would sum it anew."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+    return F.transform(F.array(norm), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x)))[0]
 
 
 def _draws(seed: int, key: str, n: int, half: float) -> list[float]:

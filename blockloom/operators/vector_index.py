@@ -64,7 +64,7 @@ def _there(spark: SparkSession, path: str) -> bool:
 def _clean(rows: DataFrame, key: str, vec: str) -> DataFrame:
     v = F.col(vec).cast("array<double>")
     odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return rows.where(F.col(key).isNotNull() & F.col(vec).isNotNull() & ~odd).select(F.col(key).cast("bigint").alias(key), unit(v).alias("v"))
+    return rows.where(F.col(key).isNotNull() & F.col(vec).isNotNull() & ~odd).select(F.col(key).cast("bigint").alias(key), v.alias("v"))
 
 
 def _fit(sample: np.ndarray, n: int) -> np.ndarray:
@@ -95,7 +95,7 @@ def create(rows: DataFrame, path: str, pivots: int = 64, vec: str = "embedding",
     """
     spark = rows.sparkSession
     clean = _clean(rows, "id", vec)
-    sample = clean.where(F.size("v") > 0).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
+    sample = clean.where(F.size("v") > 0).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).withColumn("v", unit(F.col("v"))).toArrow()
     if not len(sample):
         raise ValueError("an index needs a row to start with")
     dim = len(sample["v"][0])
@@ -137,7 +137,7 @@ def append(index: VectorIndex, rows: DataFrame, batch: str, vec: str = "embeddin
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shard), pa.array(dist)], names=["id", "v", "shard", "dist"])
 
     at = f"{index.path}/rows/batch={batch}"
-    placed = clean.mapInArrow(place, ROWS).withColumns({"salt": F.monotonically_increasing_id(), "pivot": F.floor(F.col("shard") / RINGS).cast("int")})
+    placed = clean.withColumn("v", unit(F.col("v"))).mapInArrow(place, ROWS).withColumns({"salt": F.monotonically_increasing_id(), "pivot": F.floor(F.col("shard") / RINGS).cast("int")})
     placed.sortWithinPartitions("pivot", "shard").write.mode("overwrite").partitionBy("pivot").parquet(at)
     stored = index.spark.read.schema(ROWS).parquet(at)
     bounds = stored.groupBy("shard").agg(F.count("*").alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi"))
@@ -226,7 +226,7 @@ def _steps(index: VectorIndex, queries: DataFrame, k: int, vec: str) -> tuple[_S
     """Shards, first plan, lists of the first plan by query, second plan."""
     found = index.bounds().groupBy("shard").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("shard").toArrow()
     shards = _Shards(index.pivots, *[found[c].to_numpy() for c in ("shard", "n", "lo", "hi")])
-    q = written(_clean(queries, "query_id", vec).where(F.size("v") == index.dim))
+    q = written(_clean(queries, "query_id", vec).where(F.size("v") == index.dim).withColumn("v", unit(F.col("v"))))
     first = _planned(index, q, shards, k)
     lists = written(merged(_asked(index, first, shards, k), LISTS, k))
     floor = F.when(F.size("top") >= k, -F.element_at("top", -1)["loss"]).otherwise(float("-inf"))
