@@ -161,19 +161,60 @@ def _pieces(lines: DataFrame, w: Column) -> DataFrame:
     return cut.withColumns({"at": edge(F.col("j")), "n": edge(F.col("j") + 1) - edge(F.col("j")), "to": F.col("y") - F.signum("shear").cast("int") * F.col("j")})
 
 
+def _cuts(w: int, most: int) -> tuple[np.ndarray, ...]:
+    """For all pieces of all shears: number of the shear, first pixel, pixel behind the last, and rows to go up."""
+    every = []
+    for k, shear in enumerate(range(-most, most + 1)):
+        steps = max(abs(shear), 1)
+        every += [(k, -(-j * w // steps), -(-(j + 1) * w // steps), int(np.sign(shear)) * j) for j in range(steps)]
+    return tuple(np.array(every).T)
+
+
 def skews(lines: DataFrame, most: int = MOST_SHEAR) -> DataFrame:
     """(doc_id, shear) of lines in 0 and 255: in how many steps of a row text lines fall from left to right (rise: below 0).
 
     For each shear the dark pixels are counted by the row they would come to, piece by piece; the sharpest profile (largest sum
-    of squares) wins, the smallest shear among equals.
+    of squares) wins, the smallest shear among equals. Lines of an image that meet in a batch give one row of partial
+    profiles, which are added up per image; lines may come in any order.
     """
-    marks = F.array_join(F.transform("px", lambda v: F.when(v == 0, "1").otherwise("0")), "")
-    some = lines.where("px is not null").select("doc_id", "y", marks.alias("marks"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("shear"))
-    piece = F.substr("marks", F.col("at") + 1, F.col("n"))
-    dark = F.length(F.replace(piece, F.lit("0"), F.lit(""))).cast("bigint")
-    rows = _pieces(some, F.length("marks")).where("n > 0").groupBy("doc_id", "shear", "to").agg(F.sum(dark).alias("dark"))
-    scores = rows.groupBy("doc_id", "shear").agg(F.sum(F.col("dark") * F.col("dark")).alias("score"))
-    return scores.groupBy("doc_id").agg(F.max_by("shear", F.struct("score", -F.abs("shear"), "shear")).alias("shear"))
+    shears = 2 * most + 1
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {}
+        for b in batches:
+            key, y, ends = b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.int64), b.column(2).offsets.to_numpy()
+            dark = np.concatenate(([0], np.cumsum(b.column(2).values.to_numpy() == 0)))  # up to each pixel of the batch
+            run = [0] + [i for i in range(1, len(key)) if key[i] != key[i - 1] or ends[i + 1] - ends[i] != ends[i] - ends[i - 1] or abs(y[i] - y[i - 1]) > 2 * most] + [len(key)]
+            rows = []
+            for i, j in zip(run, run[1:]):
+                if i == j:
+                    continue
+                w = int(ends[i + 1] - ends[i])
+                if w not in known:
+                    known[w] = _cuts(w, most)
+                which, first, behind, up = known[w]
+                n = dark[ends[i:j, None] + behind] - dark[ends[i:j, None] + first]
+                to = y[i:j, None] - up
+                low, span = int(to.min()), int(to.max() - to.min()) + 1
+                rows.append((key[i], low, np.bincount((which * span + to - low).ravel(), n.ravel(), shears * span).astype(np.int64)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["doc_id", "low", "counts"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for parts in b.column(1):
+                some = [(p["low"].as_py(), p["counts"].values.to_numpy().reshape(shears, -1)) for p in parts]
+                low = min(k for k, _ in some)
+                rows = np.zeros((shears, max(k + c.shape[1] for k, c in some) - low), np.int64)
+                for k, c in some:
+                    rows[:, k - low : k - low + c.shape[1]] += c
+                score = (rows * rows).sum(axis=1).tolist()
+                found.append(max(range(-most, most + 1), key=lambda s: (score[s + most], -abs(s), s)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int32())], names=["doc_id", "shear"])
+
+    some = lines.where("px is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "y", "px").mapInArrow(partial, "doc_id bigint, low bigint, counts array<bigint>")
+    return some.groupBy("doc_id").agg(F.collect_list(F.struct("low", "counts")).alias("parts")).mapInArrow(best, "doc_id bigint, shear int")
 
 
 def straightened(lines: DataFrame, most: int = MOST_SHEAR) -> DataFrame:

@@ -105,3 +105,21 @@ def test_odd_files(spark):
     assert all(got[k].image is None and got[k].error for k in (1, 2, 3, 4, 5, 6))
     assert bytes(got[7].image) == b"P5\n2 1\n255\n\x00\xff" and bytes(got[None].image) == b"P5\n1 1\n255\n\xff"
     assert prep.prepared(spark.createDataFrame([], FILES)).count() == 0
+
+
+def test_skew_search_makes_no_row_per_piece(spark):
+    """One row of profiles per image and batch; lines in any order, far apart or dealt out give the same."""
+    x, y = np.meshgrid(np.arange(40), np.arange(30))
+    px = np.where(((y - x * 5 // 40) % 6 < 2) & (y > 12) & (y < 23), 0, 255)
+    rows = [(k, int(i * gap), px[i].tolist()) for k, gap in ((1, 1), (2, 1), (None, 1)) for i in np.random.default_rng(k).permutation(30)]
+    rows += [(4, 10**6 * i, px[i].tolist()) for i in range(30)] + [(5, 0, []), (6, 3, None)]
+    lines = spark.createDataFrame(rows, "doc_id long, y int, px array<int>").repartition(3)
+    found = prep.skews(lines)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.shear for r in found.collect()} == {1: 5, 2: 5, None: 5, 4: 0, 5: 0}
+
+
+def test_images_are_made_on_all_cores(spark):
+    from blockloom.plans.source_queries import _pngs
+
+    assert _pngs(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
