@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.images import exif, png_chunks
@@ -21,9 +21,12 @@ from ..workspace import written
 GREY = np.array([19595, 38470, 7471])
 GAIN, PER = 7, 5
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
-#: Largest shear looked for, in rows over an image's whole width; lines of one batch.
-MOST_SHEAR, LINES = 8, 256
-LINE = "doc_id bigint, y int, turned int, px array<int>, error string"
+VALUES = 256
+#: Largest shear looked for, in rows over an image's whole width; lines that are decoded at a time, and about how many pixels
+#: go on or are counted at a time.
+MOST_SHEAR, LINES, PIXELS = 8, 256, 1 << 20
+NAMES = ["doc_id", "y", "turned", "last", "px", "error"]
+LINE = "doc_id bigint, y int, turned int, last int, px array<int>, error string"
 
 
 def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
@@ -47,8 +50,8 @@ def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np
     return np.array(out[step:], np.uint8)
 
 
-def _lines(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
-    """(orientation, grey values) per scan line of a PNG of 8 bits a sample that is not interlaced; ValueError for others."""
+def _head(data: bytes) -> tuple[int, np.ndarray | None, bytes | None, bytes]:
+    """Orientation, palette, header and packed samples of a PNG; ValueError for another file."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG")
     turned, palette, header, packed = 1, None, None, []
@@ -61,84 +64,203 @@ def _lines(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
             turned = exif(body)[1]
         elif kind == b"IDAT":
             packed.append(body)
+    return turned, palette, header, b"".join(packed)
+
+
+def _lines(palette: np.ndarray | None, header: bytes | None, rest: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(width, height, grey values of some lines) in order, for 8 bits a sample and no interlacing; ValueError for others."""
     if header is None or len(header) < 13 or header[8] != 8 or header[12] or header[9] not in CHANNELS or (header[9] == 3 and palette is None):
         raise ValueError("a kind of PNG that is not read")
     width, height, step = int.from_bytes(header[:4], "big"), int.from_bytes(header[4:8], "big"), CHANNELS[header[9]]
-    inflate, rest, above = zlib.decompressobj(), b"".join(packed), np.zeros(width * step, np.uint8)
-    need, held = width * step + 1, b""
-    for _ in range(height):
+    inflate, above = zlib.decompressobj(), np.zeros(width * step, np.uint8)
+    need, held, left = width * step + 1, b"", height
+    while left:
         while len(held) < need:
             more = inflate.decompress(rest, need * LINES)
             rest = inflate.unconsumed_tail
             if not more:
                 raise ValueError("the image ends early")
             held += more
-        above = _unfiltered(held[0], np.frombuffer(held[1:need], np.uint8), above, step)
-        held = held[need:]
-        px = above.reshape(width, step)
-        colour = palette[px[:, 0]] if header[9] == 3 else px[:, :3] if step >= 3 else None
-        yield turned, px[:, 0].astype(np.int32) if colour is None else ((colour.astype(np.int64) @ GREY + 0x8000) >> 16).astype(np.int32)
+        n = min(left, len(held) // need)
+        some = np.frombuffer(held, np.uint8, n * need).reshape(n, need)
+        held, left, raw = held[n * need :], left - n, some[:, 1:]
+        if some[:, 0].any():
+            raw = np.empty((n, need - 1), np.uint8)
+            for i in range(n):
+                above = raw[i] = _unfiltered(some[i, 0], some[i, 1:], above, step)
+        above = raw[-1]
+        px = raw.reshape(n, width, step)
+        if header[9] == 3:
+            wrong = np.flatnonzero((px[:, :, 0] >= len(palette)).any(axis=1))
+            if wrong.size:
+                yield width, height, _grey(palette[px[: wrong[0], :, 0]])
+            yield width, height, _grey(palette[px[:, :, 0]])
+        else:
+            yield width, height, _grey(px[:, :, :3]) if step >= 3 else px[:, :, 0].astype(np.int32)
+
+
+def _grey(colour: np.ndarray) -> np.ndarray:
+    return ((colour.astype(np.int64) @ GREY + 0x8000) >> 16).astype(np.int32)
+
+
+def _batch(some: list[tuple]) -> pa.RecordBatch:
+    """Lines from (doc_id, turned, last, places, grey values of lines of one width)."""
+    keys, turned, last, y, px = zip(*some)
+    n = [len(v) for v in y]
+    of = np.repeat(np.arange(len(n)), n)
+    ends = np.concatenate(([0], np.cumsum(np.repeat([v.shape[1] for v in px], n)))).astype(np.int32)
+    values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([v.ravel() for v in px])))
+    columns = [pa.array(keys, pa.int64()).take(pa.array(of)), np.concatenate(y), np.array(turned)[of], np.array(last)[of], values, pa.nulls(len(of), pa.string())]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int32()) for c in columns], names=NAMES)
 
 
 def scan_lines(files: DataFrame) -> DataFrame:
     """(doc_id, y, px, error) of files (doc_id, content), upright by their EXIF orientation.
 
     A file that is null, broken or of another kind gives one row with y and px null and the reason in error, behind the lines
-    that could be read; an image without lines gives none.
+    that could be read; an image without lines gives none. Files are read twice and decoded once: images that lie on a side
+    are a branch of their own, as only they are shuffled.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(rows: list) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "y", "turned", "px", "error"])
+    def run(aside: bool):
+        def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                some, pixels, odd = [], 0, []
+                for key, data in zip(b.column(0).to_pylist(), b.column(1)):
+                    turned = 1
+                    try:
+                        turned, *image = _head(data.as_py() or b"")
+                        if (5 <= turned <= 8) != aside:
+                            continue
+                        at = 0
+                        for width, height, px in _lines(*image):
+                            y, last = np.arange(at, at + len(px)), (width if aside else height) - 1
+                            at += len(px)
+                            if turned in (3, 4):
+                                y = last - y
+                            some.append((key, turned, last, y, px[:, ::-1] if turned in (2, 3) else px))
+                            pixels += px.size + len(px)
+                            if pixels >= PIXELS:
+                                yield _batch(some)
+                                some, pixels = [], 0
+                    except (ValueError, IndexError, zlib.error) as e:
+                        if (5 <= turned <= 8) == aside:
+                            odd.append((key, str(e)))
+                if some:
+                    yield _batch(some)
+                if odd:
+                    none = [pa.nulls(len(odd), k) for k in (pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()))]
+                    keys, said = zip(*odd)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *none, pa.array(said, pa.string())], names=NAMES)
+
+        return files.select(F.col("doc_id").cast("bigint").alias("doc_id"), "content").mapInArrow(decode, LINE)
+
+    cells = run(True).select("doc_id", "turned", "last", "y", "error", F.posexplode_outer("px").alias("x", "v"))
+    column = F.transform(F.array_sort(F.collect_list(F.when(F.col("x").isNotNull(), F.struct("y", "v")))), lambda c: c["v"])
+    stood = cells.groupBy("doc_id", "turned", "last", "x").agg(column.alias("px"), F.max("error").alias("error"))
+    px = F.when(F.col("turned").isin(6, 7), F.reverse("px")).otherwise(F.col("px"))
+    stood = stood.select("doc_id", F.when(F.col("turned").isin(7, 8), F.col("last") - F.col("x")).otherwise(F.col("x")).alias("y"), F.when(F.col("x").isNotNull(), px).alias("px"), "error")
+    return run(False).select("doc_id", "y", "px", "error").unionByName(stood)
+
+
+def histograms(lines: DataFrame) -> DataFrame:
+    """(doc_id, counts): how many of an image's pixels have each value of 0 to 255.
+
+    Lines of an image that meet in a batch give one row, not one per value; these are added up per image.
+    """
 
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for key, data in zip(b.column(0).to_pylist(), b.column(1)):
-                try:
-                    for y, (turned, px) in enumerate(_lines(data.as_py() or b"")):
-                        rows.append((key, y, turned, px, None))
-                        if len(rows) >= LINES:
-                            yield batch(rows)
-                            rows = []
-                except (ValueError, IndexError, zlib.error) as e:
-                    rows.append((key, None, None, None, str(e)))
-            if rows:
-                yield batch(rows)
+            ends, values = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy()
+            key, known = b.column(0).fill_null(0).to_numpy(), b.column(0).is_valid().to_numpy(zero_copy_only=False)
+            i = 0
+            while i < len(key):
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] + PIXELS, "right")) - 1)
+                starts = np.concatenate(([0], np.flatnonzero((key[i + 1 : j] != key[i : j - 1]) | (known[i + 1 : j] != known[i : j - 1])) + 1)) + i
+                n = np.diff(ends[np.append(starts, j)])
+                of = np.repeat(np.arange(len(n)) * VALUES, n)
+                counts = np.bincount(of + values[ends[i] : ends[j]], minlength=len(n) * VALUES)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(starts)), _rows_of(counts, pa.int32())], names=["doc_id", "counts"])
+                i = j
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                parts = b.column(1).flatten().flatten().to_numpy().reshape(-1, VALUES)
+                counts = np.add.reduceat(parts, b.column(1).offsets.to_numpy()[:-1] - b.column(1).offsets[0].as_py(), axis=0, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), _rows_of(counts, pa.int64())], names=["doc_id", "counts"])
+
+    some = lines.where("px is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "px").mapInArrow(partial, "doc_id bigint, counts array<int>")
+    return some.groupBy("doc_id").agg(F.collect_list("counts").alias("parts")).mapInArrow(whole, "doc_id bigint, counts array<bigint>")
 
-    read = files.select(F.col("doc_id").cast("bigint").alias("doc_id"), "content").mapInArrow(run, LINE)
-    turned = F.col("turned")
-    aside = turned.between(5, 8)
-    cells = read.where(aside).select("doc_id", "turned", "y", F.posexplode("px").alias("x", "v"))  # only images that lie on a side
-    stood = cells.groupBy("doc_id", "turned", F.col("x").alias("y")).agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "v"))), lambda c: c["v"]).alias("px"), F.lit(None).cast("string").alias("error"))
-    rows = read.where(~F.coalesce(aside, F.lit(False))).select("doc_id", "turned", "y", "px", "error").unionByName(stood)
-    heights = rows.where("turned in (3, 4, 7, 8)").groupBy("doc_id").agg(F.max("y").alias("last"))
-    rows = rows.join(heights, "doc_id", "left")
-    return rows.select("doc_id", F.coalesce(F.col("last") - F.col("y"), "y").alias("y"), F.when(turned.isin(2, 3, 6, 7), F.reverse("px")).otherwise(F.col("px")).alias("px"), "error")
+
+def _rows_of(counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, counts.size + 1, VALUES, dtype=np.int32)), pa.array(counts.ravel(), kind))
+
+
+def _each(found: DataFrame, f, schema: str) -> DataFrame:
+    """f(counts of some images as a matrix) -> columns behind doc_id, for some images at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, len(b), LINES):
+                part = b.slice(i, LINES)
+                columns = f(part.column(1).flatten().to_numpy().reshape(-1, VALUES))
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", *names])
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    return found.mapInArrow(run, f"doc_id bigint, {schema}")
+
+
+def _means(counts: np.ndarray) -> np.ndarray:
+    """Rounded means; -1 for an image without pixels."""
+    n = counts.sum(axis=1)
+    return np.where(n > 0, np.floor(counts @ np.arange(VALUES) / np.maximum(n, 1) + 0.5), -1).astype(np.int64)
+
+
+def contrasted_histograms(found: DataFrame) -> DataFrame:
+    """The histograms that contrasted's lines have, from those of the lines before."""
+
+    def moved(counts: np.ndarray) -> list[pa.Array]:
+        m = _means(counts)[:, None]
+        to = np.clip((m * PER + (np.arange(VALUES) - m) * GAIN) // PER, 0, VALUES - 1) + np.arange(len(counts))[:, None] * VALUES
+        out = np.zeros(counts.size, np.int64)
+        np.add.at(out, to.ravel(), counts.ravel())
+        return [_rows_of(out, pa.int64())]
+
+    return _each(found, moved, "counts array<bigint>")
+
+
+def otsu(found: DataFrame) -> DataFrame:
+    """(doc_id, threshold, dark, total) of histograms: Otsu's threshold, how many pixels it makes dark, and the sum of all values.
+
+    Values up to the threshold are dark. The least of equally good thresholds is taken; an image of one value has none (null)
+    and nothing dark.
+    """
+
+    def best(counts: np.ndarray) -> list[pa.Array]:
+        upto, sums = np.cumsum(counts, axis=1), np.cumsum(counts * np.arange(VALUES), axis=1)
+        nb, sb, nn, ss = upto.astype(float), sums.astype(float), upto[:, -1:].astype(float), sums[:, -1:].astype(float)
+        fits = (counts > 0) & (nb < nn)
+        apart = np.where(fits, (ss * nb - nn * sb) ** 2 / np.where(fits, nb * (nn - nb), 1), -1)
+        t, none = apart.argmax(axis=1), ~fits.any(axis=1)
+        dark = np.where(none, 0, np.take_along_axis(upto, t[:, None], 1)[:, 0])
+        return [pa.array(t, pa.int32(), mask=none), pa.array(dark, pa.int64()), pa.array(sums[:, -1], pa.int64())]
+
+    return _each(found, best, "threshold int, dark bigint, total bigint")
 
 
 def contrasted(lines: DataFrame) -> DataFrame:
     """Lines with each value's distance from its image's rounded mean times 1.4, cut to 0 to 255."""
-    total = F.aggregate("px", F.lit(0).cast("bigint"), lambda s, v: s + v)
-    mean = lines.where("px is not null").groupBy("doc_id").agg(F.floor(F.sum(total) / F.sum(F.size("px")) + 0.5).cast("int").alias("mean"))
+    mean = _each(histograms(lines), lambda counts: [pa.array((m := _means(counts)), pa.int32(), mask=m < 0)], "mean int")
     m = F.col("mean")
     moved = F.transform("px", lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((m * PER + (v - m) * GAIN) / PER).cast("int"))))
     return lines.join(mean, "doc_id", "left").withColumn("px", moved).drop("mean")
 
 
 def thresholds(lines: DataFrame) -> DataFrame:
-    """(doc_id, threshold) by Otsu's rule: values up to it are dark. An image of one value has none (null).
-
-    The histogram is an aggregate of at most 256 rows an image, and the threshold a running sum over them; the least of
-    equally good ones is taken.
-    """
-    bars = lines.select("doc_id", F.explode("px").alias("v")).groupBy("doc_id", "v").agg(F.count("*").alias("n"))
-    upto, whole = Window.partitionBy("doc_id").orderBy("v"), Window.partitionBy("doc_id")
-    n, s = F.col("n").cast("double"), (F.col("n") * F.col("v")).cast("double")
-    sums = bars.select("doc_id", "v", F.sum(n).over(upto).alias("nb"), F.sum(s).over(upto).alias("sb"), F.sum(n).over(whole).alias("nn"), F.sum(s).over(whole).alias("ss"))
-    apart = (F.col("ss") * F.col("nb") - F.col("nn") * F.col("sb")) ** 2 / (F.col("nb") * (F.col("nn") - F.col("nb")))
-    best = F.max_by(F.when(F.col("nb") < F.col("nn"), F.col("v")), F.when(F.col("nb") < F.col("nn"), F.struct(apart, -F.col("v"))))
-    return sums.groupBy("doc_id").agg(best.alias("threshold"))
+    """(doc_id, threshold) by Otsu's rule: values up to it are dark. An image of one value has none (null)."""
+    return otsu(histograms(lines)).select("doc_id", "threshold")
 
 
 def binarised(lines: DataFrame) -> DataFrame:

@@ -123,3 +123,30 @@ def test_images_are_made_on_all_cores(spark):
     from blockloom.plans.source_queries import _pngs
 
     assert _pngs(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_histograms_make_no_row_per_pixel(spark):
+    """Threshold, dark pixels and sum from histograms equal those of the lines, in whatever order and batches these come."""
+    rng = np.random.default_rng(3)
+    images = {k: rng.choice(rng.integers(0, 256, 2 + k * 5), (9, 7)) for k in range(12)} | {None: rng.integers(90, 120, (4, 3)), 20: np.full((2, 2), 5)}
+    rows = [(k, int(y), v[y].tolist()) for k, v in images.items() for y in range(len(v))]
+    rows = [rows[i] for i in rng.permutation(len(rows))] + [(21, None, None), (22, 0, [])]
+    lines = spark.createDataFrame(rows, "doc_id long, y int, px array<int>").repartition(3)
+    found = prep.otsu(prep.contrasted_histograms(prep.histograms(lines)))
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    strong = {k: np.clip(np.floor((5 * (m := int(v.mean() + 0.5)) + 7 * (v - m)) / 5), 0, 255).astype(int) for k, v in images.items()}
+    got = {r.doc_id: (r.threshold, r.dark, r.total) for r in found.collect()}
+    black = arrays(prep.binarised(prep.contrasted(lines.where("doc_id is not null and doc_id < 21"))))
+    assert got.keys() == {*images, 22} and got[20][:2] == (None, 0) and got[22] == (None, 0, 0)
+    assert all(got[k][2] == v.sum() for k, v in strong.items())
+    assert all(got[k][1] == (black[k] == 0).sum() == (strong[k] <= got[k][0]).sum() for k in range(12))
+
+
+def test_image_threshold_decodes_once(spark, monkeypatch):
+    """Files are written before their two branches read them, and no line is written or shuffled."""
+    from blockloom.plans import source_queries
+
+    made = []
+    monkeypatch.setattr(source_queries, "written", lambda df: made.append(df.columns) or df)
+    plan = source_queries.image_threshold(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert made == [["doc_id", "content"]] and "Join" not in plan and "Window" not in plan
