@@ -2,7 +2,7 @@
 
 Base: e-mail addresses, IPv4 addresses, card numbers (Luhn) and phone numbers, leftmost and non-overlapping per kind.
 Bootstrapping: base finds are seeds, whole. Other candidates are made of words that hold a digit or an @ and that no base
-find touches: neighbours without letters and with one space between them are one candidate, of PARTS words at most, and every
+find touches: neighbours without letters and with one space between them are one candidate, of any number of words, and every
 shorter sequence of them is one by its shape. Seeds and candidates induce the same lexical patterns: the word before, the two words before,
 the word after (lower-cased, without punctuation around them), and the shape (digits as 9, runs of letters as a).
 The graph of patterns and candidate values is scored in rounds until the sure patterns stay as they are: a pattern is
@@ -42,8 +42,9 @@ HEAD, TAIL = r"^[^\p{L}\p{N}+(]++", r"(?<![^\p{L}\p{N})])[^\p{L}\p{N})]++$"
 
 LETTER = r"[\p{L}@]"
 
-#: Words of a sequence whose parts are candidates, too. A longer sequence is a candidate as a whole, whatever its length, and
-#: of its parts only single words are: a part of several words would be a piece of an identifier.
+#: Words of a sequence all of whose parts are made. Of a longer one, parts of several words are made where a seed or a whole
+#: candidate has their shape. That leaves out nothing: a shape is a function of the value and a part's only pattern, so
+#: values of a shape that no seed and no whole candidate has are tied to each other only, and are never believed.
 PARTS = 4
 
 #: Smoothing of a pattern's share, and the share from which a pattern is sure.
@@ -173,12 +174,47 @@ def candidates(rows: DataFrame) -> DataFrame:
     out = free.select("row_no", "start", "before", "two", F.explode(sequences).alias("c")).select("row_no", "start", "before", "two", "c.*")
     # longer sequences: the words of one sequence of one text
     said = F.array_sort(F.collect_list(F.struct("start", "hit", "end", "before", "two", "after")))
-    long = free.where(F.col("words") > PARTS).groupBy("row_no", "run").agg(said.alias("s")).select("row_no", F.col("s")[0].alias("a"), F.element_at("s", -1).alias("z"), F.array_join(F.transform("s", lambda w: w["hit"]), " ").alias("hit"))
-    out = out.unionByName(long.select("row_no", "a.start", "a.before", "a.two", "hit", "z.end", "z.after", F.lit(True).alias("whole")))
-    head, tail = F.length(F.regexp_extract("hit", HEAD, 0)), F.length(F.regexp_extract("hit", TAIL, 0))
-    out = out.withColumns({"start": F.col("start") + head, "end": F.col("end") - tail, "hit": F.regexp_replace(F.regexp_replace("hit", HEAD, ""), TAIL, "")}).where("hit <> ''")
+    runs = keep(free.where(F.col("words") > PARTS).groupBy("row_no", "run").agg(said.alias("s")))
+    long = runs.select("row_no", F.col("s")[0].alias("a"), F.element_at("s", -1).alias("z"), F.array_join(F.transform("s", lambda w: w["hit"]), " ").alias("hit"))
+    out = keep(_trimmed(out.unionByName(long.select("row_no", "a.start", "a.before", "a.two", "hit", "z.end", "z.after", F.lit(True).alias("whole")))))
+    told = out.where("whole").select("hit").unionByName(rows.select(F.explode("seed.hit").alias("hit"))).where(F.contains("hit", F.lit(" ")))
+    no = F.lit("")
+    parts = _trimmed(_parts(runs, told).select("row_no", "start", no.alias("before"), no.alias("two"), "hit", "end", no.alias("after"), F.lit(False).alias("whole")))
     patterns = _patterns("before", "two", "after", _shape(F.col("hit")), F.col("whole"))
-    return out.select("row_no", "start", "end", _form(F.col("hit")).alias("form"), _digest(F.col("hit")).alias("value"), patterns.alias("patterns"))
+    return out.unionByName(parts).select("row_no", "start", "end", _form(F.col("hit")).alias("form"), _digest(F.col("hit")).alias("value"), patterns.alias("patterns"))
+
+
+def _trimmed(found: DataFrame) -> DataFrame:
+    """Sequences without the punctuation around them; what is nothing else goes."""
+    head, tail = F.length(F.regexp_extract("hit", HEAD, 0)), F.length(F.regexp_extract("hit", TAIL, 0))
+    return found.withColumns({"start": F.col("start") + head, "end": F.col("end") - tail, "hit": F.regexp_replace(F.regexp_replace("hit", HEAD, ""), TAIL, "")}).where("hit <> ''")
+
+
+def _parts(runs: DataFrame, told: DataFrame) -> DataFrame:
+    """row_no, start, end, hit: the parts of several words of long sequences that have the shape of a hit in told.
+
+    Parts are looked up by a hash of their words' shapes, for all lengths that told has; only those met are spelt out. One
+    that is met by a clash of hashes does no harm (see PARTS).
+    """
+    shape = F.split(_shape(F.col("hit")), " ")
+    shapes = keep(told.select(F.size(shape).alias("m"), F.xxhash64(shape).alias("key")).distinct())
+    words = lambda f: F.transform("s", lambda w: _shape(f(w["hit"])))
+    known = runs.select("row_no", "run", F.size("s").alias("n"), words(lambda h: h).alias("inner"), words(lambda h: F.regexp_replace(h, HEAD, "")).alias("first"), words(lambda h: F.regexp_replace(h, TAIL, "")).alias("last"))
+    tried = known.join(F.broadcast(shapes.select("m").distinct()), F.col("m") < F.col("n"))
+    m = F.col("m")
+
+    def key(i: Column) -> Column:
+        return F.xxhash64(F.concat(F.slice("first", i, F.lit(1)), F.slice("inner", i + 1, m - 2), F.slice("last", i + m - 1, F.lit(1))))
+
+    tried = tried.select("row_no", "run", "m", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n") - m + 1), key)).alias("at", "key"))
+    met = salted_join(tried, shapes.select("key").distinct(), "key", "row_no")
+    met = met.groupBy("row_no", "run", "m").agg(F.collect_list("at").alias("at")).join(runs, ["row_no", "run"])
+
+    def part(i: Column) -> Column:
+        said = F.array_join(F.transform(F.slice("s", i + 1, m), lambda w: w["hit"]), " ")
+        return F.struct(F.get("s", i)["start"].alias("start"), F.get("s", i + m - 1)["end"].alias("end"), said.alias("hit"))
+
+    return met.select("row_no", F.explode(F.transform("at", part)).alias("p")).select("row_no", "p.*")
 
 
 def bootstrap(words: DataFrame) -> DataFrame:

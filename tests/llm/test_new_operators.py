@@ -301,3 +301,24 @@ def test_stages_beyond_the_filter(spark, monkeypatch, stage):
     monkeypatch.setattr(common, "MOST_BUCKETS", 0)
     monkeypatch.setattr(exact_dedup, "MOST_BUCKETS", 0)
     assert sorted(map(tuple, stage(df).collect()), key=repr) == want
+
+
+@pytest.mark.parametrize("parts", [1, 12])
+def test_pii_parts_of_long_sequences(spark, monkeypatch, parts):
+    """Phones among many other numbers are found by their shape, as if all parts of all sequences were made (parts = 12)."""
+    rows = [f"phone: +1 (017) 555-{7000 + i} ok" for i in range(200)]
+    rows += [f"ring: 0{i % 10}.{100 + i} ({i % 7}) ok" for i in range(40)] + [f"phone: 0{i % 10}.{100 + i} ({i % 7}) 55{1000 + i} ok" for i in range(60)]
+    rows += ["see 1 22 333 4444 +1 (017) 555-8001 1234567890123456 7 88 there", "see 1 2 3 ,+1 (017) 555-8002 4 5 6 7 8 there", "see 1 2 3 04.107 (3) 551007 4 5 6 there", "see 1 2 3 4 5 6 7 8 9 there"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    with_all = lambda: {r.doc_id: [(s.start, s.end, s.kind) for s in r.more] for r in pii.find(df).collect() if r.more}
+    got = with_all()
+    monkeypatch.setattr(pii, "PARTS", parts)
+    assert got == with_all()
+    assert [rows[k][s:e] for k in (300, 301, 302) for s, e, _ in got[k]] == ["+1 (017) 555-8001", "+1 (017) 555-8002", "04.107 (3) 551007"] and 303 not in got
+
+
+def test_pii_parts_in_a_long_table_of_numbers(spark):
+    """A sequence of thousands of words: parts are tried by hashes of shapes, and only those met are made."""
+    rows = [f"phone: +1 (017) 555-{7000 + i} ok" for i in range(200)] + ["see " + "12 345 " * 4000 + "+1 (017) 555-8001" + " 12 345" * 4000 + " there"]
+    got = {r.doc_id: r.more for r in pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [(s.start, s.end, s.kind) for s in got[200]] == [(28004, 28021, 3)]
